@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import mixing, token_files
+from undula.llm import mixing, packing, token_counts, token_files
 from undula.llm.common import read_table, shared_folder
 
 QUERIES = {}
@@ -53,3 +53,13 @@ SELECT doc_id, source, round(rate, 9) AS mix_rate, copies AS mix_copies, i::INT
   CASE WHEN no_text THEN NULL ELSE text_md5 END AS text_md5
 FROM parts JOIN n USING (r), unnest(range(1, copies + 1)) AS t(i)
 """
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
