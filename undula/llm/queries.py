@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import mixing, packing, token_counts, token_files, url_filter
-from undula.llm.common import read_table, shared_folder
+from undula.llm import mixing, packing, token_counts, token_files, toxicity, url_filter
+from undula.llm.common import fold, read_table, shared_folder
 
 QUERIES = {}
 ORACLES = {}
@@ -72,3 +72,11 @@ RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 @query
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), RULES)
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train_on_fold(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
