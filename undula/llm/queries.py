@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import mixing, packing, token_counts, token_files, toxicity, url_filter
+from undula.llm import language_id, mixing, packing, token_counts, token_files, toxicity, url_filter
 from undula.llm.common import fold, read_table, shared_folder
 
 QUERIES = {}
@@ -80,3 +80,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train_on_fold(docs, read_table(spark, sf_dir, "labels"))
     scored = toxicity.score_documents(docs, model)
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.train_on_fold(docs))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
