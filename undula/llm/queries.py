@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import language_id, mixing, packing, token_counts, token_files, toxicity, url_filter
+from undula.llm import language_id, mixing, packing, token_counts, token_files, toxicity, url_filter, vector_dedup
 from undula.llm.common import fold, read_table, shared_folder
 
 QUERIES = {}
@@ -87,3 +87,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.train_on_fold(docs))
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
