@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,22 +55,26 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The runs of equal keys in batches sorted by them; a run may cross batches."""
-    rest: list[pd.DataFrame] = []
+def complete_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Batches sorted by the keys, cut so that no run of equal keys is split, with the runs' starts and ends."""
+    rest: pd.DataFrame | None = None
+
+    def runs(batch: pd.DataFrame) -> np.ndarray:
+        values = batch[keys].to_numpy()
+        return np.flatnonzero(np.r_[True, (values[1:] != values[:-1]).any(axis=1)])
+
     for batch in batches:
         if batch.empty:
             continue
-        new = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
-        new[0] = True
-        starts = [*new.nonzero()[0], len(batch)]
-        parts = [batch.iloc[a:b] for a, b in zip(starts, starts[1:], strict=False)]
-        if rest and (rest[-1][keys].iloc[-1] == parts[0][keys].iloc[0]).all():
-            rest.append(parts.pop(0))
-        if parts:
-            if rest:
-                yield pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0]
-            yield from parts[:-1]
-            rest = [parts[-1]]
-    if rest:
-        yield pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0]
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        starts = runs(batch)
+        rest = batch.iloc[starts[-1] :].reset_index(drop=True)
+        if len(starts) > 1:
+            yield batch.iloc[: starts[-1]].reset_index(drop=True), starts[:-1], starts[1:]
+    if rest is not None:
+        yield rest, np.array([0]), np.array([len(rest)])
+
+
+def broadcast_if_small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcasting if it has no more than so many rows; else as it is."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import language_id, mixing, packing, token_counts, token_files, toxicity, url_filter, vector_dedup
+from undula.llm import language_id, minhash, mixing, packing, token_counts, token_files, toxicity, url_filter, vector_dedup
 from undula.llm.common import fold, read_table, shared_folder
 
 QUERIES = {}
@@ -92,3 +92,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
