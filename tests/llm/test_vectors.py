@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from undula.llm import vector_dedup
+from undula.llm import topk, vector_dedup
 from undula.llm.components import connected_components, link
 
 SCHEMA = "vec_id long, embedding array<float>, label int, point string, root string"
@@ -67,3 +67,45 @@ def test_components_of_a_chain_a_star_and_a_loop(spark):
     edges = spark.createDataFrame([*chain, *star, (7, 7), (3, 2), (2, 1), (1, 3), (2, 1)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == {**dict.fromkeys(range(100, 161), 100), **dict.fromkeys(range(500, 560), 500), 1: 1, 2: 1, 3: 1}
+
+
+def brute_top(rows, every, k):
+    good = lambda e: e is not None and len(e) and all(x is not None and math.isfinite(x) for x in e)
+    codes = [[math.floor(256 * float(np.float32(x))) for x in r[1]] if r[0] is not None and good(r[1]) else None for r in rows]
+    out = Counter()
+    for i, r in enumerate(rows):
+        if codes[i] is None or r[0] % every:
+            continue
+        scored = []
+        for j, c in enumerate(rows):
+            if j != i and codes[j] is not None and len(codes[j]) == len(codes[i]):
+                s = sum(a * b for a, b in zip(codes[i], codes[j], strict=True))
+                scored.append((-max(-(1 << 63), min((1 << 63) - 1, s)), c[0]))
+        for n, (s, v) in enumerate(sorted(scored)[:k]):
+            out[r[0], n + 1, v, -s] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_top_k_equals_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(topk, "CANDIDATES", 50)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    rows = cloud(seed)
+    rows += [(5000, [0.0] * 12, 1, "x", "y"), (5000, [0.5] * 12, 1, "x", "y"), (5000, [-0.5] * 12, 1, "x", "y"), (-50, [1.0] * 12, 1, "x", "y")]
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA), 10, 5)
+    assert Counter(map(tuple, got.collect())) == brute_top(rows, 10, 5)
+
+
+def test_top_k_of_nothing(spark):
+    assert topk.top_k(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_bounds_lose_nothing(seed):
+    draw = np.random.default_rng(seed)
+    vectors = np.floor(256 * draw.normal(size=(700, 40)) * (draw.random((700, 1)) ** 3))
+    ids = draw.permutation(700).astype(np.int64)
+    query = np.floor(256 * draw.normal(size=40))
+    at, score = topk.best(query, np.ascontiguousarray(vectors.T), ids, 6, -np.inf, np.argsort(-np.abs(query)))
+    want = sorted(zip(-(vectors @ query), ids, strict=True))[:6]
+    assert [(-s, i) for s, i in want] == list(zip(score, ids[at], strict=True))

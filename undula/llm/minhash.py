@@ -38,6 +38,10 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def _times(n: int, x: np.uint64) -> np.uint64:
+    return np.uint64(n * int(x) % (1 << 64))
+
+
 class WordHashes(dict):
     """64-bit hashes of words; remembers a bounded number."""
 
@@ -78,14 +82,14 @@ def _darts(elements: np.ndarray, weights: np.ndarray, limits: np.ndarray, k: int
     index = np.arange(len(elements))
     while len(index := index[weights[index] > low]):
         at, rank, throw = index, np.zeros(len(index)), 0
-        seed = mix(elements[at] + np.uint64(level) * _C)
+        seed = mix(elements[at] + _times(level, _C))
         while len(at):
-            h = mix(seed + np.uint64(throw + 1) * _A)
+            h = mix(seed + _times(throw + 1, _A))
             rank = rank - np.log(_unit(h)) / (high - low)
             near = rank < limits[at]
             at, rank, seed, h = at[near], rank[near], seed[near], h[near]
             dart = mix(h ^ _B)
-            hit = slice(None) if throw < 0 else low + (high - low) * _unit(mix(dart + _C)) < weights[at]
+            hit = low + (high - low) * _unit(mix(dart + _C)) < weights[at]
             yield at[hit], rank[hit], (dart[hit] % np.uint64(k)).astype(np.int64), dart[hit]
             throw += 1
         low, high, level = high, 2 * high, level + 1

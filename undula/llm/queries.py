@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import language_id, minhash, mixing, packing, token_counts, token_files, toxicity, url_filter, vector_dedup
+from undula.llm import language_id, minhash, mixing, packing, token_counts, token_files, topk, toxicity, url_filter, vector_dedup
 from undula.llm.common import fold, read_table, shared_folder
 
 QUERIES = {}
@@ -97,3 +97,20 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
+@query
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op8_top_k"] = """
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS codes
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.codes, c.codes)::BIGINT AS score
+  FROM fine q JOIN fine c ON q.vec_id <> c.vec_id AND len(q.codes) = len(c.codes) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
