@@ -67,6 +67,7 @@ class SubwordSoftmax:
         of_doc = np.repeat(np.arange(len(filled)), [len(h) for h in heads])
         first_of = np.unique(of_doc, return_index=True)[1]
         truth = np.array(labels, np.int64)[filled][of_doc]
+        epochs = max(epochs, min(60, 400 * batch // len(filled)))  # small samples are seen more often
         draw = np.random.default_rng(self.seed)
         tables = {"vectors": self.vectors, "weights": self.weights, "bias": self.bias}
         state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in tables.items()}
