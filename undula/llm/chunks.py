@@ -20,7 +20,7 @@ class ChunkEncoder:
     The cache holds at most `limit` chunks; further ones are encoded again when they come.
     """
 
-    def __init__(self, path: str, space: bool, limit: int = 700_000):
+    def __init__(self, path: str, space: bool, limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -84,7 +84,7 @@ def encoder(path: str, space: bool) -> ChunkEncoder:
     return _encoders[path, space]
 
 
-def in_blocks(texts: list[str], chars: int = 1_000_000):
+def in_blocks(texts: list[str], chars: int = 2_000_000):
     """Slices of `texts` of about so many characters each, so that memory follows neither the batch nor its longest text."""
     start = held = 0
     for i, t in enumerate(texts):

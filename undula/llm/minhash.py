@@ -22,7 +22,7 @@ COORDINATES, BANDS = 100, 20
 #: Pairs whose signatures agree in a smaller share are not checked: 4.5 standard deviations below LEAST.
 AGREE = 0.62
 #: Documents of a band's bucket that are compared at once.
-BLOCK = 128
+BLOCK = 512
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

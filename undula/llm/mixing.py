@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import fresh_name
+from undula.llm.common import broadcast_if_small, fresh_name, written
 
 #: Bits of md5 in a uniform number: 13 hexadecimal digits, which a double holds exactly.
 _SPAN = float(1 << 52)
@@ -64,7 +64,8 @@ def mix_sources(docs: DataFrame, power: float = 0.5, seed: int = 7, group: str =
     """
     rate, copies, copy, place = (fresh_name(docs, c) for c in ("mix_rate", "mix_copies", "mix_copy", "mix_place"))
     key = fresh_name(docs, "mix_group")
-    per = (rates(docs, power, group) if targets is None else targets).select(F.col("mix_group").alias(key), F.col("rate").alias(rate))
+    per = written(rates(docs, power, group), "rates") if targets is None else targets
+    per = broadcast_if_small(per, 100_000).select(F.col("mix_group").alias(key), F.col("rate").alias(rate))
     counted = docs.join(per, docs[group].eqNullSafe(per[key])).drop(key)
     counted = counted.withColumn(copies, poisson(F.col(rate), seed, F.col("doc_id"))).where(F.col(copies) > 0)
     repeated = counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))

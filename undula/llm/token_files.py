@@ -14,10 +14,13 @@ from undula.llm import common
 from undula.llm.chunks import encoder, in_blocks
 
 #: Ids in a block, and the share of a block's ids that its width must hold; the rest are exceptions.
-BLOCK, SHARE = 512, 0.95
+BLOCK, SHARE = 2048, 0.95
 #: A segment, one row of the file, is closed once it holds so many ids.
 SEGMENT_IDS = 1 << 20
 
+#: Up to so many segments their starts are broadcast, 16 MB; more are joined by a shuffle.
+MOST_SEGMENTS = 1_000_000
+
 SEGMENT = "shard int, segment int, n_docs long, n_ids long, doc_ids binary, null_ids binary, doc_lengths binary, block_starts binary, payload binary"
 
 
@@ -124,6 +127,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         before.append((r.shard, r.segment, total))
         total += r.n_ids
     bases = spark.createDataFrame(before, "shard int, segment int, base long")
+    if len(before) <= MOST_SEGMENTS:
+        bases = F.broadcast(bases)
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -48,15 +49,20 @@ class SubwordSoftmax:
         window, and of documents of class 0 the next one too. Both classes weigh alike; the rate falls to 0.
         """
         index: dict[str, int] = {}
-        docs = [np.array([index.setdefault(w, len(index)) for w in WORD.findall(t.lower())], np.int64) for t in texts]
+        docs = [np.array([index.setdefault(w, len(index)) for w in WORD.findall(t.lower())], np.int32) for t in texts]
         filled = [i for i, d in enumerate(docs) if len(d)]
         if not filled:
             return self
-        ids = [np.array(self.subwords(w), np.int64) for w in index]
-        n_grams = np.array([len(i) for i in ids])
-        grams = np.concatenate(ids)
+        n_grams = np.zeros(len(index), np.int64)
+        listed = array("i")
+        for k, word in enumerate(index):
+            n_grams[k] = -len(listed)
+            listed.extend(self.subwords(word))
+            n_grams[k] += len(listed)
+        grams = np.frombuffer(listed, np.int32)
         gram_starts = np.cumsum(n_grams) - n_grams
-        word_docs = np.bincount(np.concatenate([np.unique(docs[i]) for i in filled]), minlength=len(index))
+        del index
+        word_docs = np.bincount(np.concatenate([np.unique(docs[i]) for i in filled]), minlength=len(n_grams))
         rare = np.bincount(grams, np.repeat(word_docs, n_grams), self.buckets) < self.least
         self.vectors[rare] = 0
         words = np.concatenate([docs[i] for i in filled])
@@ -85,9 +91,10 @@ class SubwordSoftmax:
                 step += 1
                 at = np.concatenate([np.arange(cuts[w], cuts[w] + sizes[w]) for w in part])
                 own, local = np.unique(words[at], return_inverse=True)
-                rows = np.concatenate([ids[w] for w in own])
                 n_own = n_grams[own]
-                vectors = np.add.reduceat(self.vectors[rows], np.cumsum(n_own) - n_own) / n_own[:, None]
+                at_own = np.cumsum(n_own) - n_own
+                rows = grams[np.repeat(gram_starts[own] - at_own, n_own) + np.arange(n_own.sum())]
+                vectors = np.add.reduceat(self.vectors[rows], at_own) / n_own[:, None]
                 n = sizes[part]
                 means = np.add.reduceat(vectors[local], np.cumsum(n) - n) / n[:, None]
                 z = means @ self.weights + self.bias
@@ -141,7 +148,7 @@ class Scorer(dict):
         return float(1 / (1 + np.exp(-np.clip(most + self.bias, -50, 50))))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, max_chars: int = 20_000, seed: int = 11, **parameters) -> SubwordSoftmax:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 3000, max_chars: int = 20_000, seed: int = 11, **parameters) -> SubwordSoftmax:
     """Fit on a sample of the labelled documents: `rows` of each class in expectation, none longer than `max_chars`.
 
     These two bound what reaches the driver. Null texts, null labels and labels other than 0 and 1 are left out; without
