@@ -4,23 +4,21 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from undula.llm import common
 from undula.llm.chunks import encoder, in_blocks
+from undula.llm.common import broadcast_if_small
 
 #: Ids in a block, and the share of a block's ids that its width must hold; the rest are exceptions.
 BLOCK, SHARE = 2048, 0.95
 #: A segment, one row of the file, is closed once it holds so many ids.
 SEGMENT_IDS = 1 << 20
 
-#: Up to so many segments their starts are broadcast, 16 MB; more are joined by a shuffle.
-MOST_SEGMENTS = 1_000_000
-
 SEGMENT = "shard int, segment int, n_docs long, n_ids long, doc_ids binary, null_ids binary, doc_lengths binary, block_starts binary, payload binary"
 
 
@@ -117,18 +115,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Every document of the files at `path`: doc_id, start (ids of all documents before it), n_tokens, ids (binary).
 
-    The ids are little-endian unsigned 32-bit. Starts come from the segments' sizes, of which there is one for a million
-    ids; only those are summed in order.
+    The ids are little-endian unsigned 32-bit. Starts come from the segments' sizes: summed within each shard by a window,
+    and over the shards, of which there are as many as the write had tasks, on the driver.
     """
     rows = spark.read.schema(SEGMENT).parquet(path)
-    sizes = rows.select("shard", "segment", "n_ids").orderBy("shard", "segment").collect()  # one small row for a million ids
-    before, total = [], 0
-    for r in sizes:
-        before.append((r.shard, r.segment, total))
-        total += r.n_ids
-    bases = spark.createDataFrame(before, "shard int, segment int, base long")
-    if len(before) <= MOST_SEGMENTS:
-        bases = F.broadcast(bases)
+    earlier = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    within = rows.select("shard", "segment", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("within"))
+    shards = sorted(rows.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
+    starts = [0, *accumulate(r.n for r in shards)]
+    firsts = spark.createDataFrame([(r.shard, at) for r, at in zip(shards, starts, strict=False)], "shard int, first long")
+    bases = within.join(F.broadcast(firsts), "shard").select("shard", "segment", (F.col("first") + F.col("within")).alias("base"))
+    bases = broadcast_if_small(bases)
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
