@@ -8,6 +8,8 @@ import numpy as np
 
 #: ASCII marks that always end a pre-token when a letter stands before them and nothing follows in the chunk.
 CLOSING = ".,!?;:"
+#: How byte-level vocabularies write a space; chunks that the library gets as one text.
+SPACE, JOINED = "Ġ", 2000
 
 
 class ChunkEncoder:
@@ -26,9 +28,28 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.lead = " " if space else ""
         self.space, self.limit = space, limit
         self.ids: dict[str, bytes | None] = {}
+        self.opens = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.opens[i] = token.startswith(SPACE)
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of safe chunks. With their spaces they go to the library many as one text, and each begins where an id
+        that opens with a space stands."""
+        if not self.space:
+            return self._encode(chunks)
+        out: list[bytes] = []
+        for a in range(0, len(chunks), JOINED):
+            own = [" " + c for c in chunks[a : a + JOINED]]
+            ids = np.array(self.library.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.opens[ids]).tolist()
+            if len(starts) != len(own):
+                out += self._encode(own)
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * i : 4 * j] for i, j in pairwise([*starts, len(ids)])]
+        return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -50,7 +71,7 @@ class ChunkEncoder:
         marks = dict(zip(CLOSING, self._encode(list(CLOSING)), strict=True))
         found: dict[str, bytes | None] = {c: None for c in plain if self._unsafe(c)}
         safe = [c for c in plain if c not in found]
-        found.update(zip(safe, self._encode([self.lead + c for c in safe]), strict=True))
+        found.update(zip(safe, self._encode_chunks(safe), strict=True))
         for c in ends:
             word = found[c[:-1]] if c[:-1] in found else ids[c[:-1]]
             found[c] = None if word is None else word + marks[c[-1]]
