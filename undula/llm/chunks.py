@@ -22,7 +22,7 @@ class ChunkEncoder:
     The cache holds at most `limit` chunks; further ones are encoded again when they come.
     """
 
-    def __init__(self, path: str, space: bool, limit: int = 1_200_000):
+    def __init__(self, path: str, space: bool, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

@@ -47,7 +47,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 

@@ -123,7 +123,7 @@ class SubwordSoftmax:
 class Scorer(dict):
     """The share of class 1 for texts; remembers each word's logit, up to a bound."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self, model: SubwordSoftmax):
         super().__init__()
