@@ -8,8 +8,8 @@ import numpy as np
 
 #: ASCII marks that always end a pre-token when a letter stands before them and nothing follows in the chunk.
 CLOSING = ".,!?;:"
-#: How byte-level vocabularies write a space; chunks that the library gets as one text.
-SPACE, JOINED = "Ġ", 2000
+#: How byte-level vocabularies write a space, and the others the end of a word; chunks that the library gets as one text.
+SPACE, END, JOINED = "Ġ", "</w>", 2000
 
 
 class ChunkEncoder:
@@ -30,25 +30,31 @@ class ChunkEncoder:
         self.library.no_padding()
         self.space, self.limit = space, limit
         self.ids: dict[str, bytes | None] = {}
-        self.opens = np.zeros(self.library.get_vocab_size(), bool)
+        self.edge = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
-            self.opens[i] = token.startswith(SPACE)
+            self.edge[i] = token.startswith(SPACE) if space else token.endswith(END)
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of safe chunks. With their spaces they go to the library many as one text, and each begins where an id
-        that opens with a space stands."""
-        if not self.space:
-            return self._encode(chunks)
+        """The ids of safe chunks. Many go to the library as one text: each with its space begins where an id that opens with
+        a space stands, or, where spaces are dropped, a word of letters alone ends with an id that closes a word."""
+        if self.space:
+            return self._encode_joined([" " + c for c in chunks])
+        found = dict(zip(words := [c for c in chunks if c.isalpha()], self._encode_joined([" " + c for c in words]), strict=True))
+        found.update(zip(rest := [c for c in chunks if c not in found], self._encode(rest), strict=True))
+        return [found[c] for c in chunks]
+
+    def _encode_joined(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for a in range(0, len(chunks), JOINED):
-            own = [" " + c for c in chunks[a : a + JOINED]]
+            own = chunks[a : a + JOINED]
             ids = np.array(self.library.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, "<u4")
-            starts = np.flatnonzero(self.opens[ids]).tolist()
-            if len(starts) != len(own):
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(own):
                 out += self._encode(own)
                 continue
+            cuts = [*edges.tolist(), len(ids)] if self.space else [0, *(edges + 1).tolist()]
             raw = ids.tobytes()
-            out += [raw[4 * i : 4 * j] for i, j in pairwise([*starts, len(ids)])]
+            out += [raw[4 * i : 4 * j] for i, j in pairwise(cuts)]
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
