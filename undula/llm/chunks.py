@@ -104,10 +104,10 @@ class ChunkEncoder:
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str, space: bool) -> ChunkEncoder:
+def encoder(path: str, space: bool, limit: int = 500_000) -> ChunkEncoder:
     """This Python worker's encoder, kept from task to task."""
     if (path, space) not in _encoders:
-        _encoders[path, space] = ChunkEncoder(path, space)
+        _encoders[path, space] = ChunkEncoder(path, space, limit)
     return _encoders[path, space]
 
 

@@ -18,6 +18,8 @@ from undula.llm.common import broadcast_if_small
 BLOCK, SHARE = 2048, 0.95
 #: A segment, one row of the file, is closed once it holds so many ids.
 SEGMENT_IDS = 1 << 20
+#: Chunks whose ids a Python worker keeps, about 250 MB.
+CACHED = 1_200_000
 
 SEGMENT = "shard int, segment int, n_docs long, n_ids long, doc_ids binary, null_ids binary, doc_lengths binary, block_starts binary, payload binary"
 
@@ -86,7 +88,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
     end = np.array([end_id], "<u4").tobytes()
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer, space)
+        enc = encoder(tokenizer, space, CACHED)
         held: list[tuple[int, bool, bytes]] = []
         size = number = shard = 0
 
