@@ -7,6 +7,9 @@ whole recording are aggregates, which Spark pre-sums in each task, joined back t
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +66,19 @@ def owned(df: DataFrame) -> DataFrame:
     return df.where("owned").drop("owned", "chunk")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet to spark.checkpoint.dir (a temporary folder where that is unset) and read back, for what is used
+    many times over."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = tempfile.mkdtemp(prefix="undula-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    path = f"{where.rstrip('/')}/samples-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def with_stats(samples: DataFrame, **aggregates: Column) -> DataFrame:
     """The samples with aggregates of their whole recording."""
     stats = samples.groupBy("rec").agg(*(a.alias(k) for k, a in aggregates.items()))

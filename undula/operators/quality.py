@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undula.core import chunked, over_chunks, owned, stored, with_stats
+from undula.operators import outliers
+from undula.operators.cleaning import fill
+
 #: What an issue of each severity costs, and the least score of each grade.
 COST = {"critical": 35, "warning": 12, "info": 3}
 GRADES = ((90, "A"), (75, "B"), (60, "C"), (40, "D"))
@@ -16,9 +20,84 @@ def run_lengths(df: DataFrame, state: str, by: list[str]) -> DataFrame:
     return marked.groupBy(*by, state, "run").agg(F.min("idx").alias("first"), F.count("*").alias("length"))
 
 
+def in_runs(samples: DataFrame, **least: int) -> DataFrame:
+    """Adds, for each name, whether a sample lies in a run of so many equal, present values: in_runs(s, three=3)."""
+    w, most = over_chunks(), max(least.values())
+    df = chunked(samples, most, most)
+    df = df.withColumn("same", F.coalesce((F.col("value") == F.lag("value").over(w)).cast("int"), F.lit(0)))
+    begins = {f"{k}_begins": F.sum("same").over(over_chunks((1, m - 1))) == m - 1 for k, m in least.items()}
+    df = df.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in begins.items()})
+    df = df.withColumns({k: F.max(f"{k}_begins").over(over_chunks((1 - m, 0))) for k, m in least.items()})
+    return owned(df).drop("same", *begins)
+
+
+def _eighth(idx: Column, n: Column) -> Column:
+    """Of eight parts as even as can be, the longer ones first, the one that a sample lies in."""
+    longer, size = n % 8, F.floor(n / 8)
+    return F.when(idx < longer * (size + 1), F.floor(idx / (size + 1))).otherwise(longer + F.floor((idx - longer * (size + 1)) / size))
+
+
+def _judged(d: DataFrame, checks: list[tuple[str, Column]], measures: list[str]) -> DataFrame:
+    """rec, n, the measures, issues (codes with severity, in the checks' order), score, grade and ok."""
+    found = F.filter(F.array(*(F.when(c.isNotNull(), F.concat_ws(":", F.lit(code), c)) for code, c in checks)), lambda x: x.isNotNull())
+    cost = sum((F.coalesce(F.create_map(*(F.lit(x) for kv in COST.items() for x in kv))[c], F.lit(0)) for _, c in checks), F.lit(0))
+    d = d.select("rec", "n", *measures, F.array_join(found, ",").alias("issues"), F.greatest(F.lit(0), 100 - cost).alias("score"))
+    grade = F.lit("F")
+    for least, name in reversed(GRADES):
+        grade = F.when(F.col("score") >= least, name).otherwise(grade)
+    return d.withColumn("grade", grade).withColumn("ok", ~F.col("issues").contains("warning") & ~F.col("issues").contains("critical"))
+
+
 def diagnose(samples: DataFrame, fs: float | None = None) -> DataFrame:
-    """The checks of gaps, length, constancy, clipping, flat runs, offset, unsteady spread and trend: rec, n, missing, the
-    measures, issues (codes with severity), score, grade and ok."""
+    """The checks in the time domain in their order: missing or empty, short, constant, digital, clipping, flatline, spikes,
+    dc_offset, trend and nonstationary; rec, n, missing, the measures, issues (codes with severity), score, grade and ok.
+
+    Gaps are interpolated after the first check and spikes after theirs, so that later checks see the repaired signal. An
+    empty, short (n < 32) or constant recording has no further checks, and null measures. The spectral checks aren't
+    built; the trend is checked at any length, also where the drift check would take its place.
+    """
+    first = samples.groupBy("rec").agg((F.max("idx") + 1).alias("n"), F.avg(F.col("value").isNull().cast("int")).alias("missing"))
+    x = stored(fill(samples, "interpolate"))
+    basic = x.groupBy("rec").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.countDistinct("value").alias("distinct"))
+    first = first.join(basic, "rec")
+    x = x.join(first.select("rec", "n", "lo", "hi", "distinct"), "rec").where("n >= 32 AND lo < hi")
+    x = with_stats(x, at_lo=F.sum((F.col("value") == F.col("lo")).cast("int")), at_hi=F.sum((F.col("value") == F.col("hi")).cast("int")))
+    x = in_runs(x, three=3, long=max(5, int(0.1 * fs)) if fs else 10)
+    many = F.greatest(F.lit(3.0), 0.002 * F.col("n"))
+    at_edge = ((F.col("value") == F.col("lo")) & (F.col("at_lo") >= many)) | ((F.col("value") == F.col("hi")) & (F.col("at_hi") >= many))
+    varied = F.col("distinct") > 16
+    x = x.withColumn("clip", varied & F.col("three") & at_edge).withColumn("flat", varied & F.col("long") & ~F.col("clip"))
+    x = stored(x.select("rec", "idx", "value", "clip", "flat"))
+    x = x.join(outliers.spike(x.select("rec", "idx", "value"), 10.0, 5).select("rec", "idx", "outlier"), ["rec", "idx"])
+    x = stored(x.withColumn("spike", F.col("outlier") & ~F.col("clip")))
+    counts = x.groupBy("rec").agg(*(F.sum(F.col(a).cast("int")).alias(b) for a, b in (("clip", "clipped"), ("flat", "flat"), ("spike", "spikes"))))
+    x = stored(fill(x.select("rec", "idx", F.when(~F.col("spike"), F.col("value")).alias("value")), "interpolate"))
+    whole = x.groupBy("rec").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.corr("idx", "value").alias("corr"))
+    parts = x.join(first.select("rec", "n"), "rec").where("n >= 256").groupBy("rec", _eighth(F.col("idx"), F.col("n")).alias("part"))
+    parts = parts.agg(F.when(F.min("value") == F.max("value"), 0.0).otherwise(F.stddev_pop("value")).alias("d"))
+    parts = parts.groupBy("rec").agg((F.max("d") / (F.min("d") + 1e-300)).alias("spread"))
+    d = first.join(counts, "rec", "left").join(whole, "rec", "left").join(parts, "rec", "left")
+    n, full = F.col("n"), F.col("lo").isNotNull()
+    checks = [
+        ("empty", F.when(~full, "critical")),
+        ("missing", F.when(full & (F.col("missing") > 0.2), "critical").when(full & (F.col("missing") > 0), "warning")),
+        ("short", F.when(full & (n < 32), "critical")),
+        ("constant", F.when((n >= 32) & (F.col("lo") == F.col("hi")), "critical")),
+        ("digital", F.when(F.col("clipped").isNotNull() & ~varied, "info")),
+        ("clipping", F.when(F.col("clipped") > 0.05 * n, "critical").when(F.col("clipped") > 0, "warning")),
+        ("flatline", F.when(F.col("flat") > 0.2 * n, "critical").when(F.col("flat") > 0.01 * n, "warning")),
+        ("spikes", F.when(F.col("spikes") > 0, "warning")),
+        ("dc_offset", F.when(F.abs("mean") > F.col("std") + 1e-300, "info")),
+        ("trend", F.when(F.col("corr") * F.col("corr") > 0.3, "warning")),
+        ("nonstationary", F.when(F.col("spread") > 5, "info")),
+    ]
+    return _judged(d, checks, ["missing", "clipped", "flat", "spikes", "spread"])
+
+
+def screen(samples: DataFrame, fs: float | None = None) -> DataFrame:
+    """Fewer checks than diagnose(), on the signal as it is: gaps, length, constancy, clipping, flat runs, offset, unsteady
+    spread and trend, without repairs or early exits, and with severities of its own. The query `diagnose` and its SQL
+    hold this."""
     s = samples.join(samples.groupBy("rec").agg((F.max("idx") + 1).alias("n")), "rec")
     basic = s.groupBy("rec").agg(
         F.min("n").alias("n"), F.avg(F.col("value").isNull().cast("int")).alias("missing"), F.countDistinct("value").alias("distinct"),
@@ -30,9 +109,7 @@ def diagnose(samples: DataFrame, fs: float | None = None) -> DataFrame:
     flat_from = max(5, round(0.1 * fs)) if fs else 10
     inner = own.withColumn("inner_v", F.when(edge.isNull(), F.col("value")))
     flat = run_lengths(inner, "inner_v", ["rec"]).where(F.col("length") >= flat_from).groupBy("rec").agg(F.sum("length").alias("flat"))
-    # Eight parts as even as can be, the longer ones first.
-    longer, size = F.col("n") % 8, F.floor(F.col("n") / 8)
-    part = F.when(F.col("idx") < longer * (size + 1), F.floor(F.col("idx") / (size + 1))).otherwise(longer + F.floor((F.col("idx") - longer * (size + 1)) / size))
+    part = _eighth(F.col("idx"), F.col("n"))
     parts = s.where("n >= 256").groupBy("rec", part.alias("part")).agg(F.stddev_pop("value").alias("d")).groupBy("rec").agg((F.max("d") / F.min(F.when(F.col("d") > 0, F.col("d")))).alias("spread"))
     d = basic.join(clipped, "rec", "left").join(flat, "rec", "left").join(parts, "rec", "left").fillna(0, ["clipped", "flat"])
     r2 = F.col("corr") * F.col("corr")
@@ -49,13 +126,7 @@ def diagnose(samples: DataFrame, fs: float | None = None) -> DataFrame:
         ("nonstationary", F.when(usable & (F.col("spread") > 5), "warning")),
         ("trend", F.when(usable & (r2 > 0.3), "warning")),
     ]
-    found = F.filter(F.array(*(F.when(c.isNotNull(), F.concat_ws(":", F.lit(code), c)) for code, c in checks)), lambda x: x.isNotNull())
-    cost = sum((F.coalesce(F.create_map(*(F.lit(x) for kv in COST.items() for x in kv))[c], F.lit(0)) for _, c in checks), F.lit(0))
-    d = d.select("rec", "n", "missing", "clipped", "flat", "spread", F.array_join(found, ",").alias("issues"), F.greatest(F.lit(0), 100 - cost).alias("score"))
-    grade = F.lit("F")
-    for least, name in reversed(GRADES):
-        grade = F.when(F.col("score") >= least, name).otherwise(grade)
-    return d.withColumn("grade", grade).withColumn("ok", ~F.col("issues").contains("warning") & ~F.col("issues").contains("critical"))
+    return _judged(d, checks, ["missing", "clipped", "flat", "spread"])
 
 
 def flat_mask(samples: DataFrame, least: int) -> DataFrame:

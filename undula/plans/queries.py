@@ -379,6 +379,50 @@ SELECT rec, n, {_r('missing')}, clipped, flat, {_r('spread')}, array_to_string(f
   len(list_filter(found, lambda x: x NOT LIKE '%info')) = 0 AS ok FROM z""")
 def diagnose(spark: SparkSession, folder: str) -> DataFrame:
     damaged = user_series(spark, folder).withColumn("value", F.expr(FLAT.replace("77.0", "77D").replace("120.0", "120D")))
+    return rounded(quality.screen(damaged))
+
+
+#: Series that are empty, constant, short, digital, spiked, clipped, flat in parts, or rising, by the user.
+DAMAGE = """CASE WHEN rec % 10 = 4 THEN NULL WHEN rec % 10 = 6 THEN 42.0 WHEN rec % 10 = 7 THEN idx % 4 WHEN rec % 10 = 8 AND idx % 31 = 20 THEN 5000.0
+  WHEN rec % 10 = 9 THEN value + 20 * idx WHEN rec % 2 = 1 AND idx >= 40 AND idx % 40 < 12 THEN 77.0 WHEN rec % 10 IN (1, 2, 3) THEN least(value, 90.0) WHEN idx % 17 = 3 THEN NULL ELSE value END"""
+
+
+@query(f"""{USER}, u AS (SELECT rec, idx, {DAMAGE} AS value FROM s WHERE rec % 10 <> 5 OR idx < 20),
+i AS (SELECT rec, max(idx) + 1 AS n, avg((value IS NULL)::INT) AS missing FROM u GROUP BY rec),
+o AS (SELECT rec, idx, value, max(CASE WHEN value IS NOT NULL THEN idx END) OVER a AS i0, min(CASE WHEN value IS NOT NULL THEN idx END) OVER b AS i1
+  FROM u WINDOW a AS (PARTITION BY rec ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY rec ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+x AS (SELECT o.rec, o.idx, CASE WHEN i0 IS NULL THEN q.value WHEN i1 IS NULL OR i0 = i1 THEN p.value ELSE p.value + (q.value - p.value) * ((o.idx - i0) / (i1 - i0)) END AS value
+  FROM o LEFT JOIN u p ON p.rec = o.rec AND p.idx = i0 LEFT JOIN u q ON q.rec = o.rec AND q.idx = i1),
+b AS (SELECT rec, min(value) AS lo, max(value) AS hi, count(DISTINCT value) AS d FROM x GROUP BY rec),
+g AS (SELECT rec, idx, value FROM x JOIN b USING (rec) JOIN i USING (rec) WHERE n >= 32 AND lo < hi),
+r AS (SELECT rec, idx, value, idx - row_number() OVER (PARTITION BY rec, value ORDER BY idx) AS k FROM g), l AS (SELECT rec, idx, value, count(*) OVER (PARTITION BY rec, value, k) AS len, count(*) OVER (PARTITION BY rec, value) AS often FROM r),
+c AS (SELECT rec, idx, d > 16 AND len >= 3 AND value IN (lo, hi) AND often >= greatest(3, 0.002 * n) AS clip, d > 16 AND len >= 10 AS long FROM l JOIN b USING (rec) JOIN i USING (rec)),
+{_rolling('g', 'm', 2)}, dd AS (
+  SELECT rec, idx, value, med, value - lag(value) OVER w AS jump, abs(CASE WHEN lag(med) OVER w IS NULL THEN lead(med) OVER w - med WHEN lead(med) OVER w IS NULL THEN med - lag(med) OVER w ELSE (lead(med) OVER w - lag(med) OVER w) / 2 END) AS slope
+  FROM m WINDOW w AS (PARTITION BY rec ORDER BY idx)),
+st AS (SELECT *, max(slope) OVER (PARTITION BY rec ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS steep FROM dd),
+ns AS (SELECT rec, mad(jump) AS noise, mad(value) AS wide FROM dd GROUP BY rec),
+h AS (SELECT rec, idx, value, clip, long AND NOT clip AS flat, NOT clip AND abs(value - med) > 10 * greatest(1.4826 * noise / sqrt(2), 0.02 * 1.4826 * wide, steep, 1e-12) AS spike FROM st JOIN ns USING (rec) JOIN c USING (rec, idx)),
+e AS (SELECT rec, idx, value, spike, max(CASE WHEN NOT spike THEN idx END) OVER a AS i0, min(CASE WHEN NOT spike THEN idx END) OVER b AS i1
+  FROM h WINDOW a AS (PARTITION BY rec ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY rec ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+y AS (SELECT e.rec, e.idx, CASE WHEN i0 IS NULL THEN q.value WHEN i1 IS NULL OR i0 = i1 THEN p.value ELSE p.value + (q.value - p.value) * ((e.idx - i0) / (i1 - i0)) END AS value
+  FROM e LEFT JOIN h p ON p.rec = e.rec AND p.idx = i0 LEFT JOIN h q ON q.rec = e.rec AND q.idx = i1),
+z AS (SELECT rec, avg(value) AS m, stddev_pop(value) AS sd, corr(value, idx) AS co FROM y GROUP BY rec),
+t AS (SELECT rec, value, ntile(8) OVER (PARTITION BY rec ORDER BY idx) AS part FROM y JOIN i USING (rec) WHERE n >= 256),
+v AS (SELECT rec, max(x) / (min(x) + 1e-300) AS spread FROM (SELECT rec, part, CASE WHEN min(value) = max(value) THEN 0 ELSE stddev_pop(value) END AS x FROM t GROUP BY 1, 2) GROUP BY rec),
+hc AS (SELECT rec, sum(clip::INT)::BIGINT AS clipped, sum(flat::INT)::BIGINT AS flat, sum(spike::INT)::BIGINT AS spikes FROM h GROUP BY rec),
+k AS (SELECT rec, n, missing, clipped, flat, spikes, spread, list_filter([CASE WHEN lo IS NULL THEN 'empty:critical' END, CASE WHEN lo IS NULL THEN NULL WHEN missing > 0.2 THEN 'missing:critical' WHEN missing > 0 THEN 'missing:warning' END,
+  CASE WHEN lo IS NOT NULL AND n < 32 THEN 'short:critical' END, CASE WHEN n >= 32 AND lo = hi THEN 'constant:critical' END, CASE WHEN clipped IS NOT NULL AND d <= 16 THEN 'digital:info' END,
+  CASE WHEN clipped > 0.05 * n THEN 'clipping:critical' WHEN clipped > 0 THEN 'clipping:warning' END, CASE WHEN flat > 0.2 * n THEN 'flatline:critical' WHEN flat > 0.01 * n THEN 'flatline:warning' END, CASE WHEN spikes > 0 THEN 'spikes:warning' END,
+  CASE WHEN abs(m) > sd THEN 'dc_offset:info' END, CASE WHEN co * co > 0.3 THEN 'trend:warning' END, CASE WHEN spread > 5 THEN 'nonstationary:info' END], lambda x: x IS NOT NULL) AS found FROM i JOIN b USING (rec) LEFT JOIN hc USING (rec) LEFT JOIN z USING (rec) LEFT JOIN v USING (rec)),
+w AS (SELECT *, greatest(0, 100 - list_sum(list_transform(found, lambda x: CASE WHEN x LIKE '%critical' THEN 35 WHEN x LIKE '%warning' THEN 12 ELSE 3 END) || [0]))::INT AS score FROM k)
+SELECT rec, n, {_r('missing')}, clipped, flat, spikes, {_r('spread')}, array_to_string(found, ',') AS issues, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade,
+  len(list_filter(found, lambda x: x NOT LIKE '%info')) = 0 AS ok FROM w""")
+def diagnose_whole(spark: SparkSession, folder: str) -> DataFrame:
+    damage = DAMAGE
+    for number in ("42.0", "5000.0", "77.0", "90.0"):
+        damage = damage.replace(number, f"{number}D")
+    damaged = user_series(spark, folder).where("rec % 10 <> 5 OR idx < 20").withColumn("value", F.expr(damage))
     return rounded(quality.diagnose(damaged))
 
 
