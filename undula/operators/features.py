@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.core import shifted, windows
+from undula.core import chunked, over_chunks, owned, shifted, stored, windows
 
 #: Relative powers of the classic EEG bands, half-open, in Hz.
 BANDS = {"delta": (0.5, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0), "gamma": (30.0, 100.0)}
@@ -131,13 +131,33 @@ def frequency_domain(psd: DataFrame) -> DataFrame:
     )
 
 
-def hrv_time(rr: DataFrame) -> DataFrame:
-    """Time-domain variability of intervals in ms (as samples), after those outside 250-2500 ms are left out; differences
-    bridge what was left out."""
+def local_median(samples: DataFrame, window: int = 11) -> DataFrame:
+    """Adds `local`, the median of the `window` samples around each, the ends mirrored without the edge itself; of the largest
+    odd window that fits where a recording is shorter, and null below five samples."""
+    half = window // 2
+    s = samples.join(samples.groupBy("rec").agg(F.max("idx").alias("last")), "rec")
+    left = s.where(F.col("idx").between(1, half)).withColumn("idx", -F.col("idx"))
+    right = s.where((F.col("idx") >= F.col("last") - half) & (F.col("idx") < F.col("last"))).withColumn("idx", 2 * F.col("last") - F.col("idx"))
+    df = chunked(s.unionByName(left).unionByName(right), half, half)
+    medians = [F.get(F.sort_array(F.collect_list("value").over(over_chunks((-h, h)))), F.lit(h)) for h in range(2, half + 1)]
+    reach = F.least(F.lit(half), F.floor(F.col("last") / 2)).cast("int")
+    df = owned(df.withColumn("local", F.get(F.array(*medians), reach - 2)))
+    return df.where((F.col("idx") >= 0) & (F.col("idx") <= F.col("last"))).drop("last")
+
+
+def hrv_time(rr: DataFrame, rel: float | None = 0.3, window: int = 11) -> DataFrame:
+    """Time-domain variability of intervals in ms (as samples), after those outside 250-2500 ms are left out, and those
+    that differ by more than a share `rel` (None: any may) from the median of the `window` beats around them, as a missed or
+    an extra beat makes them; differences bridge what was left out."""
     from undula.operators.cleaning import renumbered
 
     beats = rr.groupBy("rec").agg((F.count("value") + 1).alias("hrv_beats"), F.count("value").alias("raw"))
-    kept = renumbered(rr.where("value BETWEEN 250 AND 2500"))
+    near = rr
+    if rel is not None:
+        near = local_median(renumbered(rr.where("value IS NOT NULL")), window)
+        near = near.where(F.col("local").isNull() | (F.abs(F.col("value") - F.col("local")) <= rel * F.col("local")))
+    kept = renumbered(near.where("value BETWEEN 250 AND 2500"))
+    kept = stored(kept) if rel is not None else kept
     s = shifted(kept, prev=-1).withColumn("d", F.col("value") - F.col("prev"))
     hr = 60000 / F.col("value")
     low = kept.groupBy("rec").agg(F.min("value").alias("low"))
