@@ -24,3 +24,28 @@ def test_missed_and_extra_beats_are_left_out(spark, monkeypatch, chunk):
     assert got["inserted"].hrv_artifact_pct == pytest.approx(200 / 62)
     assert got["edge"].hrv_artifact_pct == pytest.approx(100 / 31)
     assert got["few"].hrv_artifact_pct == 0 and got["five"].hrv_artifact_pct == pytest.approx(20)
+
+
+def fluctuation_exponent(x):
+    n, y = len(x), np.cumsum(x - np.mean(x))
+    scales = np.unique(np.floor(8 * (n // 4 / 8) ** (np.arange(12) / 11) + 1e-9).astype(int))
+    spread = []
+    for size in scales:
+        t, segs = np.arange(size), y[: n // size * size].reshape(-1, size).T
+        spread.append(np.sqrt(np.mean((segs - np.vander(t, 2) @ np.polyfit(t, segs, 1)) ** 2)))
+    return np.polyfit(np.log(scales), np.log(spread), 1)[0]
+
+
+def test_scales_reach_a_quarter_of_each_recording(spark):
+    white = np.random.default_rng(42).normal(size=5000)
+    # Steady for 40 samples, white in the long run.
+    blocks = np.repeat(np.random.default_rng(5).normal(size=125), 40) + white / 2
+    s = recordings(spark, white=white, brown=np.cumsum(white), blocks=blocks, few=white[:31], two=white[:38], three=white[:42], flat=np.full(100, 0.1))
+    got = {r.rec: r.dfa_alpha for r in features.dfa_alpha(s).collect()}
+    assert got.keys() == {"white", "brown", "blocks", "few", "two", "three", "flat"}
+    assert got["few"] is None and got["two"] is None and got["flat"] is None
+    assert got["white"] == pytest.approx(0.5, abs=0.15) and got["brown"] == pytest.approx(1.5, abs=0.15)
+    for name, x in (("white", white), ("brown", np.cumsum(white)), ("blocks", blocks), ("three", white[:42])):
+        assert got[name] == pytest.approx(fluctuation_exponent(x), rel=1e-6)
+    short = {r.rec: r.dfa_alpha for r in features.dfa_alpha(s, [4, 6, 8, 12, 16]).collect()}
+    assert abs(got["white"] - 0.5) < 0.02 < abs(short["white"] - 0.5)

@@ -75,17 +75,34 @@ def higuchi_fd(samples: DataFrame, kmax: int = 10) -> DataFrame:
     return logs.groupBy("rec").agg(F.regr_slope("y", "x").alias("higuchi_fd"))
 
 
-def dfa_alpha(samples: DataFrame, scales: list[int]) -> DataFrame:
-    """The slope of log fluctuation on log scale of the summed-up deviations from the mean, lines taken off each segment."""
-    means = samples.groupBy("rec").agg(F.avg("value").alias("mean"), (F.max("idx") + 1).alias("n"))
+def dfa_alpha(samples: DataFrame, scales: list[int] | None = None, steps: int = 12) -> DataFrame:
+    """The slope of log fluctuation on log scale of the summed-up deviations from the mean, lines taken off each segment.
+
+    Each recording has scales of its own, `steps` of them in equal ratios from 8 to a quarter of its length n, rounded down,
+    each once; below 32 samples or three scales, or where a fluctuation is 0, it has no exponent. Given `scales` are used
+    for all recordings alike, at any length.
+    """
+    means = samples.groupBy("rec").agg(F.avg("value").alias("mean"), (F.max("idx") + 1).alias("n"), (F.min("value") < F.max("value")).alias("varies"))
     profile = F.sum(F.col("value") - F.col("mean")).over(Window.partitionBy("rec").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    y = samples.join(means, "rec").select("rec", "idx", "n", profile.alias("y"))
-    cut = y.withColumn("scale", F.explode(F.array(*map(F.lit, scales)))).withColumn("seg", F.floor(F.col("idx") / F.col("scale"))).where((F.col("seg") + 1) * F.col("scale") <= F.col("n"))
+    if scales is None:
+        longest = F.floor(F.col("n") / 4)
+        # What lies just below a whole number is one.
+        inner = [F.floor(8 * F.pow(longest / 8, F.lit(i / (steps - 1))) + 1e-9) for i in range(1, steps - 1)]
+        own = F.array_distinct(F.array(F.lit(8).cast("long"), *inner, longest))
+        means = means.withColumn("scales", F.when(F.col("varies") & (F.col("n") >= 32) & (F.size(own) >= 3), own))
+    else:
+        means = means.withColumn("scales", F.array(*map(F.lit, scales)))
+    y = samples.join(means.where("scales IS NOT NULL"), "rec").select("rec", "idx", "n", "scales", profile.alias("y"))
+    cut = y.withColumn("scale", F.explode("scales")).drop("scales").withColumn("seg", F.floor(F.col("idx") / F.col("scale"))).where((F.col("seg") + 1) * F.col("scale") <= F.col("n"))
     x = F.col("idx") - F.col("seg") * F.col("scale")
     fits = cut.groupBy("rec", "scale", "seg").agg(F.regr_sxx("y", x).alias("sxx"), F.regr_syy("y", x).alias("syy"), F.regr_sxy("y", x).alias("sxy"))
     left = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0)) / F.col("scale")
-    f = fits.groupBy("rec", "scale").agg(F.sqrt(F.avg(left)).alias("f")).where("f > 0")
-    return f.groupBy("rec").agg(F.regr_slope(F.log("f"), F.log("scale")).alias("dfa_alpha"))
+    f = fits.groupBy("rec", "scale").agg(F.sqrt(F.avg(left)).alias("f"))
+    slope = F.regr_slope(F.log("f"), F.log("scale"))
+    if scales is not None:
+        return f.where("f > 0").groupBy("rec").agg(slope.alias("dfa_alpha"))
+    found = f.groupBy("rec").agg(F.when(F.min("f") > 0, slope).alias("dfa_alpha"))
+    return means.select("rec").join(found, "rec", "left")
 
 
 def sample_entropy(samples: DataFrame, m: int = 2, r: float = 0.2) -> DataFrame:
