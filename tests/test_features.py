@@ -49,3 +49,10 @@ def test_scales_reach_a_quarter_of_each_recording(spark):
         assert got[name] == pytest.approx(fluctuation_exponent(x), rel=1e-6)
     short = {r.rec: r.dfa_alpha for r in features.dfa_alpha(s, [4, 6, 8, 12, 16]).collect()}
     assert abs(got["white"] - 0.5) < 0.02 < abs(short["white"] - 0.5)
+
+
+def test_sums_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(core, "CHUNK", 7)
+    x = np.random.default_rng(8).normal(size=40)
+    rows = features.summed_up(recordings(spark, a=x, b=2 * x), "value").orderBy("rec", "idx").collect()
+    assert [r.value for r in rows] == pytest.approx([*np.cumsum(x), *np.cumsum(2 * x)])

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undula import core
 from undula.core import chunked, over_chunks, owned, shifted, stored, windows
 
 #: Relative powers of the classic EEG bands, half-open, in Hz.
@@ -75,6 +76,15 @@ def higuchi_fd(samples: DataFrame, kmax: int = 10) -> DataFrame:
     return logs.groupBy("rec").agg(F.regr_slope("y", "x").alias("higuchi_fd"))
 
 
+def summed_up(df: DataFrame, name: str) -> DataFrame:
+    """A column's running sums over each recording: sums within chunks, plus those of the chunks before."""
+    df = df.withColumn("chunk", F.floor(F.col("idx") / F.lit(core.CHUNK)))
+    before = F.sum("part").over(Window.partitionBy("rec").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    base = df.groupBy("rec", "chunk").agg(F.sum(name).alias("part")).select("rec", "chunk", before.alias("base"))
+    within = F.sum(name).over(over_chunks((Window.unboundedPreceding, 0)))
+    return df.withColumn(name, within).join(base, ["rec", "chunk"]).withColumn(name, F.coalesce(F.col("base") + F.col(name), "base", name)).drop("base", "chunk")
+
+
 def dfa_alpha(samples: DataFrame, scales: list[int] | None = None, steps: int = 12) -> DataFrame:
     """The slope of log fluctuation on log scale of the summed-up deviations from the mean, lines taken off each segment.
 
@@ -83,7 +93,6 @@ def dfa_alpha(samples: DataFrame, scales: list[int] | None = None, steps: int =
     for all recordings alike, at any length.
     """
     means = samples.groupBy("rec").agg(F.avg("value").alias("mean"), (F.max("idx") + 1).alias("n"), (F.min("value") < F.max("value")).alias("varies"))
-    profile = F.sum(F.col("value") - F.col("mean")).over(Window.partitionBy("rec").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
     if scales is None:
         longest = F.floor(F.col("n") / 4)
         # What lies just below a whole number is one.
@@ -92,7 +101,7 @@ def dfa_alpha(samples: DataFrame, scales: list[int] | None = None, steps: int =
         means = means.withColumn("scales", F.when(F.col("varies") & (F.col("n") >= 32) & (F.size(own) >= 3), own))
     else:
         means = means.withColumn("scales", F.array(*map(F.lit, scales)))
-    y = samples.join(means.where("scales IS NOT NULL"), "rec").select("rec", "idx", "n", "scales", profile.alias("y"))
+    y = summed_up(samples.join(means.where("scales IS NOT NULL"), "rec").select("rec", "idx", "n", "scales", (F.col("value") - F.col("mean")).alias("y")), "y")
     cut = y.withColumn("scale", F.explode("scales")).drop("scales").withColumn("seg", F.floor(F.col("idx") / F.col("scale"))).where((F.col("seg") + 1) * F.col("scale") <= F.col("n"))
     x = F.col("idx") - F.col("seg") * F.col("scale")
     fits = cut.groupBy("rec", "scale", "seg").agg(F.regr_sxx("y", x).alias("sxx"), F.regr_syy("y", x).alias("syy"), F.regr_sxy("y", x).alias("sxy"))
