@@ -7,6 +7,7 @@ import pytest
 
 from tests.llm.helpers import ODD, corpus, crowded, empty
 from undula.llm import language_id, toxicity
+from undula.llm.queries import QUERIES
 
 SYLLABLES = {"aa": ["ka", "lo", "mi", "ne", "ru"], "bb": ["sch", "ung", "ver", "heit", "pf"], "cc": ["ción", "que", "ñar", "llo", "rra"]}
 BAD = ["idiot", "scum", "pathetic", "vermin", "worthless"]
@@ -43,6 +44,43 @@ def test_toxic_texts_are_told(toxic_model):
     assert scorer.score(rows[1][1] + " you idiotic worthlesss one") > scorer.score(rows[1][1])  # spelled as never seen
 
 
+def test_scores_equal_brute_force(toxic_model):
+    """Every window's softmax, from the vectors themselves."""
+    scorer = toxic_model.scorer()
+    for text in [r[1] for r in labelled(20, seed=3)] + ["", "x", "Idiot! idiots"]:
+        words, shares = toxicity.WORD.findall(text.lower()), []
+        for a in range(0, len(words), toxic_model.window):
+            mean = np.mean([toxic_model.vectors[toxic_model.subwords(w)].mean(0) for w in words[a : a + toxic_model.window]], axis=0)
+            z = mean @ toxic_model.weights + toxic_model.bias
+            shares.append(np.exp(z[1]) / np.exp(z).sum())
+        want = max(shares) if shares else 1 / (1 + np.exp(toxic_model.bias[0] - toxic_model.bias[1]))
+        assert scorer.score(text) == pytest.approx(want, abs=1e-9)
+
+
+def test_the_query_holds_on_rows_that_it_did_not_learn(spark):
+    """A quarter of the toxic rows of these labels have no toxic word in them, so not all can be told."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic IS NOT NULL").select("doc_id", "toxic")
+    rows = QUERIES["op1_toxicity"](spark, folder).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == y] for y in (1, 0))
+    assert len(toxic) > 10 and np.mean(toxic) >= 0.6 and np.mean(clean) <= 0.03
+
+
+def test_training_on_nothing(spark):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    docs = corpus(spark)
+    for d, y in ((docs, labels), (empty(spark), labels), (empty(spark), spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))):
+        assert all(r.tox_predicted == 0 for r in toxicity.score_documents(docs, toxicity.train(d, y)).collect())
+
+
+def test_rows_in_thousands_are_one_example(spark):
+    rows = labelled(200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, rows[1][1])] * 3000, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    a, b = toxicity.train(docs, labels), toxicity.train(docs.distinct(), labels)
+    assert np.array_equal(a.vectors, b.vectors)
+
+
 def test_a_short_passage_counts_in_a_long_text(toxic_model):
     scorer = toxic_model.scorer()
     clean = sentence(random.Random(5), "aa", 5000)

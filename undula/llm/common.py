@@ -17,9 +17,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a temporary one in local
+    mode, as in tests; on a cluster, where executors can't see such a folder, an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="undula-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import fold, fresh_name, uniform
+from undula.llm.common import broadcast_if_small, fold, fresh_name, uniform, written
 
 WORD = re.compile(r"\w+")
 
@@ -21,12 +21,12 @@ class SubwordSoftmax:
     """Word vectors are means of the hashed vectors of the word and its character n-grams; a window of words is the mean of
     its words' vectors, and a linear softmax over two classes scores it. A document is as toxic as its most toxic window, so
     a long text doesn't dilute a short passage. All parts are trained jointly. Vectors of subwords that fewer than `least`
-    training documents hold stay 0, so that no document is learned by heart.
+    training documents hold stay 0, and the others decay, so that no document is learned by heart.
 
     The layer on top is linear, so a window's logit is the mean of its words' own logits; scoring keeps one number a word.
     """
 
-    def __init__(self, buckets: int = 1 << 17, dim: int = 8, window: int = 4, shortest: int = 3, longest: int = 6, least: int = 8, seed: int = 1):
+    def __init__(self, buckets: int = 1 << 17, dim: int = 8, window: int = 2, shortest: int = 3, longest: int = 6, least: int = 8, seed: int = 1):
         self.buckets, self.dim, self.window, self.shortest, self.longest, self.least = buckets, dim, window, shortest, longest, least
         draw = np.random.default_rng(seed)
         self.vectors = draw.normal(0, 1 / dim, (buckets, dim))
@@ -42,11 +42,13 @@ class SubwordSoftmax:
             parts += [crc32(text[i : i + size].encode()) % self.buckets for i in range(n - size + 1)]
         return parts
 
-    def fit(self, texts: list[str], labels: list[int], epochs: int = 10, batch: int = 128, rate: float = 0.05) -> SubwordSoftmax:
-        """Train vectors and softmax by Adam, each epoch on windows chosen anew.
+    def fit(self, texts: list[str], labels: list[int], epochs: int = 20, batch: int = 64, rate: float = 0.03, decay: float = 0.5, many: int = 4, sharp: float = 6.0) -> SubwordSoftmax:
+        """Train vectors and softmax by Adam, each epoch on windows drawn anew from every document.
 
-        The first epoch takes windows at random, to have a direction at all; later ones take each document's most toxic
-        window, and of documents of class 0 the next one too. Both classes weigh alike; the rate falls to 0.
+        Windows are drawn by a softmax of their logits whose sharpness grows from 0 to `sharp`, and their number falls from
+        `many` to 1 (2 in documents of class 0, whose hardest windows set the false alarms): the first epochs see each
+        document as a whole, the last its most toxic windows. Documents of a class weigh alike, and both classes do; the
+        rate falls to 0, and `decay` is the share of a vector that each touch takes off, times the rate.
         """
         index: dict[str, int] = {}
         docs = [np.array([index.setdefault(w, len(index)) for w in WORD.findall(t.lower())], np.int32) for t in texts]
@@ -56,9 +58,9 @@ class SubwordSoftmax:
         n_grams = np.zeros(len(index), np.int64)
         listed = array("i")
         for k, word in enumerate(index):
-            n_grams[k] = -len(listed)
-            listed.extend(self.subwords(word))
-            n_grams[k] += len(listed)
+            parts = self.subwords(word)
+            n_grams[k] = len(parts)
+            listed.extend(parts)
         grams = np.frombuffer(listed, np.int32)
         gram_starts = np.cumsum(n_grams) - n_grams
         del index
@@ -67,53 +69,56 @@ class SubwordSoftmax:
         self.vectors[rare] = 0
         words = np.concatenate([docs[i] for i in filled])
         lengths = np.array([len(docs[i]) for i in filled])
-        heads = [np.arange(0, n, self.window) for n in lengths]
-        cuts = np.concatenate([h + o for h, o in zip(heads, np.cumsum(lengths) - lengths, strict=True)])
+        n_windows = -(-lengths // self.window)
+        of_doc = np.repeat(np.arange(len(filled)), n_windows)
+        first_of = np.cumsum(n_windows) - n_windows
+        cuts = (np.arange(len(of_doc)) - first_of[of_doc]) * self.window + (np.cumsum(lengths) - lengths)[of_doc]
         sizes = np.diff(np.append(cuts, len(words)))
-        of_doc = np.repeat(np.arange(len(filled)), [len(h) for h in heads])
-        first_of = np.unique(of_doc, return_index=True)[1]
-        truth = np.array(labels, np.int64)[filled][of_doc]
-        epochs = max(epochs, min(60, 400 * batch // len(filled)))  # small samples are seen more often
+        label = np.array(labels, np.int64)[filled]
+        truth = label[of_doc]
+        share = len(label) / np.maximum(1, 2 * np.bincount(label, minlength=2))
         draw = np.random.default_rng(self.seed)
         tables = {"vectors": self.vectors, "weights": self.weights, "bias": self.bias}
         state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in tables.items()}
         step = 0
         for epoch in range(epochs):
+            done = epoch / max(1, epochs - 1)
             each = (self.vectors @ (self.weights[:, 1] - self.weights[:, 0]))[grams]
             per_word = np.add.reduceat(each, gram_starts) / n_grams
-            keys = -np.add.reduceat(per_word[words], cuts) / sizes if epoch else draw.random(len(cuts))
-            order = np.lexsort((keys, of_doc))
+            logits = np.add.reduceat(per_word[words], cuts) / sizes
+            order = np.lexsort((-(sharp * done * logits + draw.gumbel(size=len(cuts))), of_doc))
             place = np.arange(len(order)) - first_of[of_doc[order]]
-            chosen = order[(place == 0) | ((place == 1) & ((truth[order] == 0) | (epoch == 0)))]
-            share = np.array([len(chosen) / max(1, 2 * (truth[chosen] == c).sum()) for c in (0, 1)])
-            parts = np.array_split(draw.permutation(chosen), -(-len(chosen) // batch))
-            for k, part in enumerate(parts):
+            most = round(many * (1 - done) + done)
+            chosen = order[place < np.where(truth[order] == 1, most, max(2, most))]
+            weight = share[truth[chosen]] / np.bincount(of_doc[chosen])[of_doc[chosen]]
+            turn = np.array_split(draw.permutation(len(chosen)), -(-len(chosen) // batch))
+            for k, part in enumerate(turn):
                 step += 1
-                at = np.concatenate([np.arange(cuts[w], cuts[w] + sizes[w]) for w in part])
-                own, local = np.unique(words[at], return_inverse=True)
+                at, n = chosen[part], sizes[chosen[part]]
+                own, local = np.unique(words[np.repeat(cuts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())], return_inverse=True)
                 n_own = n_grams[own]
                 at_own = np.cumsum(n_own) - n_own
                 rows = grams[np.repeat(gram_starts[own] - at_own, n_own) + np.arange(n_own.sum())]
                 vectors = np.add.reduceat(self.vectors[rows], at_own) / n_own[:, None]
-                n = sizes[part]
                 means = np.add.reduceat(vectors[local], np.cumsum(n) - n) / n[:, None]
                 z = means @ self.weights + self.bias
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                p[np.arange(len(part)), truth[part]] -= 1
-                p *= (share[truth[part]] / len(part))[:, None]
+                p[np.arange(len(at)), truth[at]] -= 1
+                p *= (weight[part] / weight[part].sum())[:, None]
                 to_word = np.repeat(p @ self.weights.T / n[:, None], n, axis=0)
                 per_own = np.stack([np.bincount(local, c, len(own)) for c in to_word.T], axis=1) / n_own[:, None]
                 touched, where = np.unique(rows, return_inverse=True)
                 to_row = np.repeat(per_own, n_own, axis=0)
                 gradient = np.stack([np.bincount(where, c, len(touched)) for c in to_row.T], axis=1)
                 gradient[rare[touched]] = 0
-                now = rate * (1 - (epoch + k / len(parts)) / epochs)
+                now = rate * (1 - (epoch + k / len(turn)) / epochs)
                 for name, rows_of, g in (("vectors", touched, gradient), ("weights", slice(None), means.T @ p), ("bias", slice(None), p.sum(0))):
                     first, second = state[name]
                     first[rows_of] = 0.9 * first[rows_of] + 0.1 * g
                     second[rows_of] = 0.99 * second[rows_of] + 0.01 * g * g
                     tables[name][rows_of] -= now * (first[rows_of] / (1 - 0.9**step)) / (np.sqrt(second[rows_of] / (1 - 0.99**step)) + 1e-8)
+                self.vectors[touched] *= 1 - now * decay
         return self
 
     def scorer(self) -> Scorer:
@@ -148,19 +153,22 @@ class Scorer(dict):
         return float(1 / (1 + np.exp(-np.clip(most + self.bias, -50, 50))))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 3000, max_chars: int = 20_000, seed: int = 11, **parameters) -> SubwordSoftmax:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 2000, max_chars: int = 20_000, seed: int = 11, **parameters) -> SubwordSoftmax:
     """Fit on a sample of the labelled documents: `rows` of each class in expectation, none longer than `max_chars`.
 
-    These two bound what reaches the driver. Null texts, null labels and labels other than 0 and 1 are left out; without
-    examples of both classes the model calls nothing toxic.
+    These two bound what reaches the driver. Null texts, null labels and labels other than 0 and 1 are left out, a document
+    with several labels has the largest, and equal rows count once; without examples of both classes the model calls nothing
+    toxic. Texts stay where they are: the keys of the labelled ones are joined and sampled, and the sample's keys, a bounded
+    number, are broadcast to the texts.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    sized = docs.where(F.length("text") <= max_chars).select("doc_id", F.col("text").alias("sample_text"))
-    usable = sized.select("doc_id").join(known, "doc_id")
+    sized = docs.where(F.length("text") <= max_chars).select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").alias("sample_text"))
+    usable = written(sized.select("doc_id", "text_key").join(known, "doc_id").distinct(), "labelled")
     counts = {r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.create_map(*(F.lit(x) for c in (0, 1) for x in (c, min(1.0, rows / max(1, counts.get(c, 0))))))
-    sample = known.where(uniform("doc_id", seed) < share[F.col("label")])
-    got = sized.join(sample, "doc_id").select("doc_id", "sample_text", "label").toPandas().sort_values(["doc_id", "sample_text"])
+    sample = broadcast_if_small(usable.where(uniform(F.struct("doc_id", "text_key"), seed) < share[F.col("label")]), 20 * rows)
+    picked = sized.join(sample, ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(F.first("sample_text").alias("sample_text"), F.first("label").alias("label"))
+    got = picked.toPandas().sort_values(["doc_id", "sample_text"])
     model = SubwordSoftmax(**parameters)
     if got["label"].nunique() < 2:
         model.vectors[:] = 0
