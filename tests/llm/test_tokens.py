@@ -19,7 +19,7 @@ PIECE, BYTE, WORD = (public_tokenizers.path(p) for p in ("piece_bpe_32k.model",
 
 def torture(n=1500):
     draw = random.Random(3)
-    letters = [*" .,\n\tab'sÉ1!́ 日▁", "the", " of"]
+    letters = [*" .,\n\tab'sÉ1!́ 日▁", "the", " of", *"İıÅ\u212bﬁß\u00a0\u0085\u200b\u200d\ufeff;:?", "😀", "İ.", "ﬁ,"]
     return ["".join(draw.choice(letters) for _ in range(draw.randint(0, 30))) for _ in range(n)]
 
 

@@ -70,8 +70,9 @@ class ChunkEncoder:
         cut = [t.split(" ") for t in texts]
         ids = self.ids
         new = {c for c in set(chain.from_iterable(c[1:] for c in cut)) if c not in ids}
-        # A letter and a closing mark are apart in both tokenizers: encode the word once, whatever mark follows it.
-        ends = {c for c in new if len(c) > 1 and c[-1] in CLOSING and c[-2] < "ɐ" and c[-2].isalpha()}
+        # A letter and a closing mark are apart in both tokenizers: encode the word once, whatever mark follows it. Some letters
+        # become others in lower case: what stands before the mark then has to be a letter, too.
+        ends = {c for c in new if len(c) > 1 and c[-1] in CLOSING and c[-2] < "ɐ" and c[-2].isalpha() and c[-2].lower().isalpha()}
         plain = new - ends
         plain.update(w for c in ends if (w := c[:-1]) not in ids)
         marks = dict(zip(CLOSING, self._encode(list(CLOSING)), strict=True))
