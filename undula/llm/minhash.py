@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.llm.common import broadcast_if_small, complete_groups, written
+from undula.llm.common import broadcast_if_small, complete_groups, fresh_name, written
 from undula.llm.components import connected_components, link
 
 WORD = re.compile(r"\w+")
@@ -21,7 +21,7 @@ SHINGLE, LEAST = 5, 0.8
 COORDINATES, BANDS = 100, 20
 #: Pairs whose signatures agree in a smaller share are not checked: 4.5 standard deviations below LEAST.
 AGREE = 0.62
-#: Documents of a band's bucket that are compared at once.
+#: Texts of a band's bucket that are compared at once.
 BLOCK = 512
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -55,8 +55,8 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
-def shingles(words: list[str], tf: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of SHINGLE words as sorted 64-bit hashes, and their weights: 1, or their counts with `tf`.
+def shingles(words: list[str], tf: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of SHINGLE words as sorted 64-bit hashes, and their weights: their counts, or 1 without `tf`.
 
     Fewer words make one shingle of all; no words make none.
     """
@@ -123,6 +123,14 @@ def signatures(elements: np.ndarray, weights: np.ndarray, owners: np.ndarray, n:
     return out
 
 
+def unfolded(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A set whose plain Jaccard similarities are the weighted ones of sets with whole weights: an element of weight w gives w
+    64-bit numbers, sorted."""
+    n = weights.astype(np.int64)
+    nth = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+    return np.sort(mix(np.repeat(elements, n) ^ mix(nth * _B)))
+
+
 def band_keys(found: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """A 64-bit key for each band of each signature; bands never share keys by their place."""
     parts = found.reshape(len(found), bands, -1)
@@ -145,7 +153,7 @@ def node_of(text: str, words: list[str]) -> int:
 SKETCH = "doc_id long, node long, words long, bands array<long>, signature binary"
 
 
-def sketches(docs: DataFrame, tf: bool = False) -> DataFrame:
+def sketches(docs: DataFrame, tf: bool = True) -> DataFrame:
     """doc_id, node (equal for copies), words, band keys and a byte of each coordinate, for every whole text."""
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +210,7 @@ def _paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def similar_pairs(sets: list[np.ndarray], least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs i < j of sorted sets of 32-bit numbers whose Jaccard similarity is `least` or more."""
+    """The pairs i < j of sorted sets of numbers whose Jaccard similarity is `least` or more."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.float64)
     if n == 2:
@@ -230,7 +238,7 @@ def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of (bucket, low, high, node, shingles) rows a spanning forest of the near-duplicate pairs of each block pair."""
     for batch, starts, ends in complete_groups(batches, ["bucket", "low", "high"]):
         nodes = batch["node"].to_numpy(np.int64)
-        sets = [np.frombuffer(s, np.uint32) for s in batch["shingles"]]
+        sets = [np.frombuffer(s, np.uint64) for s in batch["shingles"]]
         a_, b_ = [], []
         for a, b in zip(starts, ends, strict=True):
             if b - a > 1:
@@ -243,72 +251,119 @@ def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": np.concatenate(a_), "b": np.concatenate(b_)})
 
 
-def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        nodes, sets = [], []
-        for text in batch["text"]:
-            words = words_of(text)
-            nodes.append(node_of(text, words))
-            sets.append(np.unique((shingles(words)[0] >> np.uint64(16)).astype(np.uint32)).tobytes())
-        yield pd.DataFrame({"node": nodes, "shingles": sets})
+def _compared(paired: DataFrame, texts: DataFrame, docs: DataFrame, tf: bool) -> DataFrame:
+    """Edges (a, b), a spanning forest of the near-duplicate pairs of each group of `paired` (bucket, low, high, node)."""
 
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            nodes, sets = [], []
+            for text in batch["text"]:
+                words = words_of(text)
+                nodes.append(node_of(text, words))
+                sets.append(unfolded(*shingles(words, tf)).tobytes())
+            yield pd.DataFrame({"node": nodes, "shingles": sets})
+
+    wanted = written(paired.select("node").distinct().join(texts.select("node", "doc_id"), "node"), "wanted")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    read = rows.join(broadcast_if_small(wanted.where("doc_id IS NOT NULL").select("doc_id").distinct()), "doc_id", "left_semi")
+    if not wanted.where("doc_id IS NULL").isEmpty():  # their texts are under no doc_id
+        read = read.unionByName(rows.where("doc_id IS NULL"))
+    read = read.mapInPandas(shingled, "node long, shingles binary").dropDuplicates(["node"])
+    key = ["bucket", "low", "high"]
+    return paired.join(read, "node").repartition(*key).sortWithinPartitions(*key).mapInPandas(_checked, "a long, b long")
 
-def near_duplicates(docs: DataFrame, tf: bool = False) -> DataFrame:
-    """doc_id, node, class_id and kept of every row of `docs` (doc_id, text).
+
+def near_duplicates(docs: DataFrame, tf: bool = True) -> DataFrame:
+    """doc_id, node, root, class_id and kept of every row of `docs` (doc_id, text).
 
     Texts whose words are the same in the same order, letter case and marks aside, are copies; texts without words are
     copies if they are equal, and a null text is an empty one. Copies share a `node`. Two different texts link if the
-    Jaccard similarity of their shingles of five words is 0.8 or more; the class_id is the smallest doc_id that copies and
-    links reach. Rows without a doc_id belong to their text's class; one whose text no row with a doc_id has is compared
-    with no other text and has no class_id. `kept` marks the rows whose doc_id is the class_id; rows that share a doc_id
-    and a text are both marked. Other columns are ignored.
-
-    Each distinct text has one signature in the banded join. A bucket, however large, is compared in pairs of blocks of
-    about BLOCK documents, each its own unit of work. Signatures decide which documents of a pair of blocks need their
-    shingles; those are compared exactly, and a spanning forest of the links leaves the task, so all links count and no
-    list of pairs grows with the square of a group.
+    weighted Jaccard similarity of their shingles of five words is 0.8 or more; a shingle weighs as often as it occurs, or
+    1 without `tf`. Copies and links make classes: `root` is a class's smallest node, class_id its smallest doc_id, null if
+    no row of it has one. `kept` marks the rows whose doc_id is the class_id; rows that share a doc_id and a text are both
+    marked, rows without a doc_id never. Other columns are ignored.
+
+    Each distinct text has one signature in the banded join. Signatures decide which texts of a bucket need their shingles;
+    those are compared exactly, and a spanning forest of the links leaves the task, so all links count and no list of pairs
+    grows with the square of a group. A bucket of more than BLOCK texts is cut into blocks, and each compared within itself
+    alone, at a cost that grows with the bucket. What is in one class by then needs no comparing: in a second round the
+    crowded buckets are cut into blocks anew, of one class each where a class fills a block, and only blocks of different
+    classes meet. So a bucket of a million near copies costs little more than its size.
     """
     found = written(sketches(docs, tf), "sketches")
     texts = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("bands", "signature")).alias("s"))
-    texts = written(texts.where("doc_id IS NOT NULL").select("node", "doc_id", "s.*"), "texts")
+    texts = written(texts.select("node", "doc_id", "s.*"), "texts")
     bucketed = texts.select("node", F.explode("bands").alias("bucket"))
-    crowded = bucketed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = bucketed.join(crowded, "bucket")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    members = members.select("node", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    key = ["bucket", "low", "high"]
-    paired = members.join(texts.select("node", "bands", "signature"), "node").repartition(*key).sortWithinPartitions(*key)
-    paired = written(paired.mapInPandas(_paired, "bucket long, low long, high long, node long"), "candidates")
-    wanted = written(paired.select("node").distinct().join(texts.select("node", "doc_id"), "node"), "wanted")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    read = rows.join(broadcast_if_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi").mapInPandas(_shingled, "node long, shingles binary")
-    read = read.dropDuplicates(["node"])
-    checked = paired.join(read, "node").repartition(*key).sortWithinPartitions(*key).mapInPandas(_checked, "a long, b long")
-    roots = connected_components(checked)
+    crowded = written(bucketed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = bucketed.join(crowded, "bucket").withColumn("low", F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / BLOCK)))
+    key, row = ["bucket", "low", "high"], "bucket long, low long, high long, node long"
+
+    def paired(cut: DataFrame) -> DataFrame:
+        """Of (node, bucket, block, low, high) rows those that _paired() leaves."""
+        full = cut.join(texts.select("node", "bands", "signature"), "node").repartition(*key).sortWithinPartitions(*key)
+        return written(full.mapInPandas(_paired, row), "candidates")
+
+    within = paired(members.select("node", "bucket", F.col("low").alias("block"), "low", F.col("low").alias("high")))
+    roots = connected_components(_compared(within, texts, docs, tf))
+    large = crowded.where(F.col("size") > BLOCK)
+    if not large.isEmpty():
+        own = bucketed.join(large.select("bucket"), "bucket").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        across = paired(_across(written(own.select("node", "bucket", "root"), "crowded")))
+        more = _compared(across, texts, docs, tf)
+        roots = connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     grouped = texts.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = grouped.join(grouped.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("node", "class_id")
-    out = found.select("doc_id", "node").join(classes, "node", "left")
-    return out.select("doc_id", "node", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+    classes = grouped.join(grouped.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("node", "root", "class_id")
+    out = found.select("doc_id", "node").join(classes, "node")
+    return out.select("doc_id", "node", "root", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+
+
+def _across(own: DataFrame) -> DataFrame:
+    """Of (node, bucket, root) rows of crowded buckets, the rows (node, bucket, block, low, high) of the block pairs that hold
+    more than one class.
+
+    A class of BLOCK texts or more in its bucket has blocks of its own; the others share mixed ones. Mixed blocks meet all of
+    their bucket, blocks of one class those of others. At most one row in BLOCK of a bucket is a class that a window numbers.
+    """
+    sizes = own.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+    mixed = sizes.where(F.col("size") < BLOCK).groupBy("bucket").agg(F.ceil(F.sum("size") / BLOCK).alias("mixed"))
+    filled = sizes.where(F.col("size") >= BLOCK).withColumn("n", F.ceil(F.col("size") / BLOCK))
+    each = Window.partitionBy("bucket").orderBy("root")
+    filled = filled.withColumns({"before": F.sum("n").over(each) - F.col("n"), "all": F.sum("n").over(Window.partitionBy("bucket"))})
+    totals = mixed.join(filled.groupBy("bucket").agg(F.max("all").alias("all")), "bucket", "full").fillna(0, ["mixed", "all"]).where("mixed + all > 1")
+    placed = own.join(totals, "bucket").join(filled.select("bucket", "root", "n", "before"), ["bucket", "root"], "left")
+    first, n = F.col("mixed") + F.col("before"), F.col("n")
+    alone = n.isNotNull()
+    block = F.when(alone, first + F.pmod(F.xxhash64("node"), n)).otherwise(F.pmod(F.xxhash64("root"), F.greatest("mixed", F.lit(1))))
+    placed = placed.withColumn("block", block)
+    last = F.col("mixed") + F.col("all") - 1
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
+    behind = F.when(first + n <= last, F.sequence(first + n, last)).otherwise(none)
+    others = F.when(alone, F.concat(F.when(first > 0, F.sequence(zero, first - 1)).otherwise(none), behind)).otherwise(F.sequence(zero, last))
+    met = placed.withColumn("other", F.explode(others))
+    return met.select("node", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of `docs` that near_duplicates() marks in `classes`, one of each class.
+    """One row of `docs` (doc_id, text and any other columns) for each class that near_duplicates() gives.
 
-    Rows that have no class stay. Where several rows share a doc_id, each is held against its own text's class.
+    It is the one with the smallest doc_id; where several rows share that doc_id and a text, one of them. Rows that share a
+    doc_id with other texts, and rows without a doc_id, are held against their own text's class. Of a class in which no row
+    has a doc_id, a row of its smallest node stays.
     """
     classes = written(classes, "classes")
     often = written(classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
-    gone = written(classes.where("class_id IS NOT NULL AND NOT kept").select("doc_id").unionByName(often).distinct(), "dropped-ids")
-    single = docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
-    shared = docs.join(broadcast_if_small(often), "doc_id", "left_semi")
-    columns = docs.columns
-
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(own_node=[node_of(t or "", words_of(t or "")) for t in batch["text"]])
-
-    shared = shared.mapInPandas(named, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, own_node long")
-    mine = classes.where("kept").select("doc_id", F.col("node").alias("own_node")).distinct()
-    return single.unionByName(shared.join(mine, ["doc_id", "own_node"], "left_semi").dropDuplicates(["doc_id", "own_node"]).select(*columns))
+    gone = written(classes.where("class_id IS NOT NULL AND doc_id IS NOT NULL AND NOT kept").select("doc_id").unionByName(often).distinct(), "dropped-ids")
+    single = docs.where("doc_id IS NOT NULL").join(broadcast_if_small(gone), "doc_id", "left_anti")
+    nameless = docs.where("doc_id IS NULL")
+    shared = docs.join(broadcast_if_small(often), "doc_id", "left_semi").select(*docs.columns).unionByName(nameless)
+    own = fresh_name(docs, "own_node")
+
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        return pd.Series([node_of(t, words_of(t)) for t in texts], dtype="int64")
+
+    shared = shared.withColumn(own, node(F.coalesce("text", F.lit(""))))
+    mine = classes.where("kept OR doc_id IS NULL AND class_id IS NULL AND node = root").select("doc_id", F.col("node").alias(own)).distinct().alias("mine")
+    same = F.col("mine.doc_id").eqNullSafe(F.col("shared.doc_id")) & (F.col(f"mine.{own}") == F.col(f"shared.{own}"))
+    left = shared.alias("shared").join(mine, same, "left_semi").dropDuplicates(["doc_id", own])
+    return single.select(*docs.columns).unionByName(left.select(*docs.columns))
