@@ -21,24 +21,39 @@ def hashed(seed: int, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(_SPAN)
 
 
-def poisson(mean: Column, seed: int, *keys: Column) -> Column:
+def parts_of(mean: Column) -> Column:
+    """Into how many equal parts a mean is split so that none is above MOST_MEAN."""
+    return F.greatest(F.lit(1), F.ceil(mean / F.lit(MOST_MEAN))).cast("int")
+
+
+def steps_of(mean: Column) -> Column:
+    """Where the distribution of one part of the mean steps up: P(count <= k) for k from 0 on, as far as a hashed number can
+    reach. One row a source needs it, so the documents only look numbers up in it."""
+    m = mean / parts_of(mean)
+    start = F.struct(F.exp(-m).alias("p"), F.exp(-m).alias("cdf"), F.array(F.exp(-m)).alias("all"))
+
+    def step(s: Column, k: Column) -> Column:
+        p = s["p"] * m / k
+        return F.struct(p.alias("p"), (s["cdf"] + p).alias("cdf"), F.array_append(s["all"], s["cdf"] + p).alias("all"))
+
+    whole = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_COPIES - 1)), start, step, lambda s: s["all"])
+    return F.filter(whole, lambda c: c <= 1 - 1 / _SPAN)
+
+
+def poisson(mean: Column, seed: int, *keys: Column, steps: Column | None = None) -> Column:
     """A Poisson count with that mean, by inversion: the number of k with P(count <= k) <= u, u hashed from seed and keys.
 
-    Means above MOST_MEAN are split into equal parts whose counts are added.
+    Means above MOST_MEAN are split into equal parts whose counts are added. `steps` is steps_of(mean), where it is at hand.
     """
-    parts = F.greatest(F.lit(1), F.ceil(mean / F.lit(MOST_MEAN)))
+    steps = steps_of(mean) if steps is None else steps
 
     def one(part: Column) -> Column:
-        u, m = hashed(seed, *keys, part), mean / parts
-        start = F.struct(F.exp(-m).alias("p"), F.exp(-m).alias("cdf"), F.lit(0).alias("n"))
-
-        def step(s: Column, k: Column) -> Column:
-            p = s["p"] * m / k
-            return F.struct(p.alias("p"), (s["cdf"] + p).alias("cdf"), F.when(s["cdf"] <= u, k).otherwise(s["n"]).alias("n"))
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_COPIES)), start, step, lambda s: s["n"])
+        # As the element of an array the number is hashed once, not again for each step.
+        return F.transform(F.array(hashed(seed, *keys, part)), lambda u: F.size(F.filter(steps, lambda c: c <= u)))[0]
 
-    return F.when(mean > 0, F.aggregate(F.sequence(F.lit(1), parts.cast("int")), F.lit(0), lambda n, j: n + one(j))).otherwise(0)
+    # Nearly all means are of one part: spare those the loop.
+    many = F.aggregate(F.sequence(F.lit(1), parts_of(mean)), F.lit(0), lambda n, j: n + one(j))
+    return F.when(mean <= 0, 0).when(mean <= MOST_MEAN, one(F.lit(1))).otherwise(many)
 
 
 def rates(docs: DataFrame, power: float, group: str = "source") -> DataFrame:
@@ -63,11 +78,15 @@ def mix_sources(docs: DataFrame, power: float = 0.5, seed: int = 7, group: str =
     a source without a target is dropped, as a rate of 0 says.
     """
     rate, copies, copy, place = (fresh_name(docs, c) for c in ("mix_rate", "mix_copies", "mix_copy", "mix_place"))
-    key = fresh_name(docs, "mix_group")
+    key, steps, part = (fresh_name(docs, c) for c in ("mix_group", "mix_steps", "mix_part"))
     per = written(rates(docs, power, group), "rates") if targets is None else targets
-    per = broadcast_if_small(per, 100_000).select(F.col("mix_group").alias(key), F.col("rate").alias(rate))
+    per = per.select(F.col("mix_group").alias(key), F.col("rate").alias(rate), steps_of(F.col("rate")).alias(steps))
+    per = broadcast_if_small(written(per, "steps"), 10_000)
     counted = docs.join(per, docs[group].eqNullSafe(per[key])).drop(key)
-    counted = counted.withColumn(copies, poisson(F.col(rate), seed, F.col("doc_id"))).where(F.col(copies) > 0)
+    counted = counted.withColumn(copies, poisson(F.col(rate), seed, F.col("doc_id"), steps=F.col(steps))).drop(steps).where(F.col(copies) > 0)
     repeated = counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     placed = repeated.withColumn(place, hashed(seed + 1, F.col("doc_id"), F.col(copy)))
-    return placed.repartitionByRange(F.col(place)).sortWithinPartitions(place, "doc_id")
+    # Places are uniform, so equal spans of them hold about equally many copies; no pass over the rows has to find the spans.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.withColumn(part, F.floor(F.col(place) * n).cast("int")).repartitionById(n, part)
+    return dealt.drop(part).sortWithinPartitions(place, "doc_id")
