@@ -17,14 +17,41 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 
 
-def from_rows(df: DataFrame, rec: str | Column, order: list[str | Column], value: str | Column) -> DataFrame:
-    """Samples from rows in an order; NaN becomes null. For recordings whose index isn't known: numbers each by a window."""
+def from_rows(df: DataFrame, rec: str | Column, order: list[str | Column], value: str | Column, bucket: Column | None = None) -> DataFrame:
+    """Samples from rows in an order; NaN becomes null.
+
+    `bucket` is a column that never falls in that order, such as the day of a time: rows are then numbered within each bucket,
+    from the counts of the buckets before, and a long recording is spread over many tasks. Without it they are dealt to tasks
+    by ranges of the order, which costs a written table.
+    """
     rec, value = (F.col(c) if isinstance(c, str) else c for c in (rec, value))
-    w = Window.partitionBy("rec").orderBy(*[F.col(f"_o{i}") for i in range(len(order))])
     keys = [(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)]
     v = value.cast("double")
-    rows = df.select(rec.alias("rec"), *keys, F.when(~F.isnan(v), v).alias("value"))
-    return rows.select("rec", (F.row_number().over(w) - 1).cast("long").alias("idx"), "value")
+    order = [f"_o{i}" for i in range(len(order))]
+    rows = df.select(rec.alias("rec"), *keys, F.when(~F.isnan(v), v).alias("value"), *([] if bucket is None else [bucket.alias("_b")]))
+    if bucket is None:
+        return numbered(rows, ["rec"], order, "idx").select("rec", "idx", "value")
+    return _numbered_within(rows, ["rec"], "_b", order, "idx").select("rec", "idx", "value")
+
+
+def dealt(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """`df` dealt to tasks by ranges of its order and written, with each row's range as `name`: a later range has later rows,
+    and equal ones share a range."""
+    return stored(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+
+
+def _numbered_within(df: DataFrame, key: list[str], bucket: str, order: list[str], name: str) -> DataFrame:
+    counts = df.groupBy(*key, bucket).agg(F.count("*").alias("_n"))
+    base = counts.select(*key, bucket, (F.sum("_n").over(Window.partitionBy(*key).orderBy(bucket)) - F.col("_n")).alias("_base"))
+    place = F.row_number().over(Window.partitionBy(*key, bucket).orderBy(*order)) - 1
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in [*key, bucket]]
+    both = df.withColumn("_place", place).alias("x").join(base.alias("y"), same).select("x.*", "y._base")
+    return both.withColumn(name, (F.col("_base") + F.col("_place")).cast("long")).drop("_base", "_place")
+
+
+def numbered(df: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row among those of its key, from 0, by ranges of the order: no task sorts all rows of a key."""
+    return _numbered_within(dealt(df, [*key, *order], "_part"), key, "_part", order, name).drop("_part")
 
 
 def from_arrays(df: DataFrame, rec: str, values: str) -> DataFrame:
@@ -104,7 +131,8 @@ def neighbours(samples: DataFrame) -> DataFrame:
     w = Window.partitionBy("rec").orderBy("chunk")
     ends = ends.select("rec", "chunk", F.last("tail", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("tail"), F.first("head", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("head"))
     back = F.last(here, True).over(over_chunks((Window.unboundedPreceding, 0)))
-    ahead = F.first(here, True).over(over_chunks((0, Window.unboundedFollowing)))
+    # Backwards, as a frame up to the end would be gone through again for each row.
+    ahead = F.last(here, True).over(Window.partitionBy("rec", "chunk").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0))
     df = df.withColumns({"back": back, "ahead": ahead}).join(ends, ["rec", "chunk"])
     prev, next_ = F.coalesce("back", "tail"), F.coalesce("ahead", "head")
     return df.select(*samples.columns, prev["idx"].alias("prev_i"), prev["value"].alias("prev_v"), next_["idx"].alias("next_i"), next_["value"].alias("next_v"))

@@ -18,6 +18,15 @@ WINDOWS = {
 }
 
 
+#: Mother wavelets: the function, half the span over which it is tabulated, and its centre frequency.
+MOTHERS = {
+    "cmor1.5-1.0": (lambda t: np.exp(2j * np.pi * t - t * t / 1.5) / np.sqrt(1.5 * np.pi), 8.0, 1.0),
+    "mexh": (lambda t: 2 / (np.sqrt(3) * np.pi**0.25) * (1 - t * t) * np.exp(-t * t / 2), 8.0, 0.25),
+    "gaus1": (lambda t: -2 * t * np.exp(-t * t) / (np.pi / 2) ** 0.25, 5.0, 0.2),
+}
+MOTHER_POINTS = 1 << 12
+
+
 def one_sided(n: int) -> np.ndarray:
     """2 for the bins that stand for two, 1 for the mean and the Nyquist bin."""
     w = np.full(n // 2 + 1, 2.0)
@@ -85,22 +94,43 @@ def notch(freq: float, quality: float, fs: float) -> np.ndarray:
     return np.array([[gain, -2 * np.cos(w) * gain, gain, -2 * gain * np.cos(w), 2 * gain - 1]])
 
 
+#: Samples that the sections take at a step.
+STEP = 64
+
+
 def sections(sos: np.ndarray, x: np.ndarray, settled: bool = False) -> np.ndarray:
-    """Rows of x through the sections, sample by sample over all rows at once; `settled` starts in the steady state of each
-    row's first value."""
+    """Rows of x through the sections; `settled` starts in the steady state of each row's first value.
+
+    A section's two memories and STEP values give STEP results and the next two memories by one matrix, so a row takes
+    len / STEP steps of matrix products, not one step a sample.
+    """
     y = np.array(x, float)
+    n = y.shape[1]
     for b0, b1, b2, a1, a2 in sos:
-        z1, z2 = np.zeros(len(y)), np.zeros(len(y))
-        if settled:
+        z = np.zeros((len(y), 2))
+        if settled and n:
             level = (b0 + b1 + b2) / (1 + a1 + a2)
-            z2 = (b2 - a2 * level) * y[:, 0]
-            z1 = (b1 - a1 * level) * y[:, 0] + z2
+            z[:, 1] = (b2 - a2 * level) * y[:, 0]
+            z[:, 0] = (b1 - a1 * level) * y[:, 0] + z[:, 1]
+        # What each unit value and each unit memory leaves behind, sample by sample.
+        size = min(STEP, n)
+        unit, memory = np.zeros((size + 2, size)), np.zeros((size + 2, 2))
+        memory[size:] = np.eye(2)
+        for t in range(size):
+            v = np.zeros(size + 2)
+            v[t] = 1
+            o = b0 * v + memory[:, 0]
+            memory = np.stack([b1 * v - a1 * o + memory[:, 1], b2 * v - a2 * o], axis=1)
+            unit[:, t] = o
         out = np.empty_like(y)
-        for t in range(y.shape[1]):
+        whole = n - n % size if size else 0
+        for a in range(0, whole, max(size, 1)):
+            state = np.concatenate([y[:, a : a + size], z], axis=1)
+            out[:, a : a + size], z = state @ unit, state @ memory
+        for t in range(whole, n):
             v = y[:, t]
-            o = b0 * v + z1
-            z1 = b1 * v - a1 * o + z2
-            z2 = b2 * v - a2 * o
+            o = b0 * v + z[:, 0]
+            z = np.stack([b1 * v - a1 * o + z[:, 1], b2 * v - a2 * o], axis=1)
             out[:, t] = o
         y = out
     return y
@@ -112,6 +142,15 @@ def settle_length(sos: np.ndarray, tolerance: float = 1e-10) -> int:
     return int(np.ceil(np.log(tolerance) / np.log(min(np.abs(poles).max(), 1 - 1e-9)))) + 10
 
 
+def resampling_taps(up: int, down: int) -> np.ndarray:
+    """Lowpass taps for a change of rate by up / down under a Kaiser window (beta 5), ten zeros to a side."""
+    most = max(up, down)
+    half = 10 * most
+    m = np.arange(-half, half + 1)
+    h = np.sinc(m / most) / most * np.kaiser(2 * half + 1, 5.0)
+    return up * h / h.sum()
+
+
 def windowed_sinc(taps: int, kind: str, cutoff: float | tuple[float, float], fs: float) -> np.ndarray:
     """Linear-phase FIR taps under a Hamming window, scaled to pass the middle of the band."""
     edges = np.atleast_1d(np.asarray(cutoff, float)) * 2 / fs

@@ -95,3 +95,8 @@ def winsorize(samples: DataFrame, low: float = 0.05, high: float = 0.95) -> Data
     df = with_stats(samples, q=F.percentile("value", F.array(F.lit(low), F.lit(high))))
     v = F.col("value")
     return df.select("rec", "idx", F.when(v.isNotNull(), F.greatest(F.least(v, F.col("q")[1]), F.col("q")[0])).alias("value"))
+
+
+def impute(samples: DataFrame, method: str = "mean", k: int = 5) -> DataFrame:
+    """fill() by any of its methods, or `knn` over channels recorded together."""
+    return impute_knn(samples, k) if method == "knn" else fill(samples, method)

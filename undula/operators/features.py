@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,25 +137,33 @@ def sample_entropy(samples: DataFrame, m: int = 2, r: float = 0.2) -> DataFrame:
 
 
 def frequency_domain(psd: DataFrame) -> DataFrame:
-    """The ten fd_ features and five relative band powers of a psd table (rec, freq, psd)."""
-    total = psd.groupBy("rec").agg(F.sum("psd").alias("total"), F.count("*").alias("bins"))
-    p = psd.join(total, "rec").withColumn("p", _ratio(F.col("psd"), F.col("total")))
+    """The ten fd_ features and five relative band powers of a psd table (rec, freq, psd). Without any power all bins count
+    alike and bands have none; a band of one bin has that bin's share."""
+    total = psd.groupBy("rec").agg(F.sum("psd").alias("total"), F.count("*").alias("bins"), F.max("freq").alias("top"))
+    share = F.when(F.col("total") > 0, F.try_divide("psd", "total")).otherwise(1 / F.col("bins"))
+    p = psd.join(total, "rec").withColumn("p", share)
     c = p.groupBy("rec").agg(F.sum(F.col("freq") * F.col("p")).alias("centroid"))
     p = p.join(c, "rec")
     w = Window.partitionBy("rec").orderBy("freq")
     dev = F.col("freq") - F.col("centroid")
     p = p.withColumns({"cum": F.sum("p").over(w), "area": F.coalesce((F.col("psd") + F.lag("psd").over(w)) / 2 * (F.col("freq") - F.lag("freq").over(w)), F.lit(0.0)), "low": F.lag("freq").over(w)})
-    edge = lambda q: F.min(F.when(F.col("cum") >= q - 1e-12, F.col("freq")))
+    edge = lambda q: F.coalesce(F.min(F.when(F.col("cum") >= q - 1e-12, F.col("freq"))), F.max("freq"))
     whole = F.sum("area")
-    bands = {f"fd_{name}_power": _ratio(F.sum(F.when((F.col("low") >= lo) & (F.col("freq") < hi), F.col("area"))), whole) for name, (lo, hi) in BANDS.items()}
+    step = F.try_divide(F.max("top"), F.max("bins") - 1)
+
+    def band(low: float, high: float) -> Column:
+        inside = (F.col("freq") >= low) & (F.col("freq") < high)
+        area = F.sum(F.when((F.col("low") >= low) & (F.col("freq") < high), F.col("area")))
+        return _ratio(F.when(F.count_if(inside) == 1, F.sum(F.when(inside, F.col("psd"))) * step).otherwise(area), whole)
+
     moment = lambda k: F.sum(F.pow(dev, F.lit(float(k))) * F.col("p"))
     spread = F.sqrt(moment(2))
     return p.groupBy("rec").agg(
-        F.first("centroid").alias("fd_centroid"), spread.alias("fd_spread"), _ratio(moment(3), F.pow(spread, F.lit(3.0))).alias("fd_skewness"), _ratio(moment(4), F.pow(spread, F.lit(4.0))).alias("fd_kurtosis"),
-        _ratio(F.exp(F.avg(F.log(F.col("psd") + 1e-300))), F.avg("psd")).alias("fd_flatness"), edge(0.85).alias("fd_rolloff"),
-        (-F.sum(F.when(F.col("p") > 0, F.col("p") * F.log2("p")).otherwise(0.0)) / F.log2(F.count("*").cast("double"))).alias("fd_entropy"),
-        F.max_by("freq", F.struct("psd", -F.col("freq"))).alias("fd_dominant"), edge(0.90).alias("fd_sef90"), edge(0.95).alias("fd_sef95"),
-        *(b.alias(n) for n, b in bands.items()),
+        F.first("centroid").alias("fd_spectral_centroid"), spread.alias("fd_spectral_spread"), _ratio(moment(3), F.pow(spread, F.lit(3.0))).alias("fd_spectral_skewness"),
+        _ratio(moment(4), F.pow(spread, F.lit(4.0))).alias("fd_spectral_kurtosis"), _ratio(F.exp(F.avg(F.log(F.col("psd") + 1e-300))), F.avg("psd")).alias("fd_spectral_flatness"), edge(0.85).alias("fd_spectral_rolloff"),
+        _ratio(-F.sum(F.when(F.col("p") > 0, F.col("p") * F.log2("p")).otherwise(0.0)), F.log2(F.count("*").cast("double"))).alias("fd_spectral_entropy"),
+        F.max_by("freq", F.struct("psd", -F.col("freq"))).alias("fd_dominant_frequency"), edge(0.90).alias("fd_sef_90hz"), edge(0.95).alias("fd_sef_95hz"),
+        *(band(lo, hi).alias(f"fd_band_{name}") for name, (lo, hi) in BANDS.items()),
     )
 
 
@@ -196,5 +206,201 @@ def hrv_time(rr: DataFrame, rel: float | None = 0.3, window: int = 11) -> DataFr
         F.sqrt(half).alias("hrv_sd1"), F.sqrt(F.greatest(2 * var - half, F.lit(0.0))).alias("hrv_sd2"),
     )
     out = beats.join(a, "rec", "left").join(bins, "rec", "left")
-    artefact = 100 * (F.col("raw") - F.coalesce("used", F.lit(0))) / F.col("raw")
+    artefact = F.try_divide(100 * (F.col("raw") - F.coalesce("used", F.lit(0))), "raw")
     return out.withColumns({"hrv_sd_ratio": F.try_divide("hrv_sd1", "hrv_sd2"), "hrv_artifact_pct": artefact}).drop("raw", "used")
+
+
+#: The sixteen measures of hrv(), in their order.
+HRV = ["beats", "mean_rr_ms", "sdnn_ms", "rmssd_ms", "pnn50_pct", "mean_hr_bpm", "sdhr_bpm", "rr_range_ms", "tri_index", "sd1_ms", "sd2_ms", "sd1_sd2", "lf_power", "hf_power", "lf_hf_ratio", "artifact_pct"]
+
+
+def clean_rr(rr: DataFrame, rel: float | None = 0.3, window: int = 11) -> DataFrame:
+    """Adds `keep` to intervals in ms: within 250-2500, and, in recordings of five or more, within a share `rel` of the median of
+    the `window` beats around (None: any)."""
+    from undula.operators.cleaning import renumbered
+
+    s = renumbered(rr.where("value IS NOT NULL"))
+    ok = F.col("value").between(250, 2500)
+    if rel is None:
+        return s.withColumn("keep", ok)
+    near = local_median(s, window)
+    return near.withColumn("keep", ok & (F.col("local").isNull() | (F.abs(F.col("value") - F.col("local")) <= rel * F.col("local")))).drop("local")
+
+
+def hrv(rr: DataFrame, rel: float | None = 0.3) -> DataFrame:
+    """rec and the sixteen hrv_ measures of intervals in ms (as samples), after clean_rr(); null where they can't be had: all but
+    the beats below three intervals, all but the share of artefacts below three kept ones, and the powers below twenty.
+
+    The powers are areas of the psd of the intervals over time, drawn through by lines and read at 4 Hz.
+    """
+    kept = stored(clean_rr(rr, rel))
+    at = summed_up(kept.select("rec", "idx", "value"), "value").select("rec", "idx", (F.col("value") / 1000).alias("t"))
+    counts = kept.groupBy("rec").agg(F.count("*").alias("raw"), F.count_if("keep").alias("used"))
+    good = kept.join(at, ["rec", "idx"]).where("keep").select("rec", "idx", "value", "t")
+    from undula.operators.cleaning import renumbered
+
+    s = stored(shifted(renumbered(good.select("rec", "idx", "value")), prev=-1).withColumn("d", F.col("value") - F.col("prev")))
+    hr, half = 60000 / F.col("value"), F.var_samp("d") / 2
+    low = s.groupBy("rec").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    # The last bin is closed, as a histogram's is.
+    bins = s.join(low, "rec").withColumn("bin", F.least(F.floor((F.col("value") - F.col("low")) / 7.8125), F.greatest(F.ceil((F.col("high") - F.col("low")) / 7.8125) - 1, F.lit(0))))
+    tri = bins.groupBy("rec", "bin").agg(F.count("*").alias("c")).groupBy("rec").agg((F.sum("c") / F.max("c")).alias("hrv_tri_index"))
+    a = s.groupBy("rec").agg(
+        F.avg("value").alias("hrv_mean_rr_ms"), F.stddev_samp("value").alias("hrv_sdnn_ms"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("hrv_rmssd_ms"), (100 * F.avg((F.abs("d") > 50).cast("int"))).alias("hrv_pnn50_pct"),
+        F.avg(hr).alias("hrv_mean_hr_bpm"), F.stddev_samp(hr).alias("hrv_sdhr_bpm"), (F.max("value") - F.min("value")).alias("hrv_rr_range_ms"), F.sqrt(half).alias("hrv_sd1_ms"),
+        F.sqrt(F.greatest(2 * F.var_samp("value") - half, F.lit(0.0))).alias("hrv_sd2_ms"),
+    ).withColumn("hrv_sd1_sd2", F.try_divide("hrv_sd1_ms", F.when(F.col("hrv_sd2_ms") > 0, F.col("hrv_sd2_ms")))).join(tri, "rec", "left")
+    powers = _rhythm_powers(good, counts)
+    out = counts.join(a, "rec", "left").join(powers, "rec", "left")
+    raw, used = F.col("raw"), F.col("used")
+    values = {"beats": (raw + 1).cast("double"), "artifact_pct": F.when(raw >= 3, 100 * (1 - used / raw))}
+    return rr.select("rec").distinct().join(out, "rec", "left").select(
+        "rec", *((F.coalesce(values[k], F.lit(0.0)) if k == "beats" else values[k] if k in values else F.when((raw >= 3) & (used >= 3), F.col(f"hrv_{k}"))).alias(f"hrv_{k}") for k in HRV)
+    )
+
+
+def _rhythm_powers(good: DataFrame, counts: DataFrame) -> DataFrame:
+    from undula.operators.cleaning import renumbered
+    from undula.operators.spectral import welch
+
+    enough = good.join(counts.where("used >= 20").select("rec"), "rec", "left_semi")
+    t = shifted(renumbered(enough.select("rec", "idx", F.col("t").alias("value"))), t1=1).select("rec", "idx", F.col("value").alias("t0"), "t1")
+    v = shifted(renumbered(enough.select("rec", "idx", "value")), v1=1).select("rec", "idx", F.col("value").alias("v0"), "v1")
+    start = enough.groupBy("rec").agg(F.min("t").alias("start"))
+    pairs = t.join(v, ["rec", "idx"]).where("t1 IS NOT NULL").join(start, "rec")
+    first, last = F.ceil((F.col("t0") - F.col("start")) * 4 - 1e-9), F.ceil((F.col("t1") - F.col("start")) * 4 - 1e-9) - 1
+    grid = pairs.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
+    share = (F.col("start") + F.col("k") / 4 - F.col("t0")) / (F.col("t1") - F.col("t0"))
+    even = stored(grid.select("rec", F.col("k").cast("long").alias("idx"), (F.col("v0") + (F.col("v1") - F.col("v0")) * share).alias("value")))
+    psd = welch(even, 4.0, 256).join(even.groupBy("rec").agg(F.count("*").alias("m")).where("m >= 16").select("rec"), "rec", "left_semi")
+    w = Window.partitionBy("rec").orderBy("freq")
+
+    def area(low: float, high: float) -> Column:
+        inside = (F.col("low") >= low) & (F.col("freq") < high)
+        return F.sum(F.when(inside, (F.col("psd") + F.col("before")) / 2 * (F.col("freq") - F.col("low"))))
+
+    p = psd.withColumns({"low": F.lag("freq").over(w), "before": F.lag("psd").over(w)})
+    out = p.groupBy("rec").agg(area(0.04, 0.15).alias("hrv_lf_power"), area(0.15, 0.40).alias("hrv_hf_power"))
+    return out.withColumn("hrv_lf_hf_ratio", F.try_divide("hrv_lf_power", F.when(F.col("hrv_hf_power") > 0, F.col("hrv_hf_power"))))
+
+
+def nonlinear(samples: DataFrame) -> DataFrame:
+    """rec and the four nl_ features: sample and permutation entropy, Higuchi's dimension and the fluctuation exponent."""
+    out = samples.select("rec").distinct()
+    for made, name in ((sample_entropy(samples), "sample_entropy"), (permutation_entropy(samples), "perm_entropy"), (higuchi_fd(samples), "higuchi_fd"), (dfa_alpha(samples), "dfa_alpha")):
+        out = out.join(made.withColumnRenamed(name, {"perm_entropy": "nl_permutation_entropy"}.get(name, f"nl_{name}")), "rec", "left")
+    return out
+
+
+def peaks(samples: DataFrame, fs: float | None = None, distance: int | None = None, height: float | None = None) -> DataFrame:
+    """rec and the seven pk_ features of peaks at least 0.1 s (ten samples without a rate) apart and half a deviation above the
+    mean: count, rate, height and its deviation, prominence, width at half prominence, and spread of the distances over their
+    mean; all 0 without a peak.
+
+    Peaks are local maxima, found in chunks, thinned out by height; prominence and width look at no more than PEAK_REACH
+    samples to a side, which is as far as they go unless a peak towers over all of that.
+    """
+    from undula.operators.ecg import _by_stretch, maxima, thinned
+
+    rate, kind = fs or 1.0, samples.schema["rec"].dataType.simpleString()
+    apart = distance or max(int((fs or 100) * 0.1), 1)
+    stats = samples.groupBy("rec").agg((F.max("idx") + 1).alias("n"), (F.avg("value") + 0.5 * F.stddev_pop("value") if height is None else F.lit(float(height))).alias("least"))
+    high = maxima(samples).join(stats, "rec").where("value >= least").select("rec", "idx", "value")
+    found = stored(_by_stretch(high, rate, lambda own: own[thinned(own["idx"].to_numpy(), own["value"].to_numpy(), apart)], f"rec {kind}, idx long"))
+    size = core.CHUNK
+    pairs = F.array_sort(F.collect_list(F.struct("idx", "value")))
+    chunks = chunked(samples, PEAK_REACH, PEAK_REACH, size).groupBy("rec", "chunk").agg(pairs.alias("p"))
+    chunks = chunks.select("rec", "chunk", F.col("p")[0]["idx"].alias("first"), F.transform("p", lambda p: p["value"]).alias("values"))
+    own = found.withColumn("chunk", F.floor(F.col("idx") / size)).groupBy("rec", "chunk").agg(F.sort_array(F.collect_list("idx")).alias("at"))
+
+    def measured(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                x = np.asarray(r.values, float)
+                at = np.asarray(r.at) - r.first
+                made = [_prominence(x, i) for i in at]
+                yield pd.DataFrame({"rec": [r.rec] * len(at), "idx": at + r.first, "height": x[at], "prominence": [m[0] for m in made], "width": [m[1] for m in made]})
+
+    each = stored(chunks.join(own, ["rec", "chunk"]).mapInPandas(measured, f"rec {kind}, idx long, height double, prominence double, width double"))
+    gaps = shifted(_numbered(each.select("rec", "idx")), prev=-1).withColumn("gap", F.col("value") - F.col("prev")).groupBy("rec")
+    gaps = gaps.agg(F.when(F.count("gap") > 1, F.try_divide(F.stddev_pop("gap"), F.avg("gap"))).alias("regularity"))
+    a = each.groupBy("rec").agg(F.count("*").alias("count"), F.avg("height").alias("h"), F.stddev_pop("height").alias("s"), F.avg("prominence").alias("p"), F.avg("width").alias("w"))
+    d = stats.join(a, "rec", "left").join(gaps, "rec", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return d.select(
+        "rec", zero(F.col("count").cast("double")).alias("pk_count"), zero(F.col("count") * rate / F.col("n")).alias("pk_rate_hz"), zero(F.col("h")).alias("pk_mean_height"), zero(F.col("s")).alias("pk_std_height"),
+        zero(F.col("p")).alias("pk_mean_prominence"), zero(F.col("w") / rate).alias("pk_mean_width"), zero(F.col("regularity")).alias("pk_regularity"),
+    )
+
+
+#: Samples to a side in which a peak's prominence and width are sought.
+PEAK_REACH = 1 << 14
+
+
+def _numbered(places: DataFrame) -> DataFrame:
+    from undula.operators.cleaning import renumbered
+
+    return renumbered(places.withColumn("value", F.col("idx").cast("double")))
+
+
+def _prominence(x: np.ndarray, i: int) -> tuple[float, float]:
+    """How far a peak stands out above the higher of the two lowest points on the way to higher ground, and its width at half
+    of that, between the crossings on the straight lines of the samples."""
+    taller = np.flatnonzero(x > x[i])
+    low = taller[taller < i].max(initial=-1) + 1
+    high = taller[taller > i].min(initial=len(x)) - 1
+    rise = x[i] - max(x[low : i + 1].min(), x[i : high + 1].min())
+    bar = x[i] - rise / 2
+    left = np.flatnonzero(x[low : i + 1] < bar)
+    right = np.flatnonzero(x[i : high + 1] < bar)
+    a, b = float(low), float(high)
+    if len(left):
+        k = low + left[-1]
+        a = k + (bar - x[k]) / (x[k + 1] - x[k])
+    if len(right):
+        k = i + right[0]
+        b = k - (bar - x[k]) / (x[k - 1] - x[k])
+    return float(rise), b - a
+
+
+#: The categories of extract(), and those that it gives by default.
+CATEGORIES, DEFAULT = ("time", "freq", "nonlinear", "peaks", "hrv"), ("time", "freq", "nonlinear", "peaks")
+
+
+def extract(samples: DataFrame, fs: float | None = None, include: tuple[str, ...] | list[str] | None = None) -> DataFrame:
+    """One row for each recording with the features of the categories asked for: time, freq, nonlinear, peaks and hrv.
+
+    freq and hrv need a rate. Recordings with gaps have null features: fill them before.
+    """
+    from undula.operators.ecg import intervals, pan_tompkins
+    from undula.operators.spectral import welch
+
+    include = tuple(include or DEFAULT)
+    if unknown := set(include) - set(CATEGORIES):
+        raise ValueError(f"unknown categories {sorted(unknown)}, there are {CATEGORIES}")
+    if not fs and {"freq", "hrv"} & set(include):
+        raise ValueError("freq and hrv features need a rate")
+    gaps = samples.groupBy("rec").agg(F.count_if(F.col("value").isNull()).alias("gaps"))
+    s = samples.join(gaps.where("gaps = 0").select("rec"), "rec", "left_semi")
+    made = {
+        "time": lambda: time_domain(s), "freq": lambda: frequency_domain(welch(s, fs)), "nonlinear": lambda: nonlinear(s), "peaks": lambda: peaks(s, fs),
+        "hrv": lambda: hrv(intervals(pan_tompkins(s, fs), fs)),
+    }
+    out = gaps.select("rec")
+    for category in include:
+        out = out.join(made[category](), "rec", "left")
+    return out
+
+
+def windowed_features(samples: DataFrame, window: float, step: float | None = None, fs: float | None = None, include: tuple[str, ...] | list[str] | None = None) -> DataFrame:
+    """rec, t_start, t_end and extract()'s features of each full window of so many seconds (samples without a rate), `step`
+    apart: every window is a recording of its own."""
+    rate = fs or 1.0
+    win, hop = round(window * rate), round((step or window) * rate)
+    if win < 4:
+        raise ValueError("a window needs four samples or more")
+    kind = samples.schema["rec"].dataType.simpleString()
+    cut = windows(samples, win, hop).select(F.to_json(F.struct("rec", F.col("w").alias("w"))).alias("rec"), F.col("pos").alias("idx"), "value")
+    found = extract(stored(cut), fs, include).withColumn("key", F.from_json("rec", f"rec {kind}, w long"))
+    start = F.col("key.w") * hop
+    return found.select(F.col("key.rec").alias("rec"), (start / rate).alias("t_start"), ((start + win) / rate).alias("t_end"), *[c for c in found.columns if c not in ("rec", "key")])

@@ -1,8 +1,12 @@
-"""Filters: recordings are cut into chunks with halos, a batch of equal chunks is filtered at once, and the owned samples stay."""
+"""Filters: recordings are cut into chunks with halos, a batch of equal chunks is filtered at once, and the owned samples stay.
+
+A recording too short for a filter comes out missing, and so do the samples that a gap reaches: fill gaps before.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undula.core import CHUNK, chunked
-from undula.functions.signal import butterworth, notch, savgol_taps, sections, settle_length, windowed_sinc
+from undula.functions.signal import butterworth, notch, resampling_taps, savgol_taps, sections, settle_length, windowed_sinc
 from undula.operators.outliers import rolling_median
 
 
@@ -30,6 +34,7 @@ def _chunkwise(samples: DataFrame, before: int, after: int, f: Callable[[np.ndar
     done = rows.mapInPandas(run, f"rec {samples.schema['rec'].dataType.simpleString()}, chunk long, first long, values array<double>")
     each = done.select("rec", "chunk", "first", F.posexplode("values").alias("pos", "value"))
     each = each.select("rec", "chunk", (F.col("first") + F.col("pos")).alias("idx"), "value")
+    each = each.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     return each.where(F.floor(F.col("idx") / size) == F.col("chunk")).drop("chunk")
 
 
@@ -38,7 +43,7 @@ def _both_ways(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     order = 2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 4] == 0).sum()))
     pad = 3 * order
     if x.shape[1] <= pad:
-        raise ValueError(f"a recording needs more than {pad} samples for this filter")
+        return np.full(x.shape, np.nan)
     wide = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], axis=1)
     back = sections(sos, sections(sos, wide, True)[:, ::-1], True)[:, ::-1]
     return back[:, pad:-pad]
@@ -66,13 +71,13 @@ def notch_filter(samples: DataFrame, freq: float, fs: float, quality: float = 30
 
 
 def fir_filter(samples: DataFrame, cutoff: float | tuple[float, float], fs: float, kind: str = "lowpass", taps: int = 101) -> DataFrame:
-    """A windowed-sinc filter, forward and backward; `taps` is made odd and recordings need 3 * taps + 1 samples."""
+    """A windowed-sinc filter, forward and backward; `taps` is made odd and recordings need more than 3 * taps samples."""
     h = windowed_sinc(taps | 1, kind, cutoff, fs)
     pad = 3 * len(h)
 
     def run(x: np.ndarray) -> np.ndarray:
         if x.shape[1] <= pad:
-            raise ValueError(f"a recording needs more than {pad} samples for this filter")
+            return np.full(x.shape, np.nan)
         wide = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], axis=1)
         both = np.convolve(h, h[::-1])
         return np.stack([np.convolve(r, both, "same") for r in wide])[:, pad:-pad]
@@ -87,6 +92,8 @@ def savgol(samples: DataFrame, window: int = 11, order: int = 3) -> DataFrame:
     basis = np.vander(np.arange(window), order + 1)
 
     def run(x: np.ndarray) -> np.ndarray:
+        if x.shape[1] < window:
+            return np.full(x.shape, np.nan)
         out = np.stack([np.convolve(r, h[::-1], "same") for r in x])
         fit = basis @ np.linalg.pinv(basis)
         out[:, :half] = x[:, :window] @ fit[:half].T
@@ -98,3 +105,46 @@ def savgol(samples: DataFrame, window: int = 11, order: int = 3) -> DataFrame:
 
 def median_filter(samples: DataFrame, kernel: int = 5) -> DataFrame:
     return rolling_median(samples, kernel).select("rec", "idx", F.col("med").alias("value"))
+
+
+def resample(samples: DataFrame, fs: float, target: float, chunk: int | None = None) -> DataFrame:
+    """The samples at another rate: by up / down, the fraction nearest to target / fs with a denominator of at most 1000.
+
+    Each new sample is a weighted sum of the old ones around it, beyond the ends of zeros; a recording of n has
+    ceil(n * up / down) of them. Chunks of the new samples ask for the old ones that they need.
+    """
+    rate = Fraction(target / fs).limit_denominator(1000)
+    up, down = rate.numerator, rate.denominator
+    h = resampling_taps(up, down)
+    half, size = len(h) // 2, chunk or CHUNK
+    reach = half // up + 1
+    n = samples.groupBy("rec").agg((F.max("idx") + 1).alias("n"))
+    low, high = F.greatest(F.lit(0), F.floor((F.col("idx") - reach) * up / down / size)), F.floor((F.col("idx") + reach) * up / down / size)
+    rows = samples.join(n, "rec").withColumn("chunk", F.explode(F.sequence(low, high)))
+    pairs = F.array_sort(F.collect_list(F.struct("idx", "value")))
+    rows = rows.groupBy("rec", "n", "chunk").agg(pairs.alias("p"))
+    rows = rows.select("rec", "n", "chunk", F.col("p")[0]["idx"].alias("first"), F.transform("p", lambda p: p["value"]).alias("values"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                new = np.arange(r.chunk * size, min((r.chunk + 1) * size, -(-r.n * up // down)), dtype=np.int64)
+                x, out = np.asarray(r.values, float), np.zeros(len(new))
+                centre = new * down
+                for k in range(-(half // up) - 1, half // up + 2):
+                    old = centre // up + k
+                    tap = centre - old * up + half
+                    ok = (tap >= 0) & (tap < len(h)) & (old >= 0) & (old < r.n)
+                    out[ok] += h[tap[ok]] * x[old[ok] - r.first]
+                yield pd.DataFrame({"rec": [r.rec] * len(new), "idx": new, "value": out})
+
+    made = rows.mapInPandas(run, f"rec {samples.schema['rec'].dataType.simpleString()}, idx long, value double")
+    return made.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+def frequency_response(sos: np.ndarray, fs: float, points: int = 512) -> list[tuple[float, float, float]]:
+    """(frequency, magnitude, phase) of sections, to look at before a filter is used."""
+    f = np.linspace(0, fs / 2, points, endpoint=False)
+    e = np.exp(-2j * np.pi * np.outer(f / fs, np.arange(3)))
+    h = np.prod([(e @ np.array(s[:3])) / (e @ np.r_[1.0, s[3:]]) for s in sos], axis=0)
+    return list(zip(f.tolist(), np.abs(h).tolist(), np.unwrap(np.angle(h)).tolist(), strict=True))

@@ -23,10 +23,14 @@ def padded(samples: DataFrame, reach: int) -> DataFrame:
 
 
 def rolling_median(samples: DataFrame, window: int, name: str = "med") -> DataFrame:
-    """Adds the median of the `window` samples around each (odd, 3 at least), the ends repeated."""
+    """Adds the median of the `window` samples around each (odd, 3 at least), the ends repeated: of those that are there, the mean
+    of the middle two where their number is even, null where none is."""
     half = max(3, window | 1) // 2
     around = F.sort_array(F.collect_list("value").over(over_chunks((-half, half))))
-    df = owned(chunked(padded(samples, half), half, half).withColumn(name, around[half]))
+    n = F.size("around")
+    middle = (F.get("around", F.floor((n - 1) / 2).cast("int")) + F.get("around", F.floor(n / 2).cast("int"))) / 2
+    df = chunked(padded(samples, half), half, half).withColumn("around", around)
+    df = owned(df.withColumn(name, F.when(n > 0, middle)).drop("around"))
     return samples.join(df.where("idx >= 0").select("rec", "idx", name), ["rec", "idx"])
 
 

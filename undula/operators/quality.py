@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.core import chunked, over_chunks, owned, stored, with_stats
+from undula.core import CHUNK, chunked, over_chunks, owned, stored, windows, with_stats
 from undula.operators import outliers
 from undula.operators.cleaning import fill
+from undula.operators.ecg import intervals, pan_tompkins
+from undula.operators.filtering import butter
+from undula.operators.spectral import welch
 
 #: What an issue of each severity costs, and the least score of each grade.
 COST = {"critical": 35, "warning": 12, "info": 3}
@@ -15,9 +21,24 @@ GRADES = ((90, "A"), (75, "B"), (60, "C"), (40, "D"))
 
 
 def run_lengths(df: DataFrame, state: str, by: list[str]) -> DataFrame:
-    """Maximal runs of consecutive rows with an equal, non-null `state`: by, first, length, state."""
-    marked = df.where(F.col(state).isNotNull()).withColumn("run", F.col("idx") - F.row_number().over(Window.partitionBy(*by, state).orderBy("idx")))
-    return marked.groupBy(*by, state, "run").agg(F.min("idx").alias("first"), F.count("*").alias("length"))
+    """Maximal runs of consecutive rows with an equal, non-null `state`: by, first, length, state.
+
+    Runs are found within chunks; those that touch a chunk's end are joined to their continuation by one row a chunk.
+    """
+    df = df.where(F.col(state).isNotNull()).withColumn("chunk", F.floor(F.col("idx") / F.lit(CHUNK)))
+    own = Window.partitionBy(*by, "chunk").orderBy("idx")
+    starts = (F.col("idx") - F.lag("idx").over(own) != 1) | (F.col(state) != F.lag(state).over(own))
+    marked = df.withColumn("run", F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(own))
+    within = marked.groupBy(*by, "chunk", "run", state).agg(F.min("idx").alias("first"), F.count("*").alias("length"))
+    # A run that fills up its chunk's end goes on where the next chunk's begins; runs inside a chunk need no neighbour.
+    at_start, at_end = F.col("first") == F.col("chunk") * CHUNK, F.col("first") + F.col("length") == (F.col("chunk") + 1) * CHUNK
+    inner, outer = within.where(~at_start & ~at_end), within.where(at_start | at_end)
+    w = Window.partitionBy(*by).orderBy("first")
+    goes_on = (F.col("first") == F.lag(F.col("first") + F.col("length")).over(w)) & (F.col(state) == F.lag(state).over(w))
+    outer = outer.withColumn("whole", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(w))
+    joined = outer.groupBy(*by, "whole", state).agg(F.min("first").alias("first"), F.sum("length").alias("length"))
+    columns = [*by, state, "first", "length"]
+    return inner.select(*columns).unionByName(joined.select(*columns))
 
 
 def in_runs(samples: DataFrame, **least: int) -> DataFrame:
@@ -48,14 +69,83 @@ def _judged(d: DataFrame, checks: list[tuple[str, Column]], measures: list[str])
     return d.withColumn("grade", grade).withColumn("ok", ~F.col("issues").contains("warning") & ~F.col("issues").contains("critical"))
 
 
-def diagnose(samples: DataFrame, fs: float | None = None) -> DataFrame:
-    """The checks in the time domain in their order: missing or empty, short, constant, digital, clipping, flatline, spikes,
-    dc_offset, trend and nonstationary; rec, n, missing, the measures, issues (codes with severity), score, grade and ok.
+#: Shares of the power, and decibels above the surroundings, from which the spectral checks speak up.
+DRIFT_SHARE, HF_SHARE, MAINS_DB, MAINS_BAD_DB, MAINS_SHARE, MAINS_SIGNAL = 0.2, 0.3, 10.0, 30.0, 0.002, 0.5
+#: Beats a minute and seconds between beats that are plausible, the ratio of intervals that is regular, and the least
+#: correlation of beats with the median beat.
+HEART_RATE, BEAT_GAP, INTERVAL_RATIO, LIKE_TEMPLATE = (40.0, 180.0), 3.0, 2.2, 0.66
+#: In which order repairs are made.
+FIX_ORDER = ["remove_missing", "remove_outliers", "highpass", "detrend", "notch", "remove_dc"]
+
+
+def _line(f0: float, nyquist: float) -> list[Column]:
+    """A line's peak, median background and power, and the bins of that background, of a psd's rows."""
+    f = F.col("freq")
+    peak = f.between(f0 - 1, f0 + 1)
+    back = f.between(f0 - 10, f0 - 3) | f.between(f0 + 3, min(f0 + 10, nyquist))
+    return [F.max(F.when(peak, F.col("psd"))), F.percentile(F.when(back, F.col("psd")), F.lit(0.5)), F.sum(F.when(peak, F.col("psd"))), F.count_if(back)]
+
+
+def _db(peak: Column, back: Column, bins: Column) -> Column:
+    return F.when(peak.isNotNull() & (bins >= 3), 10 * F.log10(F.greatest(peak, F.lit(1e-300)) / (back + 1e-300)))
+
+
+def _spectral(x: DataFrame, fs: float, mains: float | None, cutoff: float | None) -> DataFrame:
+    """rec, drift, hf, and of the line that stands out most its frequency, decibels, share and whether its double does too."""
+    nyquist = fs / 2
+    fine, coarse = welch(x, fs, int(max(8 * fs, 64))), welch(x, fs, int(max(2 * fs, 64)))
+    total = F.sum("psd") + 1e-300
+    slow = F.sum(F.when((F.col("freq") > 0) & (F.col("freq") < (cutoff or 0.0)), F.col("psd")))
+    out = fine.groupBy("rec").agg((F.coalesce(slow, F.lit(0.0)) / total).alias("drift"), (F.coalesce(F.sum(F.when(F.col("freq") >= 0.8 * nyquist, F.col("psd"))), F.lit(0.0)) / total).alias("hf"))
+    lines = [f0 for f0 in ([mains] if mains else [50.0, 60.0]) if f0 + 3 < nyquist]
+    if not lines:
+        return out.withColumns({"mains_hz": F.lit(None).cast("double"), "mains_db": F.lit(None).cast("double"), "mains_share": F.lit(None).cast("double"), "harmonics": F.lit(False)})
+    parts = {f"{name}{int(f)}": c for f0 in lines for f in (f0, 2 * f0) for name, c in zip(("p", "b", "s", "n"), _line(f, nyquist if f == f0 else math.inf), strict=True)}
+    m = coarse.groupBy("rec").agg(total.alias("total"), *(c.alias(k) for k, c in parts.items()))
+    db = lambda f: _db(*(F.col(f"{k}{int(f)}") for k in "pbn"))
+    each = [
+        F.when(db(f0).isNotNull(), F.struct(
+            db(f0).alias("db"), F.lit(-i).alias("turn"), F.lit(f0).alias("hz"), (F.col(f"s{int(f0)}") / F.col("total")).alias("share"),
+            (F.coalesce(db(2 * f0), F.lit(0.0)) > MAINS_DB if 2 * f0 < nyquist else F.lit(False)).alias("harmonics"),
+        )) for i, f0 in enumerate(lines)
+    ]
+    best = m.select("rec", F.array_max(F.array(*each)).alias("best"))
+    return out.join(best.select("rec", F.col("best.hz").alias("mains_hz"), F.col("best.db").alias("mains_db"), F.col("best.share").alias("mains_share"), F.coalesce("best.harmonics", F.lit(False)).alias("harmonics")), "rec", "left")
+
+
+def _heart(x: DataFrame, fs: float) -> DataFrame:
+    """rec, beats, hr, longest and ratio of the intervals, and like, the median correlation of beats with the median beat."""
+    high = min(40.0, 0.45 * fs)
+    long = x.groupBy("rec").agg((F.max("idx") + 1).alias("n")).where(F.col("n") >= 3 * fs)
+    y = stored(butter(x.join(long.select("rec"), "rec", "left_semi"), "bandpass", (0.5, high), fs, order=2))
+    beats = stored(pan_tompkins(y, fs))
+    count = long.join(beats.groupBy("rec").agg(F.count("*").alias("beats")), "rec", "left").select("rec", F.coalesce("beats", F.lit(0)).alias("beats"))
+    rr = intervals(beats, fs).withColumn("value", F.col("value") / 1000)
+    rhythm = rr.groupBy("rec").agg(F.avg("value").alias("mean"), F.max("value").alias("longest"), F.min("value").alias("shortest"), F.percentile("value", F.lit(0.5)).alias("middle"))
+    rhythm = rhythm.select("rec", (60 / F.col("mean")).alias("hr"), "longest", F.try_divide("longest", "shortest").alias("ratio"), F.floor(F.col("middle") * fs / 2).alias("half"))
+    ends = long.join(rhythm, "rec").where("half > 2")
+    inside = beats.withColumnRenamed("idx", "beat").join(ends, "rec").where((F.col("beat") >= F.col("half")) & (F.col("beat") + F.col("half") <= F.col("n")))
+    cut = inside.select("rec", "beat", F.explode(F.sequence(-F.col("half"), F.col("half") - 1)).alias("rel")).withColumn("idx", F.col("beat") + F.col("rel")).join(y, ["rec", "idx"])
+    cut = stored(cut.select("rec", "beat", "rel", "value"))
+    template = cut.groupBy("rec", "rel").agg(F.percentile("value", F.lit(0.5)).alias("template"))
+    m = cut.join(template, ["rec", "rel"]).groupBy("rec", "beat").agg(F.covar_pop("value", "template").alias("xy"), F.var_pop("value").alias("xx"), F.var_pop("template").alias("yy"))
+    like = m.withColumn("like", F.coalesce(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))), F.lit(0.0)))
+    like = like.groupBy("rec").agg(F.count("*").alias("whole"), F.percentile("like", F.lit(0.5)).alias("like")).where("whole >= 3").select("rec", "like")
+    return count.join(rhythm.drop("half"), "rec", "left").join(like, "rec", "left")
+
+
+def diagnose(samples: DataFrame, fs: float | None = None, mains: float | None = None, drift_cutoff: float | None = 0.5, signal_type: str | None = None) -> DataFrame:
+    """All checks in their order: missing or empty, short, constant, digital, clipping, flatline, spikes, dc_offset, drift or
+    trend, mains, hf_noise, nonstationary, and for signal_type `ecg` the heartbeat's; rec, n, missing, the measures, issues
+    (codes with severity), score, grade and ok.
 
     Gaps are interpolated after the first check and spikes after theirs, so that later checks see the repaired signal. An
-    empty, short (n < 32) or constant recording has no further checks, and null measures. The spectral checks aren't
-    built; the trend is checked at any length, also where the drift check would take its place.
+    empty, short (n < 32) or constant recording has no further checks, and null measures. Drift, mains and hf_noise need a
+    rate `fs`, and their measures are there if it is given; a drift that two periods of the cut-off don't fit into, or without
+    a rate, is looked for as a trend. drift_cutoff None drops both. `mains` is 50 or 60, by default whichever stands out more.
     """
+    if signal_type not in (None, "ecg"):
+        raise ValueError("signal_type has to be None or 'ecg'")
     first = samples.groupBy("rec").agg((F.max("idx") + 1).alias("n"), F.avg(F.col("value").isNull().cast("int")).alias("missing"))
     x = stored(fill(samples, "interpolate"))
     basic = x.groupBy("rec").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.countDistinct("value").alias("distinct"))
@@ -78,6 +168,8 @@ def diagnose(samples: DataFrame, fs: float | None = None) -> DataFrame:
     parts = parts.groupBy("rec").agg((F.max("d") / (F.min("d") + 1e-300)).alias("spread"))
     d = first.join(counts, "rec", "left").join(whole, "rec", "left").join(parts, "rec", "left")
     n, full = F.col("n"), F.col("lo").isNotNull()
+    seen = F.lit(bool(fs) and drift_cutoff is not None and drift_cutoff < fs / 2) & (n / F.lit(float(fs or 1)) >= 2 / (drift_cutoff or 1.0))
+    trend = F.when(F.lit(drift_cutoff is not None) & ~seen & (F.col("corr") * F.col("corr") > 0.3), "warning")
     checks = [
         ("empty", F.when(~full, "critical")),
         ("missing", F.when(full & (F.col("missing") > 0.2), "critical").when(full & (F.col("missing") > 0), "warning")),
@@ -88,10 +180,85 @@ def diagnose(samples: DataFrame, fs: float | None = None) -> DataFrame:
         ("flatline", F.when(F.col("flat") > 0.2 * n, "critical").when(F.col("flat") > 0.01 * n, "warning")),
         ("spikes", F.when(F.col("spikes") > 0, "warning")),
         ("dc_offset", F.when(F.abs("mean") > F.col("std") + 1e-300, "info")),
-        ("trend", F.when(F.col("corr") * F.col("corr") > 0.3, "warning")),
+        ("trend", trend),
         ("nonstationary", F.when(F.col("spread") > 5, "info")),
     ]
-    return _judged(d, checks, ["missing", "clipped", "flat", "spikes", "spread"])
+    measures = ["missing", "clipped", "flat", "spikes", "spread"]
+    if fs:
+        d = d.join(_spectral(x, fs, mains, drift_cutoff), "rec", "left")
+        line = (F.col("mains_db") > MAINS_DB) & (F.col("mains_share") >= MAINS_SHARE)
+        bad = F.when(F.col("mains_share") > MAINS_SIGNAL, "info").when(F.col("mains_db") > MAINS_BAD_DB, "critical").otherwise("warning")
+        spectral = [("mains", F.when(line, bad)), ("hf_noise", F.when(F.col("hf") > HF_SHARE, "info"))]
+        checks[-2:-2] = [("drift", F.when(seen & (F.col("drift") > DRIFT_SHARE), "warning"))]
+        checks[-1:-1] = spectral
+        measures += ["drift", "hf", "mains_hz", "mains_db", "mains_share", "harmonics"]
+    if fs and fs >= 50 and signal_type == "ecg":
+        d = d.join(_heart(x, fs), "rec", "left")
+        odd = ~F.col("hr").between(*HEART_RATE) | (F.col("longest") > BEAT_GAP)
+        some = F.col("beats") >= 3
+        checks += [
+            ("ecg_beats", F.when(F.col("beats") < 3, "critical")), ("ecg_rhythm", F.when(some & odd, "warning")),
+            ("ecg_irregular", F.when(some & ~odd & (F.col("ratio") > INTERVAL_RATIO), "info")), ("ecg_morphology", F.when(some & (F.col("like") < LIKE_TEMPLATE), "warning")),
+        ]
+        measures += ["beats", "hr", "longest", "ratio", "like"]
+    return _judged(d, checks, measures)
+
+
+def fixes(report: DataFrame, drift_cutoff: float = 0.5) -> DataFrame:
+    """Adds `fixes` to diagnose()'s rows: the repairs that the issues call for, as (step, parameters as JSON), in a safe order.
+    An offset needs none where a highpass or a detrending takes it off anyway."""
+    has = lambda code: F.array_contains(F.transform(F.split("issues", ","), lambda x: F.split(x, ":")[0]), code)
+    step = lambda name, parameters: F.struct(F.lit(name).alias("step"), (parameters if isinstance(parameters, Column) else F.lit(parameters)).alias("parameters"))
+    offset = has("dc_offset") & ~has("drift") & ~has("trend")
+    wanted = {
+        "remove_missing": (has("missing"), '{"method": "interpolate"}'), "remove_outliers": (has("spikes"), '{"method": "spike", "threshold": 10.0, "window": 5}'),
+        "highpass": (has("drift"), json.dumps({"cutoff": drift_cutoff})), "detrend": (has("trend"), '{"kind": "linear"}'), "remove_dc": (offset, "{}"),
+    }
+    if "mains_hz" in report.columns:
+        times = F.when(F.col("harmonics"), 99).otherwise(1)
+        kind = has("mains") & ~F.col("issues").contains("mains:info")
+        wanted["notch"] = (kind, F.format_string('{"freq": %.1f, "harmonics": %d}', F.coalesce("mains_hz", F.lit(0.0)), times))
+    each = [F.when(wanted[name][0], step(name, wanted[name][1])) for name in FIX_ORDER if name in wanted]
+    return report.withColumn("fixes", F.filter(F.array(*each), lambda x: x.isNotNull()))
+
+
+def timeline(samples: DataFrame, window: float = 10.0, step: float | None = None, fs: float | None = None, **checks) -> DataFrame:
+    """rec, t_start, t_end, score, grade, ok and issues (codes but infos, sorted) of each full window of so many seconds
+    (samples without a rate), `step` apart. Every window is a recording of its own to diagnose(), so windows run side by side."""
+    rate = fs or 1.0
+    win, hop = round(window * rate), round((step or window) * rate)
+    if win < 32:
+        raise ValueError("a window needs 32 samples or more")
+    kind = samples.schema["rec"].dataType
+    key = F.to_json(F.struct("rec", F.col("w").alias("w")))
+    cut = windows(samples, win, hop).select(key.alias("rec"), F.col("pos").alias("idx"), "value")
+    found = diagnose(cut, fs, **checks).withColumn("key", F.from_json("rec", f"rec {kind.simpleString()}, w long"))
+    codes = F.filter(F.split("issues", ","), lambda x: (x != "") & ~x.endswith(":info"))
+    start = F.col("key.w") * hop
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform(codes, lambda x: F.split(x, ":")[0]))), ",")
+    return found.select(F.col("key.rec").alias("rec"), (start / rate).alias("t_start"), ((start + win) / rate).alias("t_end"), "score", "grade", "ok", names.alias("issues"))
+
+
+def auto_clean(samples: DataFrame, fs: float | None = None, mains: float | None = None, drift_cutoff: float | None = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The samples after the repairs that diagnose() calls for, and its reports before, with `fixes`, and after.
+
+    Recordings with the same repairs are repaired together; of the reports only the few different lists of repairs reach the
+    driver.
+    """
+    from undula.plans.pipeline import STEPS
+
+    before = stored(fixes(diagnose(samples, fs, mains, drift_cutoff), drift_cutoff or 0.5))
+    plans = [r.fixes for r in before.select("fixes").distinct().collect()]
+    cleaned = None
+    for plan in plans:
+        same = before.where(F.to_json("fixes") == F.to_json(F.array(*(F.struct(F.lit(p.step).alias("step"), F.lit(p.parameters).alias("parameters")) for p in plan))) if plan else F.size("fixes") == 0)
+        own = samples.join(same.select("rec"), "rec", "left_semi")
+        for p in plan:
+            own = STEPS[p.step](own, fs, **json.loads(p.parameters))
+        own = own.select("rec", "idx", "value")
+        cleaned = own if cleaned is None else cleaned.unionByName(own)
+    cleaned = stored(cleaned if cleaned is not None else samples)
+    return cleaned, before, diagnose(cleaned, fs, mains, drift_cutoff)
 
 
 def screen(samples: DataFrame, fs: float | None = None) -> DataFrame:

@@ -222,6 +222,7 @@ p AS (SELECT a.k AS group_a, b.k AS group_b, (a.m - b.m) / sqrt(a.v / a.n + b.v
 SELECT group_a, group_b, round(t, 6) + 0.0 AS t, round(dof, 4) AS dof, round(cohen_d, 6) + 0.0 AS cohen_d, CASE WHEN abs(cohen_d) < 0.2 THEN 'negligible' WHEN abs(cohen_d) < 0.5 THEN 'small' WHEN abs(cohen_d) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM p""")
 def welch_ttest(spark: SparkSession, folder: str) -> DataFrame:
     t = statistics.welch_ttest(spark.read.parquet(f"{folder}/events.parquet"), "event_type")
+    t = t.drop("p", "reject")
     return rounded(t.drop("dof")).join(t.select("group_a", "group_b", F.round("dof", 4).alias("dof")), ["group_a", "group_b"])
 
 
@@ -232,14 +233,14 @@ u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, n1 + n2 AS n FROM t)
 SELECT round(u, 6) + 0.0 AS u, round(2 * u / (n1 * n2) - 1, 6) + 0.0 AS rank_biserial, round((abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * ((n + 1) - tie / (n * (n - 1)))), 6) + 0.0 AS z,
   CASE WHEN abs(2 * u / (n1 * n2) - 1) < 0.1 THEN 'negligible' WHEN abs(2 * u / (n1 * n2) - 1) < 0.3 THEN 'small' WHEN abs(2 * u / (n1 * n2) - 1) < 0.5 THEN 'medium' ELSE 'large' END AS effect FROM u""")
 def mannwhitney(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(statistics.mannwhitney(spark.read.parquet(f"{folder}/events.parquet"), "event_type", "click", "purchase"))
+    return rounded(statistics.mannwhitney(spark.read.parquet(f"{folder}/events.parquet"), "event_type", "click", "purchase").drop("p", "reject"))
 
 
 @query(f"""{USER}, q AS (SELECT rec, count(*) AS n, regr_slope(value, idx / 2.0) AS slope, regr_intercept(value, idx / 2.0) AS intercept, regr_r2(value, idx / 2.0) AS r2,
   sqrt((regr_syy(value, idx / 2.0) - pow(regr_sxy(value, idx / 2.0), 2) / regr_sxx(value, idx / 2.0)) / (count(*) - 2) / regr_sxx(value, idx / 2.0)) AS stderr FROM s GROUP BY rec)
 SELECT rec, n, {_r('slope', 'intercept', 'r2', 'stderr')} FROM q""")
 def linear_regression(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(statistics.linear_regression(user_series(spark, folder), 2.0))
+    return rounded(statistics.linear_regression(user_series(spark, folder), 2.0).drop("p", "reject"))
 
 
 @query(f"{USER}, q AS (SELECT rec, regr_slope(value, idx) AS b, regr_intercept(value, idx) AS a FROM s GROUP BY rec) SELECT rec, idx, round(value - a - b * idx, 6) + 0.0 AS value FROM s JOIN q USING (rec)")
@@ -252,23 +253,108 @@ PAIRS = f"{TYPES}, p AS (SELECT a.rec AS channel_a, b.rec AS channel_b, a.idx, a
 
 @query(f"{PAIRS} SELECT channel_a, channel_b, count(*) AS n, round(corr(x, y), 6) + 0.0 AS r FROM p GROUP BY 1, 2")
 def correlate_pearson(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(statistics.correlate(hourly_by_type(spark, folder)))
+    return rounded(statistics.correlate(hourly_by_type(spark, folder)).drop("p", "reject"))
 
 
 @query(f"""{PAIRS}, k AS (SELECT channel_a, channel_b, rank() OVER (PARTITION BY channel_a, channel_b ORDER BY x) + (count(*) OVER (PARTITION BY channel_a, channel_b, x) - 1) / 2 AS rx,
   rank() OVER (PARTITION BY channel_a, channel_b ORDER BY y) + (count(*) OVER (PARTITION BY channel_a, channel_b, y) - 1) / 2 AS ry FROM p)
 SELECT channel_a, channel_b, count(*) AS n, round(corr(rx, ry), 6) + 0.0 AS r FROM k GROUP BY 1, 2""")
 def correlate_spearman(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(statistics.correlate(hourly_by_type(spark, folder), "spearman"))
+    return rounded(statistics.correlate(hourly_by_type(spark, folder), "spearman").drop("p", "reject"))
 
 
 @query(f"""{PAIRS}, d AS (SELECT a.channel_a, a.channel_b, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM p a JOIN p b ON a.channel_a = b.channel_a AND a.channel_b = b.channel_b AND a.idx < b.idx),
 n AS (SELECT channel_a, channel_b, count(*) AS n FROM p GROUP BY 1, 2)
 SELECT channel_a, channel_b, any_value(n) AS n, round(sum(sx * sy) / sqrt(sum(abs(sx))::DOUBLE * sum(abs(sy))), 6) + 0.0 AS r FROM d JOIN n USING (channel_a, channel_b) GROUP BY 1, 2""")
 def correlate_kendall(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(statistics.correlate(hourly_by_type(spark, folder), "kendall").drop("p", "reject"))
+
+
+#: Two-sided p of a t statistic and of a normal score, by Simpson's rule over 2000 steps from 0 to the statistic.
+P_OF_T = """1 - 2 * (SELECT sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(abs({t}) * i / 2000, 2) / ({v}), -(({v}) + 1) / 2)) * abs({t}) / 6000
+  FROM range(0, 2001) s(i)) * exp(lgamma((({v}) + 1) / 2) - lgamma(({v}) / 2)) / sqrt(({v}) * pi())"""
+P_OF_Z = """1 - 2 * (SELECT sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(abs({z}) * i / 2000, 2) / 2)) * abs({z}) / 6000 FROM range(0, 2001) s(i)) / sqrt(2 * pi())"""
+
+
+@query(f"""{USER}, q AS (SELECT rec, count(value) AS n, avg(value) AS m, stddev_samp(value) AS sd FROM s GROUP BY rec), t AS (SELECT rec, n, (m - 50) / sd * sqrt(n) AS t, n - 1 AS dof, (m - 50) / sd AS cohen_d FROM q WHERE n > 1 AND sd > 0),
+p AS (SELECT *, {P_OF_T.format(t='t', v='dof::DOUBLE')} AS p FROM t)
+SELECT rec, n, {_r('t')}, dof, {_r('cohen_d')}, CASE WHEN abs(cohen_d) < 0.2 THEN 'negligible' WHEN abs(cohen_d) < 0.5 THEN 'small' WHEN abs(cohen_d) < 0.8 THEN 'medium' ELSE 'large' END AS effect, {_r('p')}, p < 0.05 AS reject FROM p""")
+def ttest_one_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(statistics.one_sample_ttest(user_series(spark, folder), 50.0)).where("t IS NOT NULL")
+
+
+@query(f"""m AS (SELECT event_type AS k, count(value)::DOUBLE AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1),
+t AS (SELECT a.k AS group_a, b.k AS group_b, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t, pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)) AS dof FROM m a JOIN m b ON a.k < b.k),
+p AS (SELECT *, {P_OF_T.format(t='t', v='dof')} AS p FROM t) SELECT group_a, group_b, {_r('t', 'p')}, p < 0.05 AS reject FROM p""")
+def welch_ttest_p(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(statistics.welch_ttest(spark.read.parquet(f"{folder}/events.parquet"), "event_type").select("group_a", "group_b", "t", "p", "reject"))
+
+
+@query(f"""b AS (SELECT event_type AS g, value AS v FROM events WHERE event_type IN ('click', 'purchase') AND value IS NOT NULL),
+r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r, count(*) OVER (PARTITION BY v) AS ties FROM b),
+t AS (SELECT sum(CASE WHEN g = 'click' THEN r END) AS r1, sum((g = 'click')::INT)::DOUBLE AS n1, sum((g = 'purchase')::INT)::DOUBLE AS n2, sum(ties * ties - 1)::DOUBLE AS tie FROM r),
+u AS (SELECT r1 - n1 * (n1 + 1) / 2 AS u, n1, n2, n1 + n2 AS n, tie FROM t), z AS (SELECT u, (abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * ((n + 1) - tie / (n * (n - 1)))) AS z FROM u),
+p AS (SELECT *, {P_OF_Z.format(z='z')} AS p FROM z) SELECT {_r('u', 'z', 'p')}, p < 0.05 AS reject FROM p""")
+def mannwhitney_p(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(statistics.mannwhitney(spark.read.parquet(f"{folder}/events.parquet"), "event_type", "click", "purchase").select("u", "z", "p", "reject"))
+
+
+@query(f"""{USER}, q AS (SELECT rec, count(*) AS n, regr_slope(value, idx / 2.0) AS slope,
+  sqrt((regr_syy(value, idx / 2.0) - pow(regr_sxy(value, idx / 2.0), 2) / regr_sxx(value, idx / 2.0)) / (count(*) - 2) / regr_sxx(value, idx / 2.0)) AS stderr FROM s GROUP BY rec),
+p AS (SELECT *, {P_OF_T.format(t='slope / stderr', v='(n - 2)::DOUBLE')} AS p FROM q WHERE n > 2) SELECT rec, n, {_r('slope', 'p')}, p < 0.05 AS reject FROM p""")
+def linear_regression_p(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(statistics.linear_regression(user_series(spark, folder), 2.0).where("n > 2").select("rec", "n", "slope", "p", "reject"))
+
+
+def _correlation_p(values: str) -> str:
+    t = "r * sqrt((n - 2) / (1 - r * r))"
+    return f"""{PAIRS}, k AS ({values}), rr AS (SELECT channel_a, channel_b, count(*) AS n, corr(x, y) AS r FROM k GROUP BY 1, 2),
+pp AS (SELECT *, {P_OF_T.format(t=t, v='(n - 2)::DOUBLE')} AS p FROM rr) SELECT channel_a, channel_b, n, {_r('r', 'p')}, p < 0.05 AS reject FROM pp"""
+
+
+@query(_correlation_p("SELECT * FROM p"))
+def correlate_pearson_p(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(statistics.correlate(hourly_by_type(spark, folder)))
+
+
+@query(_correlation_p("""SELECT channel_a, channel_b, rank() OVER (PARTITION BY channel_a, channel_b ORDER BY x) + (count(*) OVER (PARTITION BY channel_a, channel_b, x) - 1) / 2 AS x,
+  rank() OVER (PARTITION BY channel_a, channel_b ORDER BY y) + (count(*) OVER (PARTITION BY channel_a, channel_b, y) - 1) / 2 AS y FROM p"""))
+def correlate_spearman_p(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(statistics.correlate(hourly_by_type(spark, folder), "spearman"))
+
+
+@query(f"""{PAIRS}, d AS (SELECT a.channel_a, a.channel_b, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM p a JOIN p b ON a.channel_a = b.channel_a AND a.channel_b = b.channel_b AND a.idx < b.idx),
+kc AS (SELECT channel_a, channel_b, sum(sx * sy)::DOUBLE AS c, sum(abs(sx))::DOUBLE AS nx, sum(abs(sy))::DOUBLE AS ny FROM d GROUP BY 1, 2), n AS (SELECT channel_a, channel_b, count(*)::DOUBLE AS n FROM p GROUP BY 1, 2),
+tx AS (SELECT channel_a, channel_b, sum(t * (t - 1) / 2) AS x2, sum(t * (t - 1) * (t - 2)) AS x3, sum(t * (t - 1) * (2 * t + 5)) AS x5 FROM (SELECT channel_a, channel_b, count(*)::DOUBLE AS t FROM p GROUP BY channel_a, channel_b, x) GROUP BY 1, 2),
+ty AS (SELECT channel_a, channel_b, sum(t * (t - 1) / 2) AS y2, sum(t * (t - 1) * (t - 2)) AS y3, sum(t * (t - 1) * (2 * t + 5)) AS y5 FROM (SELECT channel_a, channel_b, count(*)::DOUBLE AS t FROM p GROUP BY channel_a, channel_b, y) GROUP BY 1, 2),
+z AS (SELECT channel_a, channel_b, n::BIGINT AS n, c / sqrt(nx * ny) AS r, c / sqrt((n * (n - 1) * (2 * n + 5) - x5 - y5) / 18 + x2 * y2 / (n * (n - 1) / 2) + x3 * y3 / (9 * n * (n - 1) * (n - 2))) AS z
+  FROM kc JOIN n USING (channel_a, channel_b) JOIN tx USING (channel_a, channel_b) JOIN ty USING (channel_a, channel_b)),
+q AS (SELECT *, {P_OF_Z.format(z='z')} AS p FROM z) SELECT channel_a, channel_b, n, {_r('r', 'p')}, p < 0.05 AS reject FROM q""")
+def correlate_kendall_p(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(statistics.correlate(hourly_by_type(spark, folder), "kendall"))
 
 
+@query(f"""{USER}, m AS (SELECT rec, count(value) AS n, avg(value) AS m FROM s GROUP BY rec), e AS (SELECT rec, idx, value - m AS e, n, least(ceil(12 * pow(n / 100, 0.25)), n - 1)::BIGINT AS lags FROM s JOIN m USING (rec)),
+c AS (SELECT rec, any_value(n) AS n, any_value(lags) AS lags, sum(y * y) AS eta FROM (SELECT *, sum(e) OVER (PARTITION BY rec ORDER BY idx ROWS UNBOUNDED PRECEDING) AS y FROM e) GROUP BY rec),
+g AS (SELECT a.rec, sum(a.e * b.e * CASE WHEN a.idx = b.idx THEN 1 ELSE 2 * (1 - (a.idx - b.idx) / (a.lags + 1)) END) AS s FROM e a JOIN e b ON a.rec = b.rec AND a.idx - b.idx BETWEEN 0 AND a.lags GROUP BY a.rec),
+k AS (SELECT rec, n, lags, CASE WHEN n >= 4 AND s > 0 THEN eta / n / s END AS kpss FROM c JOIN g USING (rec))
+SELECT rec, n, lags, {_r('kpss')}, round(CASE WHEN kpss <= 0.347 THEN 0.1 WHEN kpss <= 0.463 THEN 0.1 - (kpss - 0.347) / 0.116 * 0.05 WHEN kpss <= 0.574 THEN 0.05 - (kpss - 0.463) / 0.111 * 0.025
+  WHEN kpss <= 0.739 THEN 0.025 - (kpss - 0.574) / 0.165 * 0.015 WHEN kpss > 0.739 THEN 0.01 END, 6) + 0.0 AS p FROM k""")
+def stationarity_kpss(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(statistics.stationarity_kpss(user_series(spark, folder)))
+
+
+@query(f"""{USER}, m AS (SELECT rec, count(value)::DOUBLE AS n, (sum(pow(value - m, 3)) / count(*)) / pow(var_pop(value), 1.5) AS g, (sum(pow(value - m, 4)) / count(*)) / pow(var_pop(value), 2) AS b
+  FROM s JOIN (SELECT rec, avg(value) AS m FROM s GROUP BY rec) USING (rec) GROUP BY rec HAVING count(value) >= 8),
+a AS (SELECT *, g * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, -1 + sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) AS w,
+  (b - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS sb FROM m),
+c AS (SELECT *, asinh(y / sqrt(2 / (w - 1))) / sqrt(ln(sqrt(w))) AS z1, 6 + 8 / sb * (2 / sb + sqrt(1 + 4 / (sb * sb))) AS big FROM a),
+d AS (SELECT rec, z1, (1 - 2 / (9 * big) - cbrt((1 - 2 / big) / (1 + x * sqrt(2 / (big - 4))))) / sqrt(2 / (9 * big)) AS z2 FROM c)
+SELECT rec, round(z1 * z1 + z2 * z2, 6) + 0.0 AS k2, round(exp(-(z1 * z1 + z2 * z2) / 2), 6) + 0.0 AS p FROM d""")
+def normality_dagostino(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(statistics.dagostino(user_series(spark, folder)).where("k2 IS NOT NULL"))
+
+
 @query(f"""{VECTORS}, z AS (SELECT rec, idx, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY rec))
 SELECT a.rec, (a.idx - b.idx)::INT AS lag, round(sum(a.z * b.z) / any_value(a.n), 6) + 0.0 AS r FROM z a JOIN z b ON a.rec = b.rec AND a.idx - b.idx BETWEEN 0 AND 16 GROUP BY 1, 2""")
 def autocorrelation(spark: SparkSession, folder: str) -> DataFrame:
@@ -304,7 +390,7 @@ def time_features(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(features.time_domain(user_series(spark, folder)))
 
 
-@query(f"""{USER}, x AS (SELECT rec, w, idx, value FROM s JOIN (SELECT rec, count(*) AS n FROM s GROUP BY rec) USING (rec), range(0, 200) t(w) WHERE idx BETWEEN w * 8 AND w * 8 + 15 AND w * 8 + 16 <= n),
+@query(f"""{USER}, x AS (SELECT rec, w, idx, value FROM s JOIN (SELECT rec, count(*) AS n FROM s GROUP BY rec) USING (rec), LATERAL (SELECT unnest(range(0, n // 8 + 1)) AS w) WHERE idx BETWEEN w * 8 AND w * 8 + 15 AND w * 8 + 16 <= n),
 {TIME.format(key='rec, w')} SELECT rec, w, round(w * 8 / 2, 6) + 0.0 AS t_start, round((w * 8 + 16) / 2, 6) + 0.0 AS t_end, {_r(*(f'td_{t}' for t in TD))} FROM q""")
 def windowed_features(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(features.windowed_time_domain(user_series(spark, folder), 16, 8, 2.0))

@@ -14,7 +14,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def user_series(spark: SparkSession, folder: str) -> DataFrame:
     """Each user's event values in the order of their time."""
-    return from_rows(table(spark, folder, "events"), "user_id", ["ts", "event_id"], "value")
+    return from_rows(table(spark, folder, "events"), "user_id", ["ts", "event_id"], "value", F.to_date("ts"))
 
 
 def gappy(samples: DataFrame) -> DataFrame:
