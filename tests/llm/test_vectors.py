@@ -109,3 +109,39 @@ def test_bounds_lose_nothing(seed):
     at, score = topk.best(query, np.ascontiguousarray(vectors.T), ids, 6, -np.inf, np.argsort(-np.abs(query)))
     want = sorted(zip(-(vectors @ query), ids, strict=True))[:6]
     assert [(-s, i) for s, i in want] == list(zip(score, ids[at], strict=True))
+
+
+def test_links_through_many_levels_of_intervals(spark, monkeypatch):
+    """Blocks of eight vectors in intervals of two, from two intervals a label down."""
+    for name, value in (("BLOCK", 8), ("FAN", 2), ("TOP", 2)):
+        monkeypatch.setattr(vector_dedup, name, value)
+    rows = cloud(5, 300)
+    got = vector_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.93)
+    assert Counter(map(tuple, got.collect())) == brute_links(rows, 0.93)
+
+
+def test_pairs_at_the_threshold_are_decided_by_the_plain_formula(spark):
+    vectors = [[3.0, 4.0], [5.0, 0.0], [4.0, 3.0], [0.0, 5.0], [6.0, 8.0], [3.0, 4.0]]
+    docs = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(docs, 0.6).collect()}
+    assert got == {0: (5, 0), 1: (4, 0), 2: (5, 0), 3: (4, 0), 4: (5, 0), 5: (5, 0)}
+
+
+def test_top_k_of_large_components(spark):
+    draw = np.random.default_rng(7)
+    rows = [(i, [float(v) for v in draw.normal(size=6) * 10.0 ** draw.choice([0, 3, 9, 14, 17, 100, 290])]) for i in range(120)]
+    rows += [(200 + i, [1e200] * 6) for i in range(10)] + [(300, [-1e200] * 6), (301, [float(1 << 40), 0.5, 0.0, -0.0, 3.0, 1.0])]
+    good = [(i, [math.floor(256 * x) if abs(x) < 1e15 else int(256 * x) for x in v]) for i, v in rows]
+    want = Counter()
+    for i, q in good:
+        if i % 10 == 0:
+            scored = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, c, strict=True)))), j) for j, c in good if j != i)
+            want.update((i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:5]))
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10, 5)
+    assert Counter(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize(("vectors", "numbers", "asked", "tasks"), [(0, 0, 0, 8), (10, 640, 1, 8), (50_000, 3_200_000, 1000, 24), (10**9, 64 * 10**9, 2 * 10**7, 20_000), (10**6, 4096 * 10**6, 20_000, 100)])
+def test_cells_fit_a_task(vectors, numbers, asked, tasks):
+    cells, slices = topk.grid(vectors, numbers, asked, tasks)
+    assert cells >= 1 and slices >= 1 and numbers / cells <= topk.HELD and cells * slices <= max(2 * tasks, 2 * numbers / topk.HELD)
