@@ -142,3 +142,40 @@ def test_counts_follow_the_distribution(spark):
     counts = Counter(r.n for r in spark.range(20_000).select(mixing.poisson(F.lit(2.5), 3, F.col("id")).alias("n")).collect())
     expected = defaultdict(float, {k: 20_000 * math.exp(-2.5) * 2.5**k / math.factorial(k) for k in range(12)})
     assert sum((counts[k] - expected[k]) ** 2 / expected[k] for k in range(9)) < 30
+
+
+def brute_threshold(rows):
+    """The step of the score from which accepting gives the most balanced accuracy, the lowest of equals, by trying all."""
+    steps = [math.floor(max(-url_filter.SPAN, min(url_filter.SPAN, s)) * url_filter.STEPS) for s, _ in rows]
+    good, bad = sum(a for _, a in rows), sum(1 - a for _, a in rows)
+    if not good or not bad:
+        return 0.0
+    value = {t: sum(s < t and not a for s, (_, a) in zip(steps, rows, strict=True)) / bad + sum(s >= t and a for s, (_, a) in zip(steps, rows, strict=True)) / good for t in set(steps)}
+    best = max(value.values())
+    return min(t for t in value if value[t] == best) / url_filter.STEPS
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_threshold_is_the_best_of_all(spark, seed):
+    import random
+
+    draw = random.Random(seed)
+    rows = [(draw.gauss(0.4 * a, 0.3), a) for a in draw.choices([0, 1], k=draw.choice([3, 40, 200]))]
+    rows += [(50.0, 1), (-50.0, 0)] if seed else []
+    got = url_filter.threshold(spark.createDataFrame(rows, "score double, accepted int"))
+    assert got == pytest.approx(brute_threshold(rows))
+    assert url_filter.threshold(spark.createDataFrame([(0.5, 1)], "score double, accepted int")) == 0
+
+
+def test_the_query_judges_every_url_by_rule_or_threshold(spark):
+    from undula.llm.queries import QUERIES
+
+    rows = QUERIES["op2_url_filter"](spark, "/root/testdata/sf0.001").collect()
+    pages = {r.page_id: r.url for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    assert Counter(r.page_id for r in rows) == Counter(pages.keys())
+    for r in rows:
+        rule, said = ruled(*parse(pages[r.page_id]))
+        assert (r.host, r.path, r.rule) == (*parse(pages[r.page_id]), rule) and (rule is None or r.verdict == said)
+    free = [r for r in rows if r.rule is None]
+    bar = {v: [r.score for r in free if r.verdict == v] for v in ("allow", "block")}
+    assert not bar["allow"] or not bar["block"] or max(bar["block"]) < min(bar["allow"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import accumulate, chain, pairwise
 
 import numpy as np
@@ -86,6 +87,9 @@ class ChunkEncoder:
         if room >= len(found):
             ids.update(found)
             found = {}
+        elif room > 0:  # the last to be kept are those used most often here, whole words being used with their marks, too
+            uses = Counter(chain.from_iterable(c[1:] for c in cut))
+            ids.update((c, found[c]) for c in sorted(found, key=uses.__getitem__, reverse=True)[:room])
         first = self._encode([c[0] for c in cut])
         out: list[bytes] = []
         for text, chunks, head in zip(texts, cut, first, strict=True):

@@ -28,14 +28,22 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def dropped_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder of this run's own removed when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write `df` as Parquet to the shared folder and read it back.
 
-    Later stages read the files, so a lost executor costs its running tasks and nothing upstream.
+    Later stages read the files, so a lost executor costs its running tasks and nothing upstream. They go when the
+    application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    dropped_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import fold, fresh_name, uniform
+from undula.llm.common import broadcast_if_small, fold, fresh_name, uniform, written
 
 #: The byte that stands past a window's end.
 PAD = 256
@@ -126,15 +126,19 @@ class ByteCNN:
         return [self.languages[k] for k in best], p[np.arange(len(best)), best].tolist()
 
 
-def train(docs: DataFrame, rows: int = 1500, max_chars: int = 20_000, most_languages: int = 200, seed: int = 5, **parameters) -> ByteCNN | None:
-    """Fit on a sample of documents with a language: `rows` of each in expectation, from the `most_languages` commonest, none
-    longer than `max_chars`; these bound what reaches the driver. Each gives four windows at most. None without examples."""
+def train(docs: DataFrame, rows: int = 1500, max_chars: int = 20_000, most_rows: int = 20_000, seed: int = 5, **parameters) -> ByteCNN | None:
+    """Fit on a sample of documents with a language: `rows` of each in expectation, fewer where the languages are so many that
+    they would come to more than `most_rows`, none longer than `max_chars`; these bound what reaches the driver. Rows with the
+    same doc_id, language and text count once. Each gives four windows at most. None without examples."""
     usable = docs.where(F.col("lang").isNotNull() & (F.length("text") <= max_chars) & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    if not counts:
-        return None
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, rows / r.n))))
-    got = usable.where(uniform("doc_id", seed) < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("text", "lang").toPandas()
+    usable = usable.select("doc_id", "lang", F.xxhash64("text").alias("text_key"), "text")
+    keys = written(usable.select("doc_id", "lang", "text_key").distinct(), "spoken")
+    counts = broadcast_if_small(written(keys.groupBy("lang").agg(F.count("*").alias("n")), "languages"), 100_000)
+    each = min(rows, most_rows / max(1, counts.count()))
+    sample = keys.join(counts, "lang").where(uniform(F.struct("doc_id", "text_key"), seed) * F.col("n") < each).select("doc_id", "lang", "text_key")
+    same = F.col("u.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("u.lang") == F.col("s.lang")) & (F.col("u.text_key") == F.col("s.text_key"))
+    found = usable.alias("u").join(broadcast_if_small(sample, 20 * most_rows).alias("s"), same, "left_semi")
+    got = found.groupBy("doc_id", "lang", "text_key").agg(F.first("text").alias("text")).select("text", "lang").toPandas()
     if got.empty:
         return None
     got = got.sort_values(["lang", "text"])

@@ -18,18 +18,18 @@ from undula.llm.common import written
 PIECES = "shard int, nth long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, space: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, space: bool = False, cached: int = 500_000) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32, and the piece's rank within its task's equals.
 
     A document is its ids and `end_id`; one longer than `capacity` is cut into pieces of that length, the last may be
     shorter. Null texts are empty, so every row gives a piece at least; rows that share a doc_id are documents of their own.
-    `shard` is the task, `nth` how many pieces of the same length came before it there.
+    `shard` is the task, `nth` how many pieces of the same length came before it there. A worker remembers `cached` words.
     """
     end = np.array([end_id], "<u4").tobytes()
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("shard"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer, space)
+        enc = encoder(tokenizer, space, cached)
         seen: Counter[int] = Counter()
         for batch in batches:
             texts = batch["text"].tolist()
@@ -139,6 +139,6 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, cached: int = 500_000) -> DataFrame:
     """Cut, encode and pack all `docs` (doc_id, text); an empty table gives no rows. See pieces() and pack()."""
-    return pack(written(pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+    return pack(written(pieces(docs, tokenizer, end_id, capacity, cached=cached), "pieces"), capacity)

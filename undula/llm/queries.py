@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undula.llm import language_id, minhash, mixing, packing, token_counts, token_files, topk, toxicity, url_filter, vector_dedup
-from undula.llm.common import fold, read_table, shared_folder
+from undula.llm.common import dropped_at_end, fold, read_table, shared_folder
 
 QUERIES = {}
 ORACLES = {}
@@ -25,6 +25,7 @@ def query(f):
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    dropped_at_end(spark, path)
     return token_files.digest(token_files.read_token_files(spark, path))
 
 

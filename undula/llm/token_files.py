@@ -80,7 +80,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
+        # By the text's beginning, too, so that many rows of one doc_id, or without any, are dealt to several shards.
+        .repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
         .withColumn("shard", F.spark_partition_id())
         .select("shard", "doc_id", F.col("doc_id").isNull().alias("no_id"), "text")

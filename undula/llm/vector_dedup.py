@@ -170,9 +170,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     rows = rows.withColumn("vector", F.when(usable, F.transform("embedding", lambda x: x + F.lit(0.0)))).drop("embedding")
     rows = rows.withColumn("point", F.when(F.col("vector").isNotNull(), F.xxhash64("label", "vector")))
     points = rows.where("vector IS NOT NULL").groupBy("label", "vector", "point").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("times"))
-    scaled = F.expr("transform(vector, x -> x / array_max(transform(vector, y -> abs(y))))")  # so that no norm overflows
-    points = points.withColumn("unit", scaled).withColumn("dim", F.size("unit"))
-    points = written(points.withColumn("unit", F.expr("transform(unit, x -> x / sqrt(aggregate(unit, 0D, (s, y) -> s + y * y)))")), "points")
+    # By the largest component first, so that no norm overflows. As an array's element the divisor is worked out once a vector.
+    points = points.withColumn("unit", F.expr("transform(array(array_max(transform(vector, y -> abs(y)))), m -> transform(vector, x -> x / m))[0]"))
+    length = "transform(array(sqrt(aggregate(unit, 0D, (s, y) -> s + y * y))), m -> transform(unit, x -> x / m))[0]"
+    points = written(points.withColumn("unit", F.expr(length)).withColumn("dim", F.size("unit")), "points")
     axes = spark.sparkContext.broadcast(principal_axes(points))
     epsilon = math.sqrt(max(0.0, 2 - 2 * least))
     label = f"label {points.schema['label'].dataType.simpleString()}"
