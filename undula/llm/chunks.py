@@ -116,6 +116,10 @@ def encoder(path: str, space: bool, limit: int = 500_000) -> ChunkEncoder:
     return _encoders[path, space]
 
 
+def forget_encoders() -> None:
+    _encoders.clear()
+
+
 def in_blocks(texts: list[str], chars: int = 2_000_000):
     """Slices of `texts` of about so many characters each, so that memory follows neither the batch nor its longest text."""
     start = held = 0

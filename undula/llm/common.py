@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +70,22 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def tidy(run):
+    """A function from batches to batches that gives the memory it no longer needs back when its task ends: Python workers go
+    on to other tasks, and what each stage leaves behind would add up."""
+
+    def each(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return each
+
+
 def complete_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """Batches sorted by the keys, cut so that no run of equal keys is split, with the runs' starts and ends."""
     rest: pd.DataFrame | None = None

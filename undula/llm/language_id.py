@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import broadcast_if_small, fold, fresh_name, uniform, written
+from undula.llm.common import broadcast_if_small, fold, fresh_name, tidy, uniform, written
 
 #: The byte that stands past a window's end.
 PAD = 256
@@ -167,13 +167,15 @@ def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
 
     @F.pandas_udf("lang string, score double")
     def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
+        def each(batch: pd.Series) -> pd.DataFrame:
             known = batch.notna()
             out = pd.DataFrame({"lang": UNKNOWN, "score": 0.0}, index=batch.index)
             if known.any():
                 names, shares = shared.value.predict(batch[known].tolist())
                 out.loc[known, "lang"], out.loc[known, "score"] = names, shares
-            yield out
+            return out
+
+        yield from tidy(lambda batches: map(each, batches))(texts)
 
     found = fresh_name(docs, "lang_found")
     lettered = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.llm.common import broadcast_if_small, complete_groups, fresh_name, written
+from undula.llm.common import broadcast_if_small, complete_groups, fresh_name, tidy, written
 from undula.llm.components import connected_components, link
 
 WORD = re.compile(r"\w+")
@@ -179,7 +179,7 @@ def sketches(docs: DataFrame, tf: bool = True) -> DataFrame:
                 }).astype({"doc_id": "Int64"})
                 start += n
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(sketched, SKETCH)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(tidy(sketched), SKETCH)
 
 
 def _paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,9 +268,9 @@ def _compared(paired: DataFrame, texts: DataFrame, docs: DataFrame, tf: bool) ->
     read = rows.join(broadcast_if_small(wanted.where("doc_id IS NOT NULL").select("doc_id").distinct()), "doc_id", "left_semi")
     if not wanted.where("doc_id IS NULL").isEmpty():  # their texts are under no doc_id
         read = read.unionByName(rows.where("doc_id IS NULL"))
-    read = read.mapInPandas(shingled, "node long, shingles binary").dropDuplicates(["node"])
+    read = read.mapInPandas(tidy(shingled), "node long, shingles binary").dropDuplicates(["node"])
     key = ["bucket", "low", "high"]
-    return paired.join(read, "node").repartition(*key).sortWithinPartitions(*key).mapInPandas(_checked, "a long, b long")
+    return paired.join(read, "node").repartition(*key).sortWithinPartitions(*key).mapInPandas(tidy(_checked), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, tf: bool = True) -> DataFrame:
@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, tf: bool = True) -> DataFrame:
     def paired(cut: DataFrame) -> DataFrame:
         """Of (node, bucket, block, low, high) rows those that _paired() leaves."""
         full = cut.join(texts.select("node", "bands", "signature"), "node").repartition(*key).sortWithinPartitions(*key)
-        return written(full.mapInPandas(_paired, row), "candidates")
+        return written(full.mapInPandas(tidy(_paired), row), "candidates")
 
     within = paired(members.select("node", "bucket", F.col("low").alias("block"), "low", F.col("low").alias("high")))
     roots = connected_components(_compared(within, texts, docs, tf))

@@ -12,18 +12,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.llm.chunks import encoder, in_blocks
-from undula.llm.common import written
+from undula.llm.chunks import encoder, forget_encoders, in_blocks
+from undula.llm.common import tidy, written
 
 PIECES = "shard int, nth long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, space: bool = False, cached: int = 500_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, space: bool = False, cached: int = 500_000, keep: bool = True) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32, and the piece's rank within its task's equals.
 
     A document is its ids and `end_id`; one longer than `capacity` is cut into pieces of that length, the last may be
     shorter. Null texts are empty, so every row gives a piece at least; rows that share a doc_id are documents of their own.
-    `shard` is the task, `nth` how many pieces of the same length came before it there. A worker remembers `cached` words.
+    `shard` is the task, `nth` how many pieces of the same length came before it there. A worker remembers `cached` words, from task
+    to task if it may `keep` them.
     """
     end = np.array([end_id], "<u4").tobytes()
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("shard"))
@@ -46,8 +47,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, space: b
                         seen[n] += 1
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+        if not keep:
+            forget_encoders()
 
-    return source.mapInPandas(cut, PIECES)
+    return source.mapInPandas(tidy(cut), PIECES)
 
 
 def plan(lengths: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -139,6 +142,6 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, cached: int = 500_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, cached: int = 500_000, keep: bool = True) -> DataFrame:
     """Cut, encode and pack all `docs` (doc_id, text); an empty table gives no rows. See pieces() and pack()."""
-    return pack(written(pieces(docs, tokenizer, end_id, capacity, cached=cached), "pieces"), capacity)
+    return pack(written(pieces(docs, tokenizer, end_id, capacity, cached=cached, keep=keep), "pieces"), capacity)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import broadcast_if_small, fold, fresh_name, uniform, written
+from undula.llm.common import broadcast_if_small, fold, fresh_name, tidy, uniform, written
 
 WORD = re.compile(r"\w+")
 
@@ -187,8 +187,7 @@ def score_documents(docs: DataFrame, model: SubwordSoftmax, threshold: float = 0
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = shared.value.scorer()
-        for batch in texts:
-            yield batch.map(scorer.score).astype("float64")
+        yield from tidy(lambda batches: (batch.map(scorer.score).astype("float64") for batch in batches))(texts)
 
     score, predicted = fresh_name(docs, "tox_score"), fresh_name(docs, "tox_predicted")
     return docs.withColumn(score, scored(F.coalesce("text", F.lit("")))).withColumn(predicted, (F.col(score) >= threshold).cast("int"))
