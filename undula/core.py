@@ -94,15 +94,19 @@ def owned(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Written as Parquet to spark.checkpoint.dir (a temporary folder where that is unset) and read back, for what is used
-    many times over."""
+    """Written as Parquet to spark.checkpoint.dir and read back, for what is used many times over; the files go when the
+    application ends. Where that is unset, to a temporary folder in local mode; on a cluster it has to be set."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="undula-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/samples-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
