@@ -160,3 +160,17 @@ def test_gradients_reduce_the_loss():
     batch[labels == 1, 5:8] = [7, 8, 9]
     model.fit(batch, labels, epochs=60)
     assert (model.logits(batch).argmax(1) == labels).mean() > 0.9
+
+
+def test_the_language_query_holds_on_rows_that_it_did_not_learn(spark):
+    folder = "/root/testdata/sf0.01"
+    known = spark.read.parquet(f"{folder}/documents.parquet").where("lang IS NOT NULL").select("doc_id", "lang")
+    rows = QUERIES["op6_language_id"](spark, folder).join(known, "doc_id").where("held_out AND lang_pred <> 'und'").collect()
+    assert len(rows) > 100 and np.mean([r.lang == r.lang_pred for r in rows]) >= 0.97
+
+
+def test_many_languages_share_the_sample(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i % 23)} word {i}", f"l{i % 40}") for i in range(400)] + [(1, "same words", "l1")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, rows=1500, most_rows=200)
+    assert 20 < len(model.languages) <= 40
