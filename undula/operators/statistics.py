@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.core import dealt, numbered, shifted, stored, with_stats
+from undula.core import dealt, numbered, shifted, stored
 from undula.functions.special import normal_share, p_of_ks, p_of_rank_sum, p_of_t, p_of_z
 
 #: Verbal cuts for Cohen's d and for correlations.

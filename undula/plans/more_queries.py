@@ -12,8 +12,6 @@ from undula.plans.queries import _r as r6
 from undula.sources import export
 from undula.sources.tables import gappy, hourly_by_type, spiky, user_series, vectors
 
-#: Each vector as a recording at 16 samples a second, its components in 32 segments of a tone that tells it apart.
-RATE = 16.0
 
 
 #: Hourly channels without their gaps, and with gaps of their own.
