@@ -64,7 +64,7 @@ def test_no_vectors(spark):
 def test_components_of_a_chain_a_star_and_a_loop(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(500, i) for i in range(501, 560)]
-    edges = spark.createDataFrame([*chain, *star, (7, 7), (3, 2), (2, 1), (1, 3), (2, 1)], "a long, b long")
+    edges = spark.createDataFrame([*chain, *star, (7, 7), (3, 2), (2, 1), (1, 3), (2, 1), (None, 4), (4, None)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == {**dict.fromkeys(range(100, 161), 100), **dict.fromkeys(range(500, 560), 500), 1: 1, 2: 1, 3: 1}
 

@@ -10,7 +10,8 @@ from undula.llm.common import written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of `edges` (a, b): the smallest node that its edges reach.
+    """(node, root) for every node of `edges` (a, b): the smallest node that its edges reach. Edges from a node to itself, and
+    those with a null end, make no node.
 
     Each round lets every node point to its smallest neighbour, follows the pointers twice, and contracts the edges to
     those between different targets, so the edges shrink quickly and a long chain takes few rounds. Minima are pre-aggregated
