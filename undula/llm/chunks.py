@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from itertools import accumulate, chain, pairwise
 
@@ -24,6 +25,8 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str, space: bool, limit: int = 500_000):
+        # Each task has a core; threads of the library's own would only hold memory of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

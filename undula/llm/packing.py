@@ -24,7 +24,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, space: b
     A document is its ids and `end_id`; one longer than `capacity` is cut into pieces of that length, the last may be
     shorter. Null texts are empty, so every row gives a piece at least; rows that share a doc_id are documents of their own.
     `shard` is the task, `nth` how many pieces of the same length came before it there. A worker remembers `cached` words, from task
-    to task if it may `keep` them.
+    to task if it may `keep` them; else it also takes fewer texts at a time.
     """
     end = np.array([end_id], "<u4").tobytes()
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("shard"))
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, space: b
             doc_ids = batch["doc_id"].astype("Int64").tolist()
             shard = int(batch["shard"].iloc[0]) if len(batch) else 0
             rows = []
-            for block in in_blocks(texts):
+            for block in in_blocks(texts, 2_000_000 if keep else 500_000):
                 for doc_id, ids in zip(doc_ids[block], enc.encode(texts[block]), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
