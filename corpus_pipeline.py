@@ -16,11 +16,21 @@ from undula.llm.common import fresh_name, read_table, written
 
 #: A text whose language the network is less sure of than this is rejected.
 LEAST_SURE = 0.35
+#: Whole texts that Spark hands to a Python worker at once: a batch stands several times over in the executor's memory.
+BATCH = 500
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python workers BATCH rows at once, or fewer, where it is set so."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic. It learns from the labels that the contract sets free; without labels
     of both kinds it calls nothing toxic."""
+    _small_batches(spark)
     model = toxicity.train_on_fold(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     flag = fresh_name(docs, "tox_predicted")
     return toxicity.score_documents(docs, model).where(F.col(flag) == 0).select(*docs.columns)
@@ -28,6 +38,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: not `und`, and not below LEAST_SURE; none, where no document says its language."""
+    _small_batches(spark)
     model = language_id.train_on_fold(read_table(spark, sf_dir, "documents"))
     lang, score = fresh_name(docs, "lang_pred"), fresh_name(docs, "lang_score")
     known = (F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LEAST_SURE)
@@ -36,6 +47,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies: the one with the smallest doc_id, of those without any."""
+    _small_batches(spark)
     return minhash.keep_one(docs, minhash.near_duplicates(docs)).select(*docs.columns)
 
 
@@ -47,6 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in sequences of 2048 tokens: one row a piece, with the doc_id of its document."""
+    _small_batches(spark)
     # The workers hold what earlier stages left in them, so fewer words are remembered than by the operator alone.
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cached=100_000, keep=False)
 
