@@ -43,7 +43,7 @@ def _times(n: int, x: np.uint64) -> np.uint64:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; remembers a bounded number."""
+    """64-bit hashes of words; remembers a bounded number, until the task ends."""
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word)
@@ -178,6 +178,7 @@ def sketches(docs: DataFrame, tf: bool = True) -> DataFrame:
                     "bands": [k if c else k[:0] for k, c in zip(keys, counts, strict=True)], "signature": [s.tobytes() for s in small],
                 }).astype({"doc_id": "Int64"})
                 start += n
+        _hashes.clear()
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(tidy(sketched), SKETCH)
 
@@ -262,6 +263,7 @@ def _compared(paired: DataFrame, texts: DataFrame, docs: DataFrame, tf: bool) ->
                 nodes.append(node_of(text, words))
                 sets.append(unfolded(*shingles(words, tf)).tobytes())
             yield pd.DataFrame({"node": nodes, "shingles": sets})
+        _hashes.clear()
 
     wanted = written(paired.select("node").distinct().join(texts.select("node", "doc_id"), "node"), "wanted")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
