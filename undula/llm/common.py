@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: ASCII letters, for translate().
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -106,6 +110,8 @@ def complete_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterato
         yield rest, np.array([0]), np.array([len(rest)])
 
 
-def broadcast_if_small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """A written table of a few numbers a row, marked for broadcasting if it has no more than so many rows; else as it is."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+def broadcast_if_small(table: DataFrame, rows: int = 1_000_000, megabytes: int = 256) -> DataFrame:
+    """A written table, marked for broadcasting if its files have no more than so many megabytes and it no more than so many
+    rows; else as it is."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(table) if size <= megabytes << 20 and table.limit(rows + 1).count() <= rows else table

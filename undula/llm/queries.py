@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import language_id, minhash, mixing, packing, token_counts, token_files, topk, toxicity, url_filter, vector_dedup
+from undula.llm import decontamination, language_id, minhash, mixing, packing, token_counts, token_files, topk, toxicity, url_filter, vector_dedup
 from undula.llm.common import dropped_at_end, fold, read_table, shared_folder
 
 QUERIES = {}
@@ -118,6 +118,31 @@ FROM scored QUALIFY rank <= 5
 """
 
 
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_decontamination"] = r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+grams AS (
+  SELECT DISTINCT item, least(10, len(ws)) AS size, list_slice(ws, i, i + least(10, len(ws)) - 1) AS gram
+  FROM items, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS t(i) WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT size FROM grams),
+placed AS (
+  SELECT r, i, size, list_slice(ws, i, i + size - 1) AS gram
+  FROM cut, sizes, unnest(range(1, len(ws) - size + 2)) AS t(i) WHERE len(ws) >= size),
+hits AS (SELECT r, i, p.size, item FROM placed p JOIN grams g ON p.gram = g.gram AND p.size = g.size),
+covered AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT r, i, size FROM hits), unnest(range(i, i + size)) AS t(k) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM cut LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

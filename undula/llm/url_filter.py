@@ -8,12 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.llm.common import written
+from undula.llm.common import LOWER, UPPER, written
 
 #: The models' symbols: what a URL's letters become, one for any other character, and the marks of its start and end.
 LETTERS, OTHER, START, END = "abcdefghijklmnopqrstuvwxyz0123456789/.-_", "~", "^", "$"
 ALPHABET = LETTERS + OTHER + START + END
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One labelled URL in HELD_OUT sets the threshold and trains no model; scores are compared in steps of 1 / STEPS.
 HELD_OUT, STEPS = 5, 200
 #: Scores beyond this many nats a character count as this many when the threshold is set.
