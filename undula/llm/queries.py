@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import decontamination, language_id, minhash, mixing, packing, token_counts, token_files, topk, toxicity, url_filter, vector_dedup
+from undula.llm import decontamination, language_id, manifest, minhash, mixing, oracles, packing, prefix_trie, token_counts, token_files, topk, toxicity, url_filter, vector_dedup
 from undula.llm.common import dropped_at_end, fold, read_table, shared_folder
 
 QUERIES = {}
@@ -143,6 +143,22 @@ FROM cut LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.history_trie(read_table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = oracles.TRIE
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.prove(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_manifest"] = oracles.manifest()
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
