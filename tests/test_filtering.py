@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from undula.core import from_arrays
+from undula.functions.signal import butterworth, sections, sections_from, steady, transition
 from undula.operators import filtering, statistics
 
 FS = 100.0
@@ -57,3 +58,50 @@ def test_parabola_comes_off(spark):
     x = np.linspace(-1, 1, 500)
     s = from_arrays(spark.createDataFrame([("x", (3 * x * x - 2 * x + 1).tolist())], "rec string, values array<double>"), "rec", "values")
     assert statistics.detrend_quadratic(s).agg(F.max(F.abs("value"))).first()[0] < 1e-9
+
+
+def test_memories_are_carried():
+    sos = butterworth(4, "bandpass", (1.0, 9.0), FS)
+    x = np.random.default_rng(0).normal(size=(3, 500))
+    start = np.random.default_rng(1).normal(size=(3, 4, 2))
+    whole, end = sections_from(sos, x, start)
+    first, middle_ = sections_from(sos, x[:, :123], start)
+    rest, last = sections_from(sos, x[:, 123:], middle_)
+    assert np.allclose(np.hstack([first, rest]), whole) and np.allclose(last, end)
+    left = sections_from(sos, x, np.zeros_like(start))[1].reshape(3, -1)
+    assert np.allclose(start.reshape(3, -1) @ transition(sos, 500).T + left, end.reshape(3, -1))
+    low = butterworth(3, "lowpass", 5.0, FS)
+    assert np.allclose(sections_from(low, np.ones((1, 50)), steady(low)[None])[0], 1)
+
+
+def plain(sos, x, zero_phase):
+    if not zero_phase:
+        return sections(sos, x[None])[0]
+    return filtering._both_ways(sos, x[None])[0]
+
+
+@pytest.mark.parametrize("zero_phase", [True, False])
+@pytest.mark.parametrize(("kind", "cutoff"), [("highpass", 0.001), ("lowpass", 0.02), ("bandpass", (0.01, 20.0))])
+def test_long_memories_at_any_cutoff(spark, kind, cutoff, zero_phase):
+    """Filters that remember far more than a chunk, on recordings of many chunks, one, less than one, and too few samples."""
+    draw = np.random.default_rng(5)
+    recordings = {"long": draw.normal(size=5003).cumsum(), "even": draw.normal(size=1400) + 3, "short": draw.normal(size=90) - 2, "few": draw.normal(size=5)}
+    s = from_arrays(spark.createDataFrame([(k, v.tolist()) for k, v in recordings.items()], "rec string, values array<double>"), "rec", "values")
+    sos = butterworth(4, kind, cutoff, FS)
+    got = {}
+    for r in filtering.butter(s, kind, cutoff, FS, zero_phase=zero_phase, chunk=700).orderBy("rec", "idx").collect():
+        got.setdefault(r.rec, []).append(r.value)
+    for k, x in recordings.items():
+        want = plain(sos, x, zero_phase)
+        if np.isnan(want).any():
+            assert got[k] == [None] * len(x)
+        else:
+            assert np.abs(np.array(got[k]) - want).max() < 1e-6 * max(1, np.abs(want).max()), k
+
+
+def test_samples_are_read_a_fixed_number_of_times(spark):
+    """However low the cut-off, no sample stands in more than one chunk."""
+    s = spark.range(3000).selectExpr("'a' AS rec", "id AS idx", "sin(id / 50) AS value")
+    for cutoff in (0.01, 0.0001):
+        plan = filtering.butter(s, "lowpass", cutoff, FS, chunk=500)._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence" not in plan

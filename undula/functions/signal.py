@@ -98,20 +98,34 @@ def notch(freq: float, quality: float, fs: float) -> np.ndarray:
 STEP = 64
 
 
+def steady(sos: np.ndarray) -> np.ndarray:
+    """The memories (section, 2) that sections have after an endless input of ones."""
+    z, level = np.zeros((len(sos), 2)), 1.0
+    for k, (b0, b1, b2, a1, a2) in enumerate(sos):
+        out = level * (b0 + b1 + b2) / (1 + a1 + a2)
+        z[k, 1] = b2 * level - a2 * out
+        z[k, 0] = b1 * level - a1 * out + z[k, 1]
+        level = out
+    return z
+
+
 def sections(sos: np.ndarray, x: np.ndarray, settled: bool = False) -> np.ndarray:
-    """Rows of x through the sections; `settled` starts in the steady state of each row's first value.
+    """Rows of x through the sections; `settled` starts in the steady state of each row's first value."""
+    x = np.asarray(x, float)
+    start = steady(sos)[None] * x[:, :1, None] if settled and x.shape[1] else np.zeros((len(x), len(sos), 2))
+    return sections_from(sos, x, start)[0]
+
+
+def sections_from(sos: np.ndarray, x: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x through the sections, from memories (row, section, 2) on, and the memories that they leave.
 
     A section's two memories and STEP values give STEP results and the next two memories by one matrix, so a row takes
     len / STEP steps of matrix products, not one step a sample.
     """
-    y = np.array(x, float)
+    y, ends = np.array(x, float), np.array(start, float)
     n = y.shape[1]
-    for b0, b1, b2, a1, a2 in sos:
-        z = np.zeros((len(y), 2))
-        if settled and n:
-            level = (b0 + b1 + b2) / (1 + a1 + a2)
-            z[:, 1] = (b2 - a2 * level) * y[:, 0]
-            z[:, 0] = (b1 - a1 * level) * y[:, 0] + z[:, 1]
+    for k, (b0, b1, b2, a1, a2) in enumerate(sos):
+        z = ends[:, k]
         # What each unit value and each unit memory leaves behind, sample by sample.
         size = min(STEP, n)
         unit, memory = np.zeros((size + 2, size)), np.zeros((size + 2, 2))
@@ -132,8 +146,14 @@ def sections(sos: np.ndarray, x: np.ndarray, settled: bool = False) -> np.ndarra
             o = b0 * v + z[:, 0]
             z = np.stack([b1 * v - a1 * o + z[:, 1], b2 * v - a2 * o], axis=1)
             out[:, t] = o
-        y = out
-    return y
+        y, ends[:, k] = out, z
+    return y, ends
+
+
+def transition(sos: np.ndarray, n: int) -> np.ndarray:
+    """The matrix by which n samples of silence change the sections' memories, one after the other in a row."""
+    size = 2 * len(sos)
+    return sections_from(sos, np.zeros((size, n)), np.eye(size).reshape(size, -1, 2))[1].reshape(size, size).T
 
 
 def settle_length(sos: np.ndarray, tolerance: float = 1e-10) -> int:

@@ -1,6 +1,8 @@
 """Filters: recordings are cut into chunks with halos, a batch of equal chunks is filtered at once, and the owned samples stay.
 
-A recording too short for a filter comes out missing, and so do the samples that a gap reaches: fill gaps before.
+A recording too short for a filter comes out missing, and so do the samples that a gap reaches, up to all of its recording:
+fill gaps before. A recursive filter that remembers more than part of a chunk has no halo: its memories are carried from
+chunk to chunk, see _carried().
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.core import CHUNK, chunked
-from undula.functions.signal import butterworth, notch, resampling_taps, savgol_taps, sections, settle_length, windowed_sinc
+from undula.core import CHUNK, chunked, stored
+from undula.functions.signal import butterworth, notch, resampling_taps, savgol_taps, sections, sections_from, settle_length, steady, transition, windowed_sinc
 from undula.operators.outliers import rolling_median
 
 
@@ -40,8 +42,7 @@ def _chunkwise(samples: DataFrame, before: int, after: int, f: Callable[[np.ndar
 
 def _both_ways(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and backward, each from the steady state, the ends continued by reflection through them."""
-    order = 2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 4] == 0).sum()))
-    pad = 3 * order
+    pad = _pad(sos)
     if x.shape[1] <= pad:
         return np.full(x.shape, np.nan)
     wide = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], axis=1)
@@ -50,13 +51,106 @@ def _both_ways(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _recursive(samples: DataFrame, sos: np.ndarray, zero_phase: bool, chunk: int | None) -> DataFrame:
-    """A halo as long as the filter remembers, to 1e-10, makes chunks independent."""
+    """A halo as long as the filter remembers, to 1e-10, makes chunks independent; if it is longer than HALO of a chunk, the
+    memories are carried instead."""
     reach = settle_length(sos)
+    if reach > HALO * (chunk or CHUNK):
+        return _carried(samples, sos, zero_phase, chunk or CHUNK)
     if zero_phase:
         return _chunkwise(samples, reach, reach, lambda x: _both_ways(sos, x), chunk)
     return _chunkwise(samples, reach, 0, lambda x: sections(sos, x), chunk)
 
 
+#: The longest halo, as a share of a chunk, that is still read along with each chunk.
+HALO = 0.25
+
+
+def _pad(sos: np.ndarray) -> int:
+    return 3 * (2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 4] == 0).sum())))
+
+
+def _reflected(samples: DataFrame, pad: int) -> DataFrame:
+    """Recordings of more than `pad` samples, continued by so many at either end by reflection through it, numbered from 0."""
+    v, idx, n = F.col("value"), F.col("idx"), F.col("n")
+    ends = samples.groupBy("rec").agg((F.max("idx") + 1).alias("n"), F.min_by("value", "idx").alias("head"), F.max_by("value", "idx").alias("tail"))
+    each = samples.join(ends.where(n > pad), "rec")
+    at = lambda i, x: F.struct(i.cast("long").alias("idx"), x.alias("value"))
+    rows = F.array(at(idx + pad, v), F.when((idx >= 1) & (idx <= pad), at(pad - idx, 2 * F.col("head") - v)), F.when((idx <= n - 2) & (idx >= n - 1 - pad), at(pad + 2 * (n - 1) - idx, 2 * F.col("tail") - v)))
+    return each.select("rec", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("rec", "r.idx", "r.value")
+
+
+def _states_in(ends: DataFrame, sos: np.ndarray, settled: bool, back: bool) -> DataFrame:
+    """(rec, chunk, state) before each chunk, from (rec, chunk, n, edge, left): what a chunk of n samples leaves in memories that
+    were empty before. One row a chunk goes, in order, through the affine maps state -> transition(n) state + left; `edge` is
+    the value whose steady state a recording starts from."""
+    rec = ends.schema["rec"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, powers, last, z = steady(sos).reshape(-1), {}, None, None
+        for batch in batches:
+            states = []
+            for r, n, edge, left in zip(batch["rec"], batch["n"], batch["edge"], batch["left"], strict=True):
+                if z is None or r != last:
+                    z, last = (first * edge if settled else np.zeros(len(first))), r
+                states.append(z)
+                if n not in powers:
+                    powers[n] = transition(sos, n)
+                z = powers[n] @ z + left
+            yield batch[["rec", "chunk"]].assign(state=states)
+
+    order = F.desc("chunk") if back else F.asc("chunk")
+    return ends.select("rec", "chunk", "n", "edge", "left").repartition("rec").sortWithinPartitions("rec", order).mapInPandas(run, f"rec {rec}, chunk long, state array<double>")
+
+
+def _carried(samples: DataFrame, sos: np.ndarray, zero_phase: bool, size: int) -> DataFrame:
+    """The filter by a scan of its memories, whatever it remembers: chunks first tell what they leave in empty memories, the
+    affine maps of a recording's chunks are composed in order, and each chunk is filtered from the memories before it; for zero
+    phase the same once more from the end. So a sample is read three times at any cut-off."""
+    pad = _pad(sos) if zero_phase else 0
+    rec = samples.schema["rec"].dataType.simpleString()
+    wide = _reflected(samples, pad) if pad else samples.select("rec", "idx", "value")
+    pairs = F.array_sort(F.collect_list(F.struct("idx", F.coalesce("value", F.lit(float("nan"))).alias("value"))))
+    rows = stored(wide.groupBy("rec", F.floor(F.col("idx") / size).alias("chunk")).agg(F.transform(pairs, lambda p: p["value"]).alias("values")))
+    told = f"rec {rec}, chunk long, n long, edge double, left array<double>"
+
+    def alike(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        for _, own in batch.groupby(batch["values"].map(len), sort=False):
+            yield own, np.stack([np.asarray(v, float) for v in own["values"]])
+
+    def left_by(own: pd.DataFrame, x: np.ndarray) -> dict:
+        end = sections_from(sos, x, np.zeros((len(x), len(sos), 2)))[1].reshape(len(x), -1)
+        return {"n": x.shape[1], "edge": x[:, 0], "left": list(end)}
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own, x in alike(batch):
+                yield own[["rec", "chunk"]].assign(**left_by(own, x))
+
+    def passed(back: bool, probed: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for own, x in alike(batch):
+                    x = x[:, ::-1] if back else x
+                    y = sections_from(sos, x, np.stack([np.asarray(s, float) for s in own["state"]]).reshape(len(x), -1, 2))[0]
+                    y = y[:, ::-1] if back else y
+                    more = left_by(own, y[:, ::-1]) if probed else {}
+                    yield own[["rec", "chunk"]].assign(**more, values=list(y))
+
+        return run
+
+    states = _states_in(rows.mapInPandas(probe, told), sos, zero_phase, False)
+    kinds = f"{told}, values array<double>" if zero_phase else f"rec {rec}, chunk long, values array<double>"
+    made = rows.join(states, ["rec", "chunk"]).mapInPandas(passed(False, zero_phase), kinds)
+    if zero_phase:
+        made = stored(made)
+        states = _states_in(made, sos, True, True)
+        made = made.select("rec", "chunk", "values").join(states, ["rec", "chunk"]).mapInPandas(passed(True, False), f"rec {rec}, chunk long, values array<double>")
+    each = made.select("rec", "chunk", F.posexplode("values").alias("pos", "value")).select("rec", (F.col("chunk") * size + F.col("pos") - pad).alias("idx"), F.when(~F.isnan("value"), F.col("value")).alias("value"))
+    if not pad:
+        return each
+    return samples.select("rec", "idx").join(each, ["rec", "idx"], "left").select("rec", "idx", "value")
+
+
 def butter(samples: DataFrame, kind: str, cutoff: float | tuple[float, float], fs: float, order: int = 4, zero_phase: bool = True, chunk: int | None = None) -> DataFrame:
     """A Butterworth lowpass, highpass, bandpass or bandstop."""
     return _recursive(samples, butterworth(order, kind, cutoff, fs), zero_phase, chunk)
