@@ -115,8 +115,10 @@ def proofs(rows):
     return out
 
 
-def test_manifest(spark, monkeypatch):
+@pytest.mark.parametrize("height", [1, 2])
+def test_manifest(spark, monkeypatch, height):
     monkeypatch.setattr(manifest, "TASK", 50)
+    monkeypatch.setattr(manifest, "HEIGHT", height)
     docs = crowded(corpus(spark, ODD * 6 + [f"line {i}\nend" for i in range(90)]), "place", "size", "leaf", "tree")
     odd = docs.limit(3).selectExpr("cast(null as long) as doc_id", "text", "lang", "cast(null as string) as source", "* except (doc_id, text, lang, source)")
     lone = docs.limit(1).selectExpr("doc_id", "text", "cast(null as string) as lang", "'é lone' as source", "cast(null as long) as n_chars", "* except (doc_id, text, lang, source, n_chars)")
@@ -127,7 +129,7 @@ def test_manifest(spark, monkeypatch):
     assert Counter(map(tuple, found.collect())) == proofs(docs.collect())
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 28])
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 10, 28, 82])
 def test_manifest_of_one_source(spark, n):
     docs = spark.createDataFrame([(i, f"a\n{i}", "en", "s", 3) for i in range(n)], SCHEMA)
     assert Counter(map(tuple, manifest.prove(docs).collect())) == proofs(docs.collect())

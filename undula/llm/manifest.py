@@ -2,7 +2,8 @@
 
 Each source's rows are the leaves of a tree, the sources' roots those of one more. In every superstep the vertices of a level
 message their parents, which hash and go on once all of their children have reported; back down, parents message their
-children what a proof needs above them.
+children what a proof needs above them. A vertex stands for HEIGHT levels of its tree: the children it waits for are those of
+its lowest one, and it hashes its own levels at once, so a superstep, and a shuffle, climbs that many.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from undula.llm.common import written
 
 #: Children of a vertex.
 RUN = 3
+#: Levels of a tree that a vertex stands for.
+HEIGHT = 3
 #: Vertices for each task of a superstep.
 TASK = 20_000
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -63,38 +66,69 @@ Vertex = tuple[int, int]
 BORDER = bytes([255, 0])
 
 
+def _climbed(digests: list[bytes], size: int, height: int) -> tuple[list[list[bytes]], int]:
+    """The levels of a vertex, from its children's digests on, and the size of the tree's level that it ends at; `size` is that
+    of its children's level. A tree that has come to a single node ends there."""
+    out = [digests]
+    for _ in range(height):
+        if size == 1:
+            break
+        last = out[-1]
+        out.append([hashed(last[i : i + RUN]) for i in range(0, len(last), RUN)])
+        size = -(-size // RUN)
+    return out, size
+
+
+def _above(size: int) -> int:
+    """The size of a tree's level HEIGHT levels above one of that size."""
+    for _ in range(HEIGHT):
+        size = -(-size // RUN)
+    return size
+
+
 def _up(level: RDD, parts: int) -> RDD:
     """One superstep up: from (vertex, (size of its level, digest)) to the next level's (vertex, (size of its level, digest,
-    children's digests)), a vertex being (tree, place). Trees that have come to one vertex send nothing and so are done.
+    children's digests, size of their level)), a vertex being (tree, place). Trees that have come to one vertex send nothing
+    and so are done.
 
-    The size tells a parent how many children to wait for: RUN, but for the level's last run.
+    The size tells a parent how many children to wait for: RUN ** HEIGHT, but for the level's last.
     """
+    height, block = HEIGHT, RUN**HEIGHT
 
     def message(vertex: tuple[Vertex, tuple]) -> Iterator[tuple[Vertex, tuple]]:
         (tree, place), (size, digest) = vertex
         if size > 1:
-            yield (tree, place // RUN), (place % RUN, size, digest)
+            yield (tree, place // block), (place % block, size, digest)
 
     def complete(parent: tuple[Vertex, Iterator]) -> tuple[Vertex, tuple]:
         (tree, place), got = parent
         got = sorted(got)
-        size, digests = got[0][1], [m[2] for m in got]
-        if len(digests) != min(RUN, size - RUN * place):
+        base, digests = got[0][1], [m[2] for m in got]
+        if len(digests) != min(block, base - block * place):
             raise ValueError(f"vertex {place} of tree {tree} waits for children that don't come")
-        return (tree, place), (-(-size // RUN), hashed(digests), b"".join(digests))
+        levels, size = _climbed(digests, base, height)
+        return (tree, place), (size, levels[-1][0], b"".join(digests), base)
 
     return level.flatMap(message).groupByKey(parts).map(complete)
 
 
 def _down(vertices: RDD, paths: RDD, parts: int) -> RDD:
     """One superstep down: each vertex that has heard its path, which is what stands above it, messages its children theirs:
-    their place in its run, the siblings' digests, and then its own path. From (vertex, children's digests) and (vertex, path)."""
+    for each level their place in its run and the siblings' digests, and then its own path. From (vertex, (children's digests,
+    size of their level)) and (vertex, path)."""
+    height, block = HEIGHT, RUN**HEIGHT
 
     def messages(vertex: tuple[Vertex, tuple]) -> Iterator[tuple[Vertex, bytes]]:
-        (tree, place), (digests, above) = vertex
-        n = len(digests) // 32
-        for k in range(n):
-            yield (tree, RUN * place + k), bytes([k, n - 1]) + digests[: 32 * k] + digests[32 * (k + 1) :] + above
+        (tree, place), ((joined, base), above) = vertex
+        digests = [joined[i : i + 32] for i in range(0, len(joined), 32)]
+        levels, _ = _climbed(digests, base, height)
+        for k in range(len(digests)):
+            path, i = b"", k
+            for level in levels[:-1]:
+                run, at = level[i - i % RUN : i - i % RUN + RUN], i % RUN
+                path += bytes([at, len(run) - 1]) + b"".join(run[:at] + run[at + 1 :])
+                i //= RUN
+            yield (tree, block * place + k), path + above
 
     return vertices.join(paths, parts).flatMap(messages)
 
@@ -125,10 +159,10 @@ def proof(path: bytes) -> str:
 
 
 class Forest:
-    """All levels of some trees, from their leaves: (tree, place, size, digest) rows. They are written as one table, so that
-    the way down starts from files; supersteps up are as many as the largest tree has levels."""
+    """All vertices of some trees, from their leaves: (tree, place, size, digest) rows. They are written as one table, so that
+    the way down starts from files; supersteps up are as many as the largest tree needs."""
 
-    SCHEMA = "level int, tree long, place long, size long, digest binary, children binary"
+    SCHEMA = "level int, tree long, place long, size long, digest binary, children binary, base long"
 
     def __init__(self, leaves: DataFrame):
         spark = leaves.sparkSession
@@ -136,9 +170,9 @@ class Forest:
         largest, total = leaves.agg(F.max("size"), F.count("*")).first()
         self.parts = [max(1, min(most, -(-total // TASK)))]
         level = leaves.select("tree", "place", "size", "digest").rdd.map(lambda r: ((r[0], r[1]), (r[2], bytes(r[3]))))
-        rows = [level.map(lambda v: (0, *v[0], *v[1], b""))]
+        rows = [level.map(lambda v: (0, *v[0], *v[1], b"", 0))]
         while largest > 1:
-            largest, total = -(-largest // RUN), -(-total // RUN)
+            largest, total = _above(largest), -(-total // RUN**HEIGHT)
             self.parts.append(max(1, min(self.parts[-1], -(-total // TASK))))
             above = _up(level, self.parts[-1])
             rows.append(above.map(_row_of(len(rows))))
@@ -158,7 +192,7 @@ class Forest:
             own = ends.flatMap(_ends_at(k))
             heard = own if heard is None else heard.union(own)
             if k:
-                states = self.table.where(F.col("level") == k).select("tree", "place", "children").rdd.map(lambda r: ((r[0], r[1]), bytes(r[2])))
+                states = self.table.where(F.col("level") == k).select("tree", "place", "children", "base").rdd.map(lambda r: ((r[0], r[1]), (bytes(r[2]), r[3])))
                 heard = _down(states, heard, self.parts[k])
         return heard
 
