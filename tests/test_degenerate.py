@@ -50,7 +50,7 @@ OPERATORS = {
     "timeline": lambda s: quality.timeline(s, 40.0), "auto_clean": lambda s: quality.auto_clean(s, 100.0)[0],
     "time_domain": features.time_domain, "permutation_entropy": features.permutation_entropy, "higuchi_fd": features.higuchi_fd, "dfa_alpha": features.dfa_alpha, "sample_entropy": features.sample_entropy,
     "frequency_domain": lambda s: features.frequency_domain(spectral.welch(s, 10.0)), "hrv_time": features.hrv_time, "hrv": features.hrv, "nonlinear": features.nonlinear, "peaks": lambda s: features.peaks(s, 10.0),
-    "extract": lambda s: features.extract(s, 100.0, features.CATEGORIES), "windowed": lambda s: features.windowed_features(s, 20.0),
+    "extract": lambda s: features.extract(s, 100.0, features.CATEGORIES), "windowed": lambda s: features.windowed_features(s, 2.0, None, 10.0), "windowed_time": lambda s: features.windowed_features(s, 20.0, include=("time", "nonlinear")),
     "pan_tompkins": lambda s: ecg.pan_tompkins(s, 100.0), "simple_r_peaks": lambda s: ecg.simple_r_peaks(s, 10.0), "change_points": events.change_points, "anomaly": lambda s: events.anomaly_scores(s, 8.0),
     "forecast": lambda s: forecast.forecast(s, 3, order=(1, 0, 0)), "stretch": lambda s: augment.time_stretch(s, 1.5), "shift": lambda s: augment.time_shift(s, 3),
     "augment": lambda s: augment.Augmenter(10.0, powerline=1, wander=1, spikes=1, dropout=1, max_shift=0.3, stretch_range=(0.8, 1.2), invert=0.5).expand(s, 2),
@@ -91,3 +91,9 @@ def test_rolling_median_of_what_is_there(spark):
     s = spark.createDataFrame([("a", i, v) for i, v in enumerate([1.0, 2.0, None, 9.0, 3.0, 4.0, 5.0])], SCHEMA)
     got = {r.idx: r.med for r in outliers.rolling_median(s, 5).collect()}
     assert got == {0: 1.0, 1: 1.5, 2: 2.5, 3: 3.5, 4: 4.5, 5: 5.0, 6: 5.0}
+
+
+def test_features_that_need_a_rate(samples):
+    for f in (lambda s: features.extract(s), lambda s: features.windowed_features(s, 20.0), lambda s: features.windowed_features(s, 20.0, include=("hrv",))):
+        with pytest.raises(ValueError, match="need a rate"):
+            f(samples)

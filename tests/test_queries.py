@@ -30,7 +30,9 @@ def plain(rows):
 def test_query_beyond_sql(spark, name):
     """What SQL can't express has tests of its own; here it runs and has no NaN."""
     rows = QUERIES[name](spark, str(FOLDER)).collect()
-    assert name == "heart_beats" or rows
+    assert rows
+    if name == "heart_beats_matched":
+        assert all(r.f1 > 0.98 for r in rows if r.tp + r.fn > 5)
     assert not any(isinstance(v, float) and math.isnan(v) for r in rows for v in r)
 
 

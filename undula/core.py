@@ -116,6 +116,85 @@ def with_stats(samples: DataFrame, **aggregates: Column) -> DataFrame:
     return samples.join(stats, "rec")
 
 
+#: Up to so many values of a recording meet in one aggregation buffer; longer ones' quantiles are narrowed down first.
+LONG = 1 << 16
+#: Quantiles told by each round's sketch, its accuracy, and the values that a finish gathers at most.
+GRID, ACCURACY, FINISH = 200, 2000, 4096
+
+
+def long_recordings(samples: DataFrame) -> DataFrame | None:
+    """The recordings of more than LONG rows, written; None if there are none. Only the key is read, and counts are pre-summed."""
+    counts = samples.groupBy("rec").agg(F.count("*").alias("_n")).where(F.col("_n") > LONG).select("rec")
+    return None if counts.isEmpty() else stored(counts)
+
+
+def quantiles(df: DataFrame, value: str | Column, qs: list[float], long: DataFrame | None, name: str = "q") -> DataFrame:
+    """rec and `name`, the array of exact quantiles of each recording's non-null values, equal to percentile(value, qs).
+
+    A recording of up to LONG rows is one aggregate's work. Those in `long`, see long_recordings(), go through narrowing
+    rounds: of the values that lie between two bounds each round counts those below and within, pre-summed in each task, and a
+    sketch of bounded size tells GRID quantiles of those within, of which the nearest around the wanted rank are the next
+    bounds. Bounds that turn out not to hold the rank are widened again, so the result doesn't lean on the sketch. Once
+    FINISH values are left, or the bounds are equal, the rank is read off. The driver learns only whether bounds are left.
+    """
+    own = df.select("rec", (F.col(value) if isinstance(value, str) else value).alias("_v"))
+    whole = lambda d: d.groupBy("rec").agg(F.percentile("_v", F.array(*(F.lit(float(q)) for q in qs))).alias(name))
+    if long is None:
+        return whole(own)
+    return whole(own.join(long, "rec", "left_anti")).unionByName(_narrowed(stored(own.join(long, "rec", "left_semi")), qs, name))
+
+
+def _narrowed(rows: DataFrame, qs: list[float], name: str) -> DataFrame:
+    grid = F.array(*(F.lit(i / GRID) for i in range(GRID + 1)))
+    present = rows.where("_v IS NOT NULL")
+    n = present.groupBy("rec").agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    places = F.array(*(F.struct(F.lit(i).alias("nth"), F.lit(up).alias("up"), (F.lit(float(q)) * (F.col("n") - 1)).alias("at")) for i, q in enumerate(qs) for up in (False, True)))
+    wanted = n.select("rec", "lo", "hi", F.explode(places).alias("p")).select("rec", "p.*", "lo", "hi").withColumn("rank", F.when(F.col("up"), F.ceil("at")).otherwise(F.floor("at")))
+    # The bounds before, the ranks that the sketch may be wrong by, as parts of the grid, and values below and within.
+    state = wanted.select("rec", "nth", "up", "at", "rank", "lo", "hi", F.col("lo").alias("lo0"), F.col("hi").alias("hi0"), F.lit(1).alias("margin"))
+    state, done = stored(state), None
+    names = ["nth", "up", "at", "rank", "lo", "hi", "lo0", "hi0", "margin"]
+    v, lo, hi, within = F.col("_v"), F.col("lo"), F.col("hi"), (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))
+    while True:
+        met = present.join(state, "rec")
+        counted = met.groupBy("rec", *names).agg(F.count_if(v < lo).alias("below"), F.count_if(within).alias("inside"), F.percentile_approx(F.when(within, v), grid, ACCURACY).alias("sketch"))
+        counted = stored(counted)
+        held = (F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("inside"))
+        ready = counted.where(held & ((lo == hi) | (F.col("inside") <= FINISH)))
+        done = ready if done is None else done.unionByName(ready)
+        share = (F.col("rank") - F.col("below")) / F.col("inside") * GRID
+        down, up = F.greatest(F.floor(share) - F.col("margin"), F.lit(0)), F.least(F.ceil(share) + F.col("margin"), F.lit(GRID))
+        narrower = counted.where(held & (lo != hi) & (F.col("inside") > FINISH))
+        narrower = narrower.select("rec", "nth", "up", "at", "rank", F.get("sketch", down.cast("int")).alias("lo"), F.get("sketch", up.cast("int")).alias("hi"), F.col("lo").alias("lo0"), F.col("hi").alias("hi0"), F.lit(1).alias("margin"))
+        # A rank that slipped out is looked for between the bounds before, once more with a wider margin.
+        wider = counted.where(~held).select("rec", "nth", "up", "at", "rank", F.col("lo0").alias("lo"), F.col("hi0").alias("hi"), "lo0", "hi0", (F.col("margin") * 4).alias("margin"))
+        state = stored(narrower.unionByName(wider))
+        if state.isEmpty():
+            break
+    done = stored(done.select("rec", "nth", "up", "at", "rank", "lo", "hi", "below"))
+    met = present.join(done.where(lo != hi), "rec").where(within)
+    last = met.groupBy("rec", "nth", "up", "at", "rank", "below").agg(F.sort_array(F.collect_list("_v")).alias("all"))
+    last = last.select("rec", "nth", "up", "at", F.get("all", (F.col("rank") - F.col("below")).cast("int")).alias("found"))
+    found = last.unionByName(done.where(lo == hi).select("rec", "nth", "up", "at", F.col("lo").alias("found")))
+    ends = found.groupBy("rec", "nth", "at").agg(F.max(F.when(~F.col("up"), F.col("found"))).alias("a"), F.max(F.when(F.col("up"), F.col("found"))).alias("b"))
+    between = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b"))
+    made = ends.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("nth", between.alias("x")))).alias("q")).select("rec", F.transform("q", lambda x: x["x"]).alias(name))
+    empty = rows.select("rec").distinct().join(made.select("rec"), "rec", "left_anti").select("rec", F.lit(None).cast("array<double>").alias(name))
+    return made.unionByName(empty)
+
+
+def with_quantiles(samples: DataFrame, long: DataFrame | None, **wanted: tuple[str | Column, float | list[float]]) -> DataFrame:
+    """The samples with exact quantiles of their whole recording: with_quantiles(s, long, mid=("value", 0.5)); see quantiles()."""
+    if long is None:
+        plain = lambda q: F.array(*map(F.lit, q)) if isinstance(q, list) else F.lit(q)
+        return with_stats(samples, **{name: F.percentile(value, plain(q)) for name, (value, q) in wanted.items()})
+    out = samples = stored(samples)
+    for name, (value, q) in wanted.items():
+        made = quantiles(samples, value, q if isinstance(q, list) else [q], long, name)
+        out = out.join(made if isinstance(q, list) else made.withColumn(name, F.col(name)[0]), "rec")
+    return out
+
+
 def shifted(samples: DataFrame, **by: int) -> DataFrame:
     """Adds the values so many samples away, null beyond the ends: shifted(s, prev=-1, next=1)."""
     before, after = max(0, *(-n for n in by.values())), max(0, *by.values())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.core import neighbours, with_stats
+from undula.core import long_recordings, neighbours, with_quantiles, with_stats
 
 
 def fill(samples: DataFrame, method: str = "interpolate") -> DataFrame:
@@ -25,8 +25,8 @@ def fill(samples: DataFrame, method: str = "interpolate") -> DataFrame:
     if method == "zero":
         return samples.withColumn("value", F.coalesce(v, F.lit(0.0)))
     if method in ("mean", "median"):
-        stat = F.avg("value") if method == "mean" else F.percentile("value", F.lit(0.5))
-        return with_stats(samples, stat=stat).select("rec", "idx", F.coalesce(v, "stat").alias("value"))
+        df = with_stats(samples, stat=F.avg("value")) if method == "mean" else with_quantiles(samples, long_recordings(samples), stat=("value", 0.5))
+        return df.select("rec", "idx", F.coalesce(v, "stat").alias("value"))
     if method == "drop":
         return renumbered(samples.where("value IS NOT NULL"))
     raise ValueError(f"unknown method {method!r}")
@@ -92,7 +92,7 @@ def remove_dc(samples: DataFrame) -> DataFrame:
 
 def winsorize(samples: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Clip to two quantiles of the recording."""
-    df = with_stats(samples, q=F.percentile("value", F.array(F.lit(low), F.lit(high))))
+    df = with_quantiles(samples, long_recordings(samples), q=("value", [low, high]))
     v = F.col("value")
     return df.select("rec", "idx", F.when(v.isNotNull(), F.greatest(F.least(v, F.col("q")[1]), F.col("q")[0])).alias("value"))
 

@@ -370,7 +370,7 @@ CATEGORIES, DEFAULT = ("time", "freq", "nonlinear", "peaks", "hrv"), ("time", "f
 def extract(samples: DataFrame, fs: float | None = None, include: tuple[str, ...] | list[str] | None = None) -> DataFrame:
     """One row for each recording with the features of the categories asked for: time, freq, nonlinear, peaks and hrv.
 
-    freq and hrv need a rate. Recordings with gaps have null features: fill them before.
+    freq, which the default includes, and hrv need a rate: without one they raise ValueError. Recordings with gaps have null features: fill them before.
     """
     from undula.operators.ecg import intervals, pan_tompkins
     from undula.operators.spectral import welch
@@ -394,7 +394,8 @@ def extract(samples: DataFrame, fs: float | None = None, include: tuple[str, ...
 
 def windowed_features(samples: DataFrame, window: float, step: float | None = None, fs: float | None = None, include: tuple[str, ...] | list[str] | None = None) -> DataFrame:
     """rec, t_start, t_end and extract()'s features of each full window of so many seconds (samples without a rate), `step`
-    apart: every window is a recording of its own."""
+    apart: every window is a recording of its own. As for extract(), freq, which the default includes, and hrv need a rate:
+    without one they raise ValueError."""
     rate = fs or 1.0
     win, hop = round(window * rate), round((step or window) * rate)
     if win < 4:

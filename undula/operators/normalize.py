@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.core import with_stats
+from undula.core import long_recordings, with_quantiles, with_stats
 
 
 def _scaled(df: DataFrame, by: Column, over: Column) -> DataFrame:
@@ -24,7 +24,7 @@ def standardize(samples: DataFrame) -> DataFrame:
 
 def robust_scale(samples: DataFrame) -> DataFrame:
     """By median and interquartile range."""
-    df = with_stats(samples, q=F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75)))))
+    df = with_quantiles(samples, long_recordings(samples), q=("value", [0.25, 0.5, 0.75]))
     return _scaled(df, F.col("q")[1], F.col("q")[2] - F.col("q")[0])
 
 

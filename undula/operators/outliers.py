@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.core import chunked, over_chunks, owned, with_stats
+from undula.core import chunked, long_recordings, over_chunks, owned, with_quantiles, with_stats
 from undula.operators.cleaning import fill
 
 #: From the median absolute deviation to the deviation of a normal distribution.
@@ -34,42 +34,40 @@ def rolling_median(samples: DataFrame, window: int, name: str = "med") -> DataFr
     return samples.join(df.where("idx >= 0").select("rec", "idx", name), ["rec", "idx"])
 
 
-def _median(c: str | Column) -> Column:
-    return F.percentile(c, F.lit(0.5))
-
-
 def zscore(samples: DataFrame, threshold: float = 3.0) -> DataFrame:
     df = with_stats(samples, mean=F.avg("value"), std=F.stddev_pop("value"))
     return df.select("rec", "idx", "value", F.coalesce(F.abs(F.col("value") - F.col("mean")) / (F.col("std") + TINY) > threshold, F.lit(False)).alias("outlier"))
 
 
 def iqr(samples: DataFrame, threshold: float = 1.5) -> DataFrame:
-    df = with_stats(samples, q=F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))))
+    df = with_quantiles(samples, long_recordings(samples), q=("value", [0.25, 0.75]))
     q1, q3 = F.col("q")[0], F.col("q")[1]
     out = (F.col("value") < q1 - threshold * (q3 - q1)) | (F.col("value") > q3 + threshold * (q3 - q1))
     return df.select("rec", "idx", "value", F.coalesce(out, F.lit(False)).alias("outlier"))
 
 
 def mad(samples: DataFrame, threshold: float = 3.0) -> DataFrame:
-    df = with_stats(samples, med=_median("value"))
-    df = with_stats(df, dev=_median(F.abs(F.col("value") - F.col("med"))))
+    long = long_recordings(samples)
+    df = with_quantiles(samples, long, med=("value", 0.5))
+    df = with_quantiles(df, long, dev=(F.abs(F.col("value") - F.col("med")), 0.5))
     score = F.abs(F.col("value") - F.col("med")) / (MAD_SCALE * F.col("dev") + TINY)
     return df.select("rec", "idx", "value", F.coalesce(score > threshold, F.lit(False)).alias("outlier"))
 
 
-def _filled(samples: DataFrame) -> DataFrame:
-    df = with_stats(samples, fill=_median("value"))
+def _filled(samples: DataFrame, long: DataFrame | None) -> DataFrame:
+    df = with_quantiles(samples, long, fill=("value", 0.5))
     return df.select("rec", "idx", F.coalesce("value", "fill").alias("value"), F.col("value").alias("raw"))
 
 
 def hampel(samples: DataFrame, threshold: float = 3.0, window: int = 11) -> DataFrame:
     """Against the rolling median, by the rolling deviation, which the whole recording's spread keeps from vanishing."""
-    x = _filled(samples)
+    long = long_recordings(samples)
+    x = _filled(samples, long)
     x = rolling_median(x, window)
     x = x.withColumn("residual", F.abs(F.col("value") - F.col("med")))
     local = rolling_median(x.select("rec", "idx", F.col("residual").alias("value")), window, "local").select("rec", "idx", "local")
-    x = with_stats(x, scale=_median("residual"), spread_mid=_median("value"))
-    x = with_stats(x, spread=_median(F.abs(F.col("value") - F.col("spread_mid"))))
+    x = with_quantiles(x, long, scale=("residual", 0.5), spread_mid=("value", 0.5))
+    x = with_quantiles(x, long, spread=(F.abs(F.col("value") - F.col("spread_mid")), 0.5))
     floor = F.greatest(MAD_SCALE * F.col("scale"), 0.02 * MAD_SCALE * F.col("spread"), F.lit(TINY))
     x = x.join(local, ["rec", "idx"])
     out = F.col("residual") > threshold * F.greatest(MAD_SCALE * F.col("local"), floor)
@@ -79,14 +77,15 @@ def hampel(samples: DataFrame, threshold: float = 3.0, window: int = 11) -> Data
 def spike(samples: DataFrame, threshold: float = 10.0, window: int = 5) -> DataFrame:
     """Against the rolling median, by the noise between neighbours, the spread and the local slope of the median."""
     half = max(3, window | 1) // 2
-    x = rolling_median(_filled(samples), window)
+    long = long_recordings(samples)
+    x = rolling_median(_filled(samples, long), window)
     w = over_chunks()
     df = chunked(x, half + 1, half + 1)
     df = df.withColumns({"jump": F.col("value") - F.lag("value").over(w), "m0": F.lag("med").over(w), "m1": F.lead("med").over(w)})
     df = df.withColumn("slope", F.abs(F.when(F.col("m0").isNull(), F.col("m1") - F.col("med")).when(F.col("m1").isNull(), F.col("med") - F.col("m0")).otherwise((F.col("m1") - F.col("m0")) / 2)))
     df = owned(df.withColumn("slope", F.max("slope").over(over_chunks((-half, half)))))
-    df = with_stats(df, jump_mid=_median("jump"), mid=_median("value"))
-    df = with_stats(df, noise=_median(F.abs(F.col("jump") - F.col("jump_mid"))), spread=_median(F.abs(F.col("value") - F.col("mid"))))
+    df = with_quantiles(df, long, jump_mid=("jump", 0.5), mid=("value", 0.5))
+    df = with_quantiles(df, long, noise=(F.abs(F.col("jump") - F.col("jump_mid")), 0.5), spread=(F.abs(F.col("value") - F.col("mid")), 0.5))
     scale = F.greatest(MAD_SCALE * F.col("noise") / F.sqrt(F.lit(2.0)), 0.02 * MAD_SCALE * F.col("spread"), F.coalesce("slope", F.lit(0.0)), F.lit(TINY))
     out = F.abs(F.col("value") - F.col("med")) > threshold * scale
     return df.select("rec", "idx", F.col("raw").alias("value"), (out & F.col("raw").isNotNull()).alias("outlier"))
@@ -99,7 +98,7 @@ def remove_outliers(samples: DataFrame, method: str = "zscore", fill_with: str =
     """Replace outliers by interpolation, the recording's median, or nothing (`nan`)."""
     found = DETECTORS[method](samples, **parameters)
     if fill_with == "median":
-        df = with_stats(found, med=_median(F.when(~F.col("outlier"), F.col("value"))))
+        df = with_quantiles(found, long_recordings(samples), med=(F.when(~F.col("outlier"), F.col("value")), 0.5))
         return df.select("rec", "idx", F.when(F.col("outlier"), F.col("med")).otherwise(F.col("value")).alias("value"))
     gone = found.select("rec", "idx", F.when(~F.col("outlier"), F.col("value")).alias("value"))
     return gone if fill_with == "nan" else fill(gone, "interpolate")

@@ -58,6 +58,12 @@ def _eighth(idx: Column, n: Column) -> Column:
     return F.when(idx < longer * (size + 1), F.floor(idx / (size + 1))).otherwise(longer + F.floor((idx - longer * (size + 1)) / size))
 
 
+def _steady_corr() -> Column:
+    """Correlation of the values with their index, null where they are constant."""
+    v, i = F.col("value"), F.when(F.col("value").isNotNull(), F.col("idx"))
+    return F.try_divide(F.covar_pop(v, i), F.sqrt(F.var_pop(v) * F.var_pop(i)))
+
+
 def _judged(d: DataFrame, checks: list[tuple[str, Column]], measures: list[str]) -> DataFrame:
     """rec, n, the measures, issues (codes with severity, in the checks' order), score, grade and ok."""
     found = F.filter(F.array(*(F.when(c.isNotNull(), F.concat_ws(":", F.lit(code), c)) for code, c in checks)), lambda x: x.isNotNull())
@@ -162,7 +168,7 @@ def diagnose(samples: DataFrame, fs: float | None = None, mains: float | None =
     x = stored(x.withColumn("spike", F.col("outlier") & ~F.col("clip")))
     counts = x.groupBy("rec").agg(*(F.sum(F.col(a).cast("int")).alias(b) for a, b in (("clip", "clipped"), ("flat", "flat"), ("spike", "spikes"))))
     x = stored(fill(x.select("rec", "idx", F.when(~F.col("spike"), F.col("value")).alias("value")), "interpolate"))
-    whole = x.groupBy("rec").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.corr("idx", "value").alias("corr"))
+    whole = x.groupBy("rec").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), _steady_corr().alias("corr"))
     parts = x.join(first.select("rec", "n"), "rec").where("n >= 256").groupBy("rec", _eighth(F.col("idx"), F.col("n")).alias("part"))
     parts = parts.agg(F.when(F.min("value") == F.max("value"), 0.0).otherwise(F.stddev_pop("value")).alias("d"))
     parts = parts.groupBy("rec").agg((F.max("d") / (F.min("d") + 1e-300)).alias("spread"))
@@ -263,12 +269,12 @@ def auto_clean(samples: DataFrame, fs: float | None = None, mains: float | None
 
 def screen(samples: DataFrame, fs: float | None = None) -> DataFrame:
     """Fewer checks than diagnose(), on the signal as it is: gaps, length, constancy, clipping, flat runs, offset, unsteady
-    spread and trend, without repairs or early exits, and with severities of its own. The query `diagnose` and its SQL
-    hold this."""
+    spread and trend, without repairs or early exits, and with severities of its own: a first look. The query `screen` and its
+    SQL hold this."""
     s = samples.join(samples.groupBy("rec").agg((F.max("idx") + 1).alias("n")), "rec")
     basic = s.groupBy("rec").agg(
         F.min("n").alias("n"), F.avg(F.col("value").isNull().cast("int")).alias("missing"), F.countDistinct("value").alias("distinct"),
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.corr("idx", "value").alias("corr"),
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"), _steady_corr().alias("corr"),
     )
     own = s.join(basic.select("rec", "lo", "hi"), "rec")
     edge = F.when((F.col("value") == F.col("lo")) | (F.col("value") == F.col("hi")), F.col("value"))

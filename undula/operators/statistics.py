@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.core import dealt, numbered, shifted, stored
+from undula.core import dealt, long_recordings, numbered, quantiles, shifted, stored
 from undula.functions.special import normal_share, p_of_ks, p_of_rank_sum, p_of_t, p_of_z
 
 #: Verbal cuts for Cohen's d and for correlations.
@@ -24,13 +24,18 @@ def describe(samples: DataFrame) -> DataFrame:
     quartiles, rms, mad, and snr in dB against the noise between neighbours; the last is null for noise 0."""
     s = shifted(samples, prev=-1).where("value IS NOT NULL")
     d = F.col("value") - F.col("prev")
-    q = F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+    long = long_recordings(samples)
+    quartiles = [0.25, 0.5, 0.75]
+    within = [] if long is not None else [F.percentile("value", F.array(*map(F.lit, quartiles))).alias("q")]
     stats = s.groupBy("rec").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.var_samp("value").alias("variance"),
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.var_samp("value").alias("variance"), *within,
         F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"), F.min("value").alias("minimum"), F.max("value").alias("maximum"),
-        q.alias("q"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"), F.stddev_samp(d).alias("dstd"),
+        F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"), F.stddev_samp(d).alias("dstd"),
     )
-    mads = s.join(stats.select("rec", F.col("q")[1].alias("mid")), "rec").groupBy("rec").agg(F.percentile(F.abs(F.col("value") - F.col("mid")), F.lit(0.5)).alias("mad"))
+    if long is not None:
+        stats = stats.join(quantiles(samples.where("value IS NOT NULL"), "value", quartiles, long), "rec")
+    away = samples.join(stats.select("rec", F.col("q")[1].alias("mid")), "rec").select("rec", F.abs(F.col("value") - F.col("mid")).alias("away"))
+    mads = quantiles(away.where("away IS NOT NULL"), "away", [0.5], long, "mad").withColumn("mad", F.col("mad")[0])
     noise = F.col("dstd") / math.sqrt(2)
     return stats.join(mads, "rec").select(
         "rec", "n", "mean", F.col("q")[1].alias("median"), "std", "variance", "skewness", "kurtosis", "minimum", "maximum",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,6 @@ from undula.plans.queries import _r as r6
 from undula.sources import export
 from undula.sources.tables import gappy, hourly_by_type, spiky, user_series, vectors
 
-
-
 #: Hourly channels without their gaps, and with gaps of their own.
 HOLES = f"{TYPES}, h2 AS (SELECT rec, idx, CASE WHEN (idx + length(rec)) % 5 <> 0 THEN coalesce(value, 0) END AS value FROM c)"
 
@@ -192,41 +192,125 @@ def windowed_extract(spark: SparkSession, folder: str) -> DataFrame:
 # What SQL can't express: tests hold these against NumPy, brute force or theory.
 
 
-def _tones(spark: SparkSession, folder: str) -> DataFrame:
-    """Each user's values as a swing of a 5 Hz tone at 64 samples a second, a second for each of the first eight values."""
-    s = user_series(spark, folder).where("idx < 8")
-    wide = s.select("rec", F.col("idx").alias("k"), "value", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j"))
-    return wide.select("rec", (F.col("k") * 64 + F.col("j")).cast("long").alias("idx"), (F.sin(2 * 3.141592653589793 * 5 * F.col("j") / 64) * (1 + F.col("value") / 500)).alias("value"))
+#: Samples of a beat's slot and samples a second of the beats made of events: 80 beats a minute.
+SLOT, BEAT_RATE = 75, 100.0
+
+
+def beats(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """A heartbeat for each event of a user, as samples and as the beats' places: every beat has a slot of its own, in which its
+    place and height follow the event's value, a narrow wave and a broad low one after it."""
+    s = user_series(spark, folder)
+    place, height = (20 + F.pmod(F.floor(F.coalesce("value", F.lit(0.0))), F.lit(9))).cast("long"), 1 + F.pmod(F.coalesce("value", F.lit(0.0)), F.lit(10.0)) / 50
+    wave = lambda at, width: F.exp(-F.pow((F.col("j") - at) / width, F.lit(2.0)))
+    each = s.select("rec", "idx", place.alias("place"), height.alias("height"), F.explode(F.sequence(F.lit(0), F.lit(SLOT - 1))).alias("j"))
+    value = F.col("height") * wave(F.col("place"), 1.5) + 0.2 * wave(F.col("place") + 28, 6.0)
+    return each.select("rec", (F.col("idx") * SLOT + F.col("j")).alias("idx"), value.alias("value")), s.select("rec", (F.col("idx") * SLOT + place).alias("idx"))
 
 
 @query()
 def bandpass(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(filtering.butter(_tones(spark, folder), "bandpass", (1.0, 20.0), 64.0))
+    return rounded(filtering.butter(user_series(spark, folder), "bandpass", (1.0, 20.0), 64.0))
 
 
 @query()
-def resample(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(filtering.resample(_tones(spark, folder), 64.0, 50.0))
+def highpass_slow(spark: SparkSession, folder: str) -> DataFrame:
+    """A cut-off so low that the filter's memories are carried over the whole recording."""
+    return rounded(filtering.butter(user_series(spark, folder), "highpass", 0.005, 100.0, chunk=16))
+
+
+@query()
+def notch(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(filtering.notch_filter(user_series(spark, folder), 10.0, 64.0, harmonics=3))
 
 
 @query()
+def resample(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(filtering.resample(user_series(spark, folder), 64.0, 50.0))
+
+
+#: An analytic signal by the discrete Fourier transform, its negative frequencies left out.
+ANALYTIC = f"""{USER}, n AS (SELECT rec, count(*) AS n FROM s GROUP BY rec),
+z AS (SELECT rec, n, bin, sum(value * cos(2 * pi() * bin * idx / n)) AS re, -sum(value * sin(2 * pi() * bin * idx / n)) AS im FROM s JOIN n USING (rec), LATERAL (SELECT unnest(range(0, n // 2 + 1)) AS bin) GROUP BY ALL),
+w AS (SELECT rec, n, bin, re, im, CASE WHEN bin = 0 OR 2 * bin = n THEN 1 ELSE 2 END / n AS w FROM z),
+a AS (SELECT rec, s.idx, sum(w * (re * cos(2 * pi() * bin * s.idx / n) - im * sin(2 * pi() * bin * s.idx / n))) AS re, sum(w * (re * sin(2 * pi() * bin * s.idx / n) + im * cos(2 * pi() * bin * s.idx / n))) AS im
+  FROM s JOIN w USING (rec) GROUP BY ALL)"""
+
+
+@query(f"{ANALYTIC} SELECT rec, idx, round(sqrt(re * re + im * im), 6) + 0.0 AS envelope FROM a")
 def envelope(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(spectral.hilbert(_tones(spark, folder), 64.0))
+    return rounded(spectral.hilbert(user_series(spark, folder), 64.0).select("rec", "idx", "envelope"))
+
+
+@query(f"""{USER}, n AS (SELECT rec, count(*) AS n FROM s GROUP BY rec), k AS (SELECT j, [-36, 9, 44, 69, 84, 89, 84, 69, 44, 9, -36][j + 6] / 429.0::DOUBLE AS w FROM range(-5, 6) t(j))
+SELECT s.rec, s.idx, round(sum(w * y.value), 6) + 0.0 AS value FROM s JOIN n USING (rec) JOIN k ON true JOIN s y ON y.rec = s.rec AND y.idx = s.idx + j WHERE s.idx BETWEEN 5 AND n - 6 GROUP BY 1, 2""")
+def savgol_interior(spark: SparkSession, folder: str) -> DataFrame:
+    """Cubic over eleven samples, where all eleven are there; the weights of the SQL are the published ones."""
+    s = user_series(spark, folder)
+    n = s.groupBy("rec").agg(F.max("idx").alias("last"))
+    return rounded(filtering.savgol(s).join(n, "rec").where("idx BETWEEN 5 AND last - 5").select("rec", "idx", "value"))
+
+
+@query(f"""{USER}, n AS (SELECT rec, count(*) AS n FROM s GROUP BY rec HAVING count(*) > 33),
+w AS (SELECT rec, idx, value FROM s UNION ALL SELECT rec, -idx, 2 * first_value - value FROM s JOIN (SELECT rec, arg_min(value, idx) AS first_value FROM s GROUP BY rec) USING (rec) WHERE idx BETWEEN 1 AND 33
+  UNION ALL SELECT rec, 2 * (n - 1) - idx, 2 * last_value - value FROM s JOIN n USING (rec) JOIN (SELECT rec, arg_max(value, idx) AS last_value FROM s GROUP BY rec) USING (rec) WHERE idx BETWEEN n - 34 AND n - 2),
+h AS (SELECT m, (CASE WHEN m = 0 THEN 0.25 ELSE sin(0.25 * pi() * m) / (pi() * m) END) * (0.54 - 0.46 * cos(2 * pi() * (m + 5) / 10)) AS h FROM range(-5, 6) t(m)), g AS (SELECT m, h / sum(h) OVER () AS h FROM h),
+b AS (SELECT p.m + q.m AS m, sum(p.h * q.h) AS h FROM g p, g q GROUP BY 1)
+SELECT s.rec, s.idx, round(sum(h * w.value), 6) + 0.0 AS value FROM s JOIN n USING (rec) JOIN b ON true JOIN w ON w.rec = s.rec AND w.idx = s.idx + m GROUP BY 1, 2""")
+def fir_lowpass(spark: SparkSession, folder: str) -> DataFrame:
+    """Eleven taps, forward and backward, of recordings that are long enough."""
+    return rounded(filtering.fir_filter(user_series(spark, folder), 8.0, 64.0, taps=11).where("value IS NOT NULL"))
+
+
+@query(f"{USER}, m AS (SELECT rec, avg(value) AS m FROM s GROUP BY rec) SELECT rec, idx, round(value - m, 6) + 0.0 AS value FROM s JOIN m USING (rec)")
+def detrend_constant(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(statistics.detrend(user_series(spark, folder), "constant"))
+
+
+@query(f"""{USER}, n AS (SELECT rec, count(*) AS n FROM s GROUP BY rec HAVING count(*) > 3), x AS (SELECT rec, idx, value, idx - (n - 1) / 2 AS x, (n * n - 1) / 12.0::DOUBLE AS m2, n FROM s JOIN n USING (rec)),
+c AS (SELECT rec, avg(value) AS a, sum(x * value) / sum(x * x) AS b, sum((x * x - m2) * value) / sum((x * x - m2) * (x * x - m2)) AS c FROM x GROUP BY rec)
+SELECT rec, idx, round(value - a - b * x - c * (x * x - m2), 6) + 0.0 AS value FROM x JOIN c USING (rec)""")
+def detrend_quadratic(spark: SparkSession, folder: str) -> DataFrame:
+    """The SQL takes off polynomials that are orthogonal to each other."""
+    s = user_series(spark, folder)
+    long = s.groupBy("rec").agg(F.count("*").alias("n")).where("n > 3").select("rec")
+    return rounded(statistics.detrend_quadratic(s.join(long, "rec", "left_semi")).select("rec", "idx", "value"))
+
+
+@query()
+def wavelet(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(spectral.wavelet(vectors(spark, folder), [0.05, 0.1, 0.2]))
 
 
 @query()
 def quality_spectral(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(quality.fixes(quality.diagnose(_tones(spark, folder), 64.0)).withColumn("fixes", F.to_json("fixes")))
+    return rounded(quality.fixes(quality.diagnose(user_series(spark, folder), 64.0)).withColumn("fixes", F.to_json("fixes")))
+
+
+@query()
+def quality_heart(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(quality.diagnose(beats(spark, folder)[0], BEAT_RATE, signal_type="ecg"))
 
 
 @query()
 def quality_timeline(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(quality.timeline(_tones(spark, folder), 4.0, 2.0, 64.0))
+    return rounded(quality.timeline(spiky(user_series(spark, folder)), 0.5, 0.25, 64.0))
+
+
+@query()
+def auto_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(quality.auto_clean(spiky(gappy(user_series(spark, folder))))[0])
 
 
 @query()
 def heart_beats(spark: SparkSession, folder: str) -> DataFrame:
-    return ecg.pan_tompkins(_tones(spark, folder), 64.0)
+    return ecg.pan_tompkins(beats(spark, folder)[0], BEAT_RATE)
+
+
+@query()
+def heart_beats_matched(spark: SparkSession, folder: str) -> DataFrame:
+    """How well both detectors find the beats that the samples were made of."""
+    x, known = beats(spark, folder)
+    return rounded(reduce(DataFrame.unionByName, [ecg.match_beats(known, ecg.detect_r_peaks(x, BEAT_RATE, m), BEAT_RATE).withColumn("method", F.lit(m)) for m in ("pantompkins", "simple")]))
 
 
 @query()
@@ -236,7 +320,7 @@ def hrv(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def extract(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(features.extract(_tones(spark, folder), 64.0))
+    return rounded(features.extract(user_series(spark, folder), 64.0))
 
 
 @query()

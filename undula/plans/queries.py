@@ -20,6 +20,21 @@ c AS (SELECT r.rec, hour - h0 AS idx, m.value FROM (SELECT DISTINCT rec FROM m)
 VECTORS = "s AS (SELECT vec_id AS rec, unnest(range(len(embedding))) AS idx, unnest(embedding)::DOUBLE AS value FROM embeddings)"
 
 
+#: A beginning of some recordings, of another length each, as recordings of their own beside the whole ones.
+BEGINNINGS = 1_000_000_000
+
+
+def _beginnings(source: str, lengths: dict[int, int]) -> str:
+    """SQL of the rows of `source` and, for users whose last digit is a key, of their first so many under another key."""
+    some = " OR ".join(f"rec % 10 = {k} AND idx < {n}" for k, n in lengths.items())
+    return f"(SELECT rec, idx, value FROM {source} UNION ALL SELECT rec + {BEGINNINGS}, idx, value FROM {source} WHERE {some})"
+
+
+def with_beginnings(samples: DataFrame, lengths: dict[int, int]) -> DataFrame:
+    some = F.expr(" OR ".join(f"rec % 10 = {k} AND idx < {n}" for k, n in lengths.items()))
+    return samples.unionByName(samples.where(some).withColumn("rec", F.col("rec") + BEGINNINGS))
+
+
 #: Added before rounding to six digits: many results lie halfway between two such numbers, where the last bit of a sum,
 #: which depends on its order, would decide.
 NUDGE = 1.23456789e-08
@@ -415,15 +430,15 @@ y AS (SELECT rec, idx, n, sum(d) OVER (PARTITION BY rec ORDER BY idx ROWS UNBOUN
 b AS (SELECT rec, scale, idx // scale AS seg, idx % scale AS x, y FROM y, (SELECT unnest([4, 6, 8, 12, 16]) AS scale) WHERE (idx // scale + 1) * scale <= n),
 v AS (SELECT rec, scale, seg, greatest(regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x), 0) / scale AS r FROM b GROUP BY 1, 2, 3), f AS (SELECT rec, scale, sqrt(avg(r)) AS f FROM v GROUP BY 1, 2)
 SELECT rec, round(regr_slope(ln(f), ln(scale)), 6) + 0.0 AS dfa_alpha FROM f WHERE f > 0 GROUP BY rec""")
-def dfa_alpha(spark: SparkSession, folder: str) -> DataFrame:
+def dfa_alpha_scales(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(features.dfa_alpha(user_series(spark, folder), [4, 6, 8, 12, 16]))
 
 
 #: One user in ten has 20 samples, one has 38, and one has 42: none, two and three or more scales.
-CUT = "rec % 10 NOT IN (3, 7, 9) OR idx < CASE rec % 10 WHEN 3 THEN 20 WHEN 7 THEN 38 ELSE 42 END"
+CUT = {3: 20, 7: 38, 9: 42}
 
 
-@query(f"""{USER}, u AS (SELECT * FROM s WHERE {CUT}), c AS (SELECT rec, idx, count(*) OVER w AS n, value - avg(value) OVER w AS d FROM u WINDOW w AS (PARTITION BY rec)),
+@query(f"""{USER}, u AS {_beginnings('s', CUT)}, c AS (SELECT rec, idx, count(*) OVER w AS n, value - avg(value) OVER w AS d FROM u WINDOW w AS (PARTITION BY rec)),
 n AS (SELECT rec, count(*) AS n, min(value) < max(value) AS varies FROM u GROUP BY rec),
 k AS (SELECT DISTINCT rec, CASE i WHEN 0 THEN 8 WHEN 11 THEN n // 4 ELSE floor(exp(ln(8) + (ln(n // 4) - ln(8)) * i / 11) + 1e-9)::BIGINT END AS scale FROM n, range(0, 12) t(i) WHERE n >= 32 AND varies),
 e AS (SELECT rec, count(*) AS m FROM k GROUP BY rec),
@@ -432,8 +447,8 @@ b AS (SELECT rec, scale, idx // scale AS seg, idx % scale AS x, y FROM y JOIN k
 v AS (SELECT rec, scale, seg, greatest(regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x), 0) / scale AS r FROM b GROUP BY 1, 2, 3), f AS (SELECT rec, scale, sqrt(avg(r)) AS f FROM v GROUP BY 1, 2),
 a AS (SELECT rec, CASE WHEN min(f) > 0 THEN regr_slope(ln(f), ln(scale)) END AS alpha FROM f JOIN e USING (rec) WHERE m >= 3 GROUP BY rec)
 SELECT rec, round(alpha, 6) + 0.0 AS dfa_alpha FROM n LEFT JOIN a USING (rec)""")
-def dfa_alpha_own(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(features.dfa_alpha(user_series(spark, folder).where(CUT)))
+def dfa_alpha(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(features.dfa_alpha(with_beginnings(user_series(spark, folder), CUT)))
 
 
 @query(f"""{USER}, c AS (SELECT rec, stddev_pop(value) * 0.2 AS r FROM s GROUP BY rec), t AS (SELECT rec, idx, value AS x0, lead(value) OVER w AS x1, lead(value, 2) OVER w AS x2 FROM s WINDOW w AS (PARTITION BY rec ORDER BY idx)),
@@ -480,7 +495,7 @@ k AS (SELECT rec, n, missing, clipped, flat, spread, list_filter([CASE WHEN miss
 z AS (SELECT *, greatest(0, 100 - list_sum(list_transform(found, lambda x: CASE WHEN x LIKE '%critical' THEN 35 WHEN x LIKE '%warning' THEN 12 ELSE 3 END) || [0]))::INT AS score FROM k)
 SELECT rec, n, {_r('missing')}, clipped, flat, {_r('spread')}, array_to_string(found, ',') AS issues, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade,
   len(list_filter(found, lambda x: x NOT LIKE '%info')) = 0 AS ok FROM z""")
-def diagnose(spark: SparkSession, folder: str) -> DataFrame:
+def screen(spark: SparkSession, folder: str) -> DataFrame:
     damaged = user_series(spark, folder).withColumn("value", F.expr(FLAT.replace("77.0", "77D").replace("120.0", "120D")))
     return rounded(quality.screen(damaged))
 
@@ -490,7 +505,7 @@ DAMAGE = """CASE WHEN rec % 10 = 4 THEN NULL WHEN rec % 10 = 6 THEN 42.0 WHEN re
   WHEN rec % 10 = 9 THEN value + 20 * idx WHEN rec % 2 = 1 AND idx >= 40 AND idx % 40 < 12 THEN 77.0 WHEN rec % 10 IN (1, 2, 3) THEN least(value, 90.0) WHEN idx % 17 = 3 THEN NULL ELSE value END"""
 
 
-@query(f"""{USER}, u AS (SELECT rec, idx, {DAMAGE} AS value FROM s WHERE rec % 10 <> 5 OR idx < 20),
+@query(f"""{USER}, u AS (SELECT rec, idx, {DAMAGE} AS value FROM {_beginnings('s', {5: 20})} t),
 i AS (SELECT rec, max(idx) + 1 AS n, avg((value IS NULL)::INT) AS missing FROM u GROUP BY rec),
 o AS (SELECT rec, idx, value, max(CASE WHEN value IS NOT NULL THEN idx END) OVER a AS i0, min(CASE WHEN value IS NOT NULL THEN idx END) OVER b AS i1
   FROM u WINDOW a AS (PARTITION BY rec ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY rec ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
@@ -521,11 +536,11 @@ k AS (SELECT rec, n, missing, clipped, flat, spikes, spread, list_filter([CASE W
 w AS (SELECT *, greatest(0, 100 - list_sum(list_transform(found, lambda x: CASE WHEN x LIKE '%critical' THEN 35 WHEN x LIKE '%warning' THEN 12 ELSE 3 END) || [0]))::INT AS score FROM k)
 SELECT rec, n, {_r('missing')}, clipped, flat, spikes, {_r('spread')}, array_to_string(found, ',') AS issues, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade,
   len(list_filter(found, lambda x: x NOT LIKE '%info')) = 0 AS ok FROM w""")
-def diagnose_whole(spark: SparkSession, folder: str) -> DataFrame:
+def diagnose(spark: SparkSession, folder: str) -> DataFrame:
     damage = DAMAGE
     for number in ("42.0", "5000.0", "77.0", "90.0"):
         damage = damage.replace(number, f"{number}D")
-    damaged = user_series(spark, folder).where("rec % 10 <> 5 OR idx < 20").withColumn("value", F.expr(damage))
+    damaged = with_beginnings(user_series(spark, folder), {5: 20}).withColumn("value", F.expr(damage))
     return rounded(quality.diagnose(damaged))
 
 
@@ -536,17 +551,17 @@ a AS (SELECT rec, any_value(raw) + 1 AS hrv_beats, count(*) AS used, any_value(r
   stddev_samp(60000 / value) AS hrv_sd_hr, max(value) - min(value) AS hrv_range, sqrt(var_samp(d) / 2) AS hrv_sd1, sqrt(greatest(2 * var_samp(value) - var_samp(d) / 2, 0)) AS hrv_sd2, any_value(tri) AS hrv_tri_index FROM k JOIN b USING (rec) JOIN t USING (rec) GROUP BY rec),
 z AS (SELECT *, hrv_sd1 / hrv_sd2 AS hrv_sd_ratio, 100 * (raw - used) / raw AS hrv_artifact_pct FROM a)
 SELECT rec, hrv_beats, {_r('hrv_mean_rr', 'hrv_sdnn', 'hrv_rmssd', 'hrv_pnn50', 'hrv_mean_hr', 'hrv_sd_hr', 'hrv_range', 'hrv_sd1', 'hrv_sd2', 'hrv_tri_index', 'hrv_sd_ratio', 'hrv_artifact_pct')} FROM z""")
-def hrv_time(spark: SparkSession, folder: str) -> DataFrame:
+def hrv_time_plain(spark: SparkSession, folder: str) -> DataFrame:
     rr = user_series(spark, folder).withColumn("value", 200 + 5 * F.col("value"))
     return rounded(features.hrv_time(rr, rel=None))
 
 
 #: Intervals with missed and extra beats; one user in ten has 8 of them, and one has 4.
 BEATS = "CASE WHEN idx % 23 = 11 THEN 1700.0 WHEN idx % 23 IN (3, 17) THEN 314.0 WHEN idx = 0 AND rec % 4 = 1 THEN 536.0 ELSE 800 + value / 5 END"
-FEW = "rec % 10 NOT IN (3, 4) OR rec % 10 = 3 AND idx < 8 OR rec % 10 = 4 AND idx < 4"
+FEW = {3: 8, 4: 4}
 
 
-@query(f"""{USER}, g AS (SELECT rec, idx, {BEATS} AS value FROM s WHERE {FEW}), b AS (SELECT rec, count(*) AS raw FROM g GROUP BY rec),
+@query(f"""{USER}, g AS (SELECT rec, idx, {BEATS} AS value FROM {_beginnings('s', FEW)} t), b AS (SELECT rec, count(*) AS raw FROM g GROUP BY rec),
 p AS (SELECT rec, idx, value FROM g UNION ALL SELECT rec, -idx, value FROM g WHERE idx BETWEEN 1 AND 5 UNION ALL SELECT rec, 2 * (raw - 1) - idx, value FROM g JOIN b USING (rec) WHERE idx BETWEEN raw - 6 AND raw - 2),
 l AS (SELECT g.rec, g.idx, median(p.value) AS local FROM g JOIN b USING (rec) JOIN p ON p.rec = g.rec AND abs(p.idx - g.idx) <= least(5, (raw - 1) // 2) WHERE raw >= 5 GROUP BY 1, 2),
 k AS (SELECT rec, idx, value, value - lag(value) OVER (PARTITION BY rec ORDER BY idx) AS d FROM g LEFT JOIN l USING (rec, idx) WHERE value BETWEEN 250 AND 2500 AND (local IS NULL OR abs(value - local) <= 0.3 * local)),
@@ -555,11 +570,11 @@ a AS (SELECT rec, any_value(raw) + 1 AS hrv_beats, count(*) AS used, any_value(r
   stddev_samp(60000 / value) AS hrv_sd_hr, max(value) - min(value) AS hrv_range, sqrt(var_samp(d) / 2) AS hrv_sd1, sqrt(greatest(2 * var_samp(value) - var_samp(d) / 2, 0)) AS hrv_sd2, any_value(tri) AS hrv_tri_index FROM k JOIN b USING (rec) JOIN t USING (rec) GROUP BY rec),
 z AS (SELECT *, hrv_sd1 / hrv_sd2 AS hrv_sd_ratio, 100 * (raw - used) / raw AS hrv_artifact_pct FROM a)
 SELECT rec, hrv_beats, {_r('hrv_mean_rr', 'hrv_sdnn', 'hrv_rmssd', 'hrv_pnn50', 'hrv_mean_hr', 'hrv_sd_hr', 'hrv_range', 'hrv_sd1', 'hrv_sd2', 'hrv_tri_index', 'hrv_sd_ratio', 'hrv_artifact_pct')} FROM z""")
-def hrv_time_clean(spark: SparkSession, folder: str) -> DataFrame:
+def hrv_time(spark: SparkSession, folder: str) -> DataFrame:
     beats = BEATS
     for number in ("1700.0", "314.0", "536.0"):
         beats = beats.replace(number, f"{number}D")
-    return rounded(features.hrv_time(user_series(spark, folder).where(FEW).withColumn("value", F.expr(beats))))
+    return rounded(features.hrv_time(with_beginnings(user_series(spark, folder), FEW).withColumn("value", F.expr(beats))))
 
 
 @query(f"""{TYPES}, n AS (SELECT rec, idx, value, last_value(CASE WHEN value IS NOT NULL THEN idx END IGNORE NULLS) OVER a AS i0, last_value(value IGNORE NULLS) OVER a AS v0, first_value(CASE WHEN value IS NOT NULL THEN idx END IGNORE NULLS) OVER b AS i1, first_value(value IGNORE NULLS) OVER b AS v1
