@@ -114,7 +114,9 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """
     check_boundaries(model)
     used = written(frequencies(docs), "pre-token-frequencies", compression="zstd")
-    distinct = used.where("token IS NOT NULL").groupBy("token").agg(F.max("whole").alias("whole"), F.sum("uses").alias("uses"))
+    # Numbers alone are summed by hash; the few long texts are looked up apart.
+    distinct = used.where("token IS NOT NULL").groupBy("token").agg(F.sum("uses").alias("uses"))
+    distinct = distinct.join(used.where("whole IS NOT NULL").groupBy("token").agg(F.min("whole").alias("whole")), "token", "left")
     vocabulary = written(count_pieces(distinct, model), "pre-tokens")
 
     bucket = F.floor(F.log2("uses") * 8)
@@ -125,9 +127,10 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
         held += sizes.get(least, 0)
     head = F.broadcast(vocabulary.where(bucket >= least).select("token", "pieces"))
 
-    key, tokens = ["doc", "doc_id", "n_bytes"], F.sum(F.coalesce(F.col("uses") * F.col("pieces"), F.lit(0))).alias("tokens")
-    near = used.select(*key, "token", "uses").join(head, "token", "left").groupBy(*key).agg(tokens)
-    rare = used.where("token IS NOT NULL").select(*key, "token", "uses").join(head.select("token"), "token", "left_anti")
-    far = rare.join(vocabulary.where(bucket < least).select("token", "pieces"), "token").groupBy(*key).agg(tokens)
-    summed = near.unionByName(far).groupBy(*key).agg(F.sum("tokens").alias("n_tokens"))
+    tokens = F.sum(F.coalesce(F.col("uses") * F.col("pieces"), F.lit(0))).alias("tokens")
+    near = used.select("doc", "doc_id", "n_bytes", "token", "uses").join(head, "token", "left").groupBy("doc", "doc_id", "n_bytes").agg(tokens)
+    rare = used.where("token IS NOT NULL").select("doc", "token", "uses").join(head.select("token"), "token", "left_anti")
+    far = rare.join(vocabulary.where(bucket < least).select("token", "pieces"), "token").groupBy("doc").agg(tokens)
+    both = near.unionByName(far, allowMissingColumns=True)
+    summed = both.groupBy("doc").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
     return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
