@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,9 +134,9 @@ def quantiles(df: DataFrame, value: str | Column, qs: list[float], long: DataFra
 
     A recording of up to LONG rows is one aggregate's work. Those in `long`, see long_recordings(), go through narrowing
     rounds: of the values that lie between two bounds each round counts those below and within, pre-summed in each task, and a
-    sketch of bounded size tells GRID quantiles of those within, of which the nearest around the wanted rank are the next
+    sketch of bounded size tells GRID quantiles of those strictly within, of which the nearest around the wanted rank are the next
     bounds. Bounds that turn out not to hold the rank are widened again, so the result doesn't lean on the sketch. Once
-    FINISH values are left, or the bounds are equal, the rank is read off. The driver learns only whether bounds are left.
+    FINISH values are left, or the rank falls on a bound, it is read off. The driver learns only whether bounds are left.
     """
     own = df.select("rec", (F.col(value) if isinstance(value, str) else value).alias("_v"))
     whole = lambda d: d.groupBy("rec").agg(F.percentile("_v", F.array(*(F.lit(float(q)) for q in qs))).alias(name))
@@ -152,30 +153,35 @@ def _narrowed(rows: DataFrame, qs: list[float], name: str) -> DataFrame:
     wanted = n.select("rec", "lo", "hi", F.explode(places).alias("p")).select("rec", "p.*", "lo", "hi").withColumn("rank", F.when(F.col("up"), F.ceil("at")).otherwise(F.floor("at")))
     # The bounds before, the ranks that the sketch may be wrong by, as parts of the grid, and values below and within.
     state = wanted.select("rec", "nth", "up", "at", "rank", "lo", "hi", F.col("lo").alias("lo0"), F.col("hi").alias("hi0"), F.lit(1).alias("margin"))
-    state, done = stored(state), None
+    state = stored(state)
     names = ["nth", "up", "at", "rank", "lo", "hi", "lo0", "hi0", "margin"]
-    v, lo, hi, within = F.col("_v"), F.col("lo"), F.col("hi"), (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))
+    v, lo, hi = F.col("_v"), F.col("lo"), F.col("hi")
+    inner = (v > lo) & (v < hi)
+    # Ranks behind those below lo: the first at_lo are lo, the last at_hi are hi.
+    r = F.col("rank") - F.col("below")
+    held = (r >= 0) & (r < F.col("at_lo") + F.col("inner") + F.col("at_hi"))
+    is_lo, is_hi = held & (r < F.col("at_lo")), held & (r >= F.col("at_lo") + F.col("inner"))
+    between = held & ~is_lo & ~is_hi
+    told, ready = [], []
     while True:
         met = present.join(state, "rec")
-        counted = met.groupBy("rec", *names).agg(F.count_if(v < lo).alias("below"), F.count_if(within).alias("inside"), F.percentile_approx(F.when(within, v), grid, ACCURACY).alias("sketch"))
-        counted = stored(counted)
-        held = (F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("inside"))
-        ready = counted.where(held & ((lo == hi) | (F.col("inside") <= FINISH)))
-        done = ready if done is None else done.unionByName(ready)
-        share = (F.col("rank") - F.col("below")) / F.col("inside") * GRID
+        counted = stored(met.groupBy("rec", *names).agg(
+            F.count_if(v < lo).alias("below"), F.count_if(v == lo).alias("at_lo"), F.count_if((v == hi) & (lo < hi)).alias("at_hi"), F.count_if(inner).alias("inner"),
+            F.percentile_approx(F.when(inner, v), grid, ACCURACY).alias("sketch"),
+        ))
+        told.append(counted.where(is_lo | is_hi).select("rec", "nth", "up", "at", F.when(is_lo, lo).otherwise(hi).alias("found")))
+        ready.append(counted.where(between & (F.col("inner") <= FINISH)).select("rec", "nth", "up", "at", (r - F.col("at_lo")).alias("place"), "lo", "hi"))
+        share = (r - F.col("at_lo")) / F.col("inner") * GRID
         down, up = F.greatest(F.floor(share) - F.col("margin"), F.lit(0)), F.least(F.ceil(share) + F.col("margin"), F.lit(GRID))
-        narrower = counted.where(held & (lo != hi) & (F.col("inside") > FINISH))
-        narrower = narrower.select("rec", "nth", "up", "at", "rank", F.get("sketch", down.cast("int")).alias("lo"), F.get("sketch", up.cast("int")).alias("hi"), F.col("lo").alias("lo0"), F.col("hi").alias("hi0"), F.lit(1).alias("margin"))
+        narrower = counted.where(between & (F.col("inner") > FINISH))
+        narrower = narrower.select("rec", "nth", "up", "at", "rank", F.get("sketch", down.cast("int")).alias("lo"), F.get("sketch", up.cast("int")).alias("hi"), lo.alias("lo0"), hi.alias("hi0"), F.lit(1).alias("margin"))
         # A rank that slipped out is looked for between the bounds before, once more with a wider margin.
         wider = counted.where(~held).select("rec", "nth", "up", "at", "rank", F.col("lo0").alias("lo"), F.col("hi0").alias("hi"), "lo0", "hi0", (F.col("margin") * 4).alias("margin"))
         state = stored(narrower.unionByName(wider))
         if state.isEmpty():
             break
-    done = stored(done.select("rec", "nth", "up", "at", "rank", "lo", "hi", "below"))
-    met = present.join(done.where(lo != hi), "rec").where(within)
-    last = met.groupBy("rec", "nth", "up", "at", "rank", "below").agg(F.sort_array(F.collect_list("_v")).alias("all"))
-    last = last.select("rec", "nth", "up", "at", F.get("all", (F.col("rank") - F.col("below")).cast("int")).alias("found"))
-    found = last.unionByName(done.where(lo == hi).select("rec", "nth", "up", "at", F.col("lo").alias("found")))
+    last = present.join(stored(reduce(DataFrame.unionByName, ready)), "rec").where(inner).groupBy("rec", "nth", "up", "at", "place").agg(F.sort_array(F.collect_list("_v")).alias("all"))
+    found = reduce(DataFrame.unionByName, told).unionByName(last.select("rec", "nth", "up", "at", F.get("all", F.col("place").cast("int")).alias("found")))
     ends = found.groupBy("rec", "nth", "at").agg(F.max(F.when(~F.col("up"), F.col("found"))).alias("a"), F.max(F.when(F.col("up"), F.col("found"))).alias("b"))
     between = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b"))
     made = ends.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("nth", between.alias("x")))).alias("q")).select("rec", F.transform("q", lambda x: x["x"]).alias(name))
