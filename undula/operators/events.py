@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.core import shifted, stored
+from undula.core import neighbours, shifted, stored
 from undula.operators.features import windowed_features
 
 #: Blocks that a recording is summed up in: change points of longer ones fall on the blocks' ends.
@@ -77,8 +77,9 @@ def segments_between(samples: DataFrame, points: DataFrame, fs: float | None = N
     starts = points.select("rec", "idx").unionByName(size.select("rec", F.lit(0).cast("long").alias("idx"))).distinct()
     w = Window.partitionBy("rec").orderBy("idx")
     spans = starts.join(size, "rec").withColumn("end", F.coalesce(F.lead("idx").over(w), "n")).select("rec", F.col("idx").alias("start"), "end")
-    listed = spans.groupBy("rec").agg(F.sort_array(F.collect_list("start")).alias("starts"))  # BLOCKS at most
-    own = samples.join(listed, "rec").withColumn("nth", F.size(F.filter("starts", lambda s: s <= F.col("idx")))).withColumn("start", F.col("starts")[F.col("nth") - 1])
+    # Each sample takes the last start at or before it, found within its chunk or from the chunks before.
+    marked = samples.select("rec", "idx", F.col("value").alias("x")).join(starts.withColumn("value", F.col("idx").cast("double")), ["rec", "idx"], "left")
+    own = neighbours(marked).select("rec", F.col("x").alias("value"), F.col("prev_v").cast("long").alias("start"))
     stats = own.groupBy("rec", "start").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     r = fs or 1.0
     return spans.join(stats, ["rec", "start"]).select("rec", (F.col("start") / r).alias("start_s"), (F.col("end") / r).alias("end_s"), (F.col("end") - F.col("start")).alias("n"), "mean", "std")
