@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.core import dealt, long_recordings, numbered, quantiles, shifted, stored
-from undula.functions.special import normal_share, p_of_ks, p_of_rank_sum, p_of_t, p_of_z
+from undula.core import CHUNK, chunked, dealt, long_recordings, numbered, quantiles, shifted, stored
+from undula.functions.special import dickey_fuller, lag_rows, normal_share, p_of_dickey_fuller, p_of_ks, p_of_rank_sum, p_of_t, p_of_z, shapiro_wilk
 
 #: Verbal cuts for Cohen's d and for correlations.
 D_CUTS, R_CUTS = (0.2, 0.5, 0.8), (0.1, 0.3, 0.5)
@@ -118,46 +118,82 @@ def stationarity_kpss(samples: DataFrame, lags: int | None = None) -> DataFrame:
     return found.withColumn("kpss", value).select("rec", "n", "lags", "kpss", F.when(k.isNotNull(), p.otherwise(table[-1][1])).alias("p"))
 
 
-def stationarity_adf(samples: DataFrame, lags: int = 1) -> DataFrame:
-    """rec, n, adf and the decision `stationary` at 5 % of the augmented Dickey-Fuller test with a constant and so many lagged
-    differences.
+def stationarity_adf(samples: DataFrame, lags: int | None = None) -> DataFrame:
+    """rec, n, lags, adf, p and the decision `stationary` (p below 5 %) of the augmented Dickey-Fuller test with a constant.
 
-    The regression of each difference on the level before it, a constant and the lagged differences is solved from sums of
-    products that Spark adds up over the recording; the critical value is MacKinnon's for the number of differences used.
-    Null where there are too few values or they are constant.
+    The lagged differences are those, up to `lags` (by default 12 (n / 100) ** 0.25, rounded up, and below half the length),
+    whose regression has the least AIC on the rows that all share. Each chunk, with the values before it that its first rows
+    look back to, gives one matrix of products; these are summed up over the recording, and all regressions solved from the
+    sum, see dickey_fuller(). p is MacKinnon's. Gaps are left out beforehand. Null where there are too few values or they are constant.
     """
-    names = [f"x{k}" for k in range(lags + 2)]
-    s = shifted(samples, **{f"p{k}": -k for k in range(1, lags + 2)})
-    level = [F.col("value"), *(F.col(f"p{k}") for k in range(1, lags + 2))]
-    d = [level[k] - level[k + 1] for k in range(lags + 1)]
-    s = s.join(samples.groupBy("rec").agg(F.avg("value").alias("mean")), "rec")
-    row = s.select("rec", d[0].alias("y"), F.lit(1.0).alias("x0"), (level[1] - F.col("mean")).alias("x1"), *(d[k].alias(f"x{k + 1}") for k in range(1, lags + 1)))
-    row = row.where(" AND ".join(f"{c} IS NOT NULL" for c in ["y", *names]))
-    cols = ["y", *names]
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(cols) for b in cols[i:]]
-    g = row.groupBy("rec").agg(F.count("*").alias("used"), *sums)
-    k = len(names)
+    from undula.operators.cleaning import renumbered
+
+    kind = samples.schema["rec"].dataType.simpleString()
+    every = samples.groupBy("rec").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), (F.min("value") < F.max("value")).alias("varies"))
+    wanted = F.lit(lags) if lags is not None else F.ceil(12 * F.pow(F.col("n") / 100, F.lit(0.25)))
+    every = stored(every.withColumn("most", F.least(wanted, F.floor(F.col("n") / 2) - 2).cast("int")))
+    use = every.where("varies AND most >= 0")
+    reach = (use.agg(F.max("most")).first()[0] or 0) + 1
+    x = stored(renumbered(samples.where("value IS NOT NULL")).join(use.select("rec", "most", "mean"), "rec").select("rec", "idx", "most", (F.col("value") - F.col("mean")).alias("value")))
+    pairs = F.array_sort(F.collect_list(F.struct("idx", "value")))
+    rows = chunked(x, reach, 0, CHUNK).groupBy("rec", "most", "chunk").agg(F.max("owned").alias("any"), pairs.alias("p")).where("any")
+    rows = rows.select("rec", "most", "chunk", F.col("p")[0]["idx"].alias("first"), F.transform("p", lambda p: p["value"]).alias("values"))
+    size = CHUNK
+
+    def products(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                # A row belongs to the chunk of the value that its difference leads to, and needs most + 1 values before it.
+                start = max(r.chunk * size - r.most - 1 - r.first, 0)
+                made = lag_rows(np.asarray(r.values, float)[start:], r.most)
+                out.append((r.rec, r.most, len(made), (made.T @ made).reshape(-1).tolist()))
+            yield pd.DataFrame(out, columns=["rec", "most", "used", "gram"])
+
+    grams = stored(rows.mapInPandas(products, f"rec {kind}, most int, used long, gram array<double>"))
+    used = grams.groupBy("rec", "most").agg(F.sum("used").alias("used"))
+    cells = grams.select("rec", F.posexplode("gram").alias("at", "g")).groupBy("rec", "at").agg(F.sum("g").alias("g"))
+    whole = cells.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("at", "g"))).alias("cells")).select("rec", F.transform("cells", lambda c: c["g"]).alias("gram"))
+    heads = x.where(F.col("idx") <= F.col("most")).groupBy("rec").agg(pairs.alias("p")).select("rec", F.transform("p", lambda p: p["value"]).alias("head"))
 
     def solved(batches):
         for batch in batches:
             out = []
-            for r in batch.to_dict("records"):
-                m = np.array([[r[f"{a}_{b}" if f"{a}_{b}" in r else f"{b}_{a}"] for b in cols] for a in cols], float)
-                xx, xy, n = m[1:, 1:], m[1:, 0], r["used"]
-                value = None
-                if n > k and np.linalg.matrix_rank(xx) == k:
-                    beta = np.linalg.solve(xx, xy)
-                    left = max(m[0, 0] - beta @ xy, 0.0) / (n - k)
-                    se = math.sqrt(left * np.linalg.inv(xx)[1, 1])
-                    value = float(beta[1] / se) if se > 0 else None
-                out.append((r["rec"], value))
-            yield pd.DataFrame(out, columns=["rec", "adf"])
-
-    found = g.mapInPandas(solved, f"rec {samples.schema['rec'].dataType.simpleString()}, adf double")
-    t = F.col("used").cast("double")
-    critical = -2.86154 - 2.8903 / t - 4.234 / (t * t) - 40.04 / (t * t * t)  # MacKinnon (2010), constant, 5 %
-    every = samples.groupBy("rec").agg(F.count("value").alias("n"))
-    return every.join(found, "rec", "left").join(g.select("rec", "used"), "rec", "left").select("rec", "n", "adf", (F.col("adf") < critical).alias("stationary"))
+            for r in batch.itertuples(index=False):
+                size = r.most + 3
+                found = dickey_fuller(np.asarray(r.gram, float).reshape(size, size), np.asarray(r.head, float), int(r.used)) if len(r.gram) == size * size else None
+                out.append((r.rec, *(found[:2] if found else (None, None)), p_of_dickey_fuller(found[1]) if found else None))
+            yield pd.DataFrame(out, columns=["rec", "lags", "adf", "p"]).astype({"lags": "Int64", "adf": "Float64", "p": "Float64"})
+
+    found = whole.join(used, "rec").join(heads, "rec").mapInPandas(solved, f"rec {kind}, lags long, adf double, p double")
+    return every.select("rec", "n").join(found, "rec", "left").withColumn("stationary", F.col("p") < 0.05)
+
+
+#: Values that the Shapiro-Wilk test sees at most.
+SHAPIRO_MOST = 5000
+
+
+def shapiro(samples: DataFrame) -> DataFrame:
+    """rec, n, used, w and p of the Shapiro-Wilk test of normality; null below three values and for constant ones.
+
+    Of more than SHAPIRO_MOST values, so many with the least hashes of their index are used: the sample depends on the index
+    alone, and what meets in a task is bounded.
+    """
+    kind, most = samples.schema["rec"].dataType.simpleString(), SHAPIRO_MOST
+    n = samples.groupBy("rec").agg(F.count("value").alias("n"))
+    draw = F.pmod(F.xxhash64("idx"), F.lit(1 << 30)) / float(1 << 30)
+    # Ten deviations more than are wanted, of which the least are kept.
+    some = samples.where("value IS NOT NULL").join(n, "rec").withColumn("draw", draw).where(F.col("draw") * F.col("n") < most + 10 * math.sqrt(most))
+    drawn = some.groupBy("rec").agg(F.slice(F.array_sort(F.collect_list(F.struct("draw", "idx", "value"))), 1, most).alias("x"))
+    drawn = drawn.select("rec", F.array_sort(F.transform("x", lambda v: v["value"])).alias("x"))
+
+    def tested(batches):
+        for batch in batches:
+            found = [shapiro_wilk(np.asarray(x, float)) or (None, None) for x in batch["x"]]
+            out = pd.DataFrame({"rec": batch["rec"], "used": [len(x) for x in batch["x"]], "w": [f[0] for f in found], "p": [f[1] for f in found]})
+            yield out.astype({"w": "Float64", "p": "Float64"})
+
+    return n.join(drawn.mapInPandas(tested, f"rec {kind}, used long, w double, p double"), "rec", "left").select("rec", "n", "used", "w", "p")
 
 
 def moments_by(df: DataFrame, group: str, value: str = "value") -> DataFrame:

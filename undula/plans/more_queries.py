@@ -323,6 +323,21 @@ def extract(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(features.extract(user_series(spark, folder), 64.0))
 
 
+@query()
+def normality_shapiro(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(statistics.shapiro(user_series(spark, folder)))
+
+
+@query()
+def normality_ks(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(statistics.ks_normal(user_series(spark, folder)))
+
+
+@query()
+def stationarity_adf(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(statistics.stationarity_adf(user_series(spark, folder)))
+
+
 @query()
 def change_points(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(events.change_points(user_series(spark, folder), least=5))
