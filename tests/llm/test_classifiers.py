@@ -1,5 +1,6 @@
 """Toxicity and language scores: held-out accuracy on drawn texts, odd inputs, whole texts."""
 
+import math
 import random
 
 import numpy as np
@@ -174,3 +175,30 @@ def test_many_languages_share_the_sample(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.train(docs, rows=1500, most_rows=200)
     assert 20 < len(model.languages) <= 40
+
+
+def test_network_against_plain_loops():
+    """Every window's filters place by place, their maxima, and the softmax of mean logits, without any array operation."""
+    net = language_id.ByteCNN(["x", "y", "z"], length=12, dim=3, widths=(2, 3), filters=2, seed=4)
+    net.offsets = {w: np.array([0.1, -0.2], np.float32) for w in net.widths}
+    net.bias[:] = 0.3, -0.1, 0.05
+    texts = ["a", "hello there, this is long enough", "é日本", "x" * 40, " "]
+
+    def logits(window):
+        pooled = []
+        for w in net.widths:
+            for f in range(net.filters):
+                most = -math.inf
+                for at in range(net.length - w + 1):
+                    most = max(most, sum(float(net.vectors[window[at + j], d]) * float(net.kernels[w][j * 3 + d, f]) for j in range(w) for d in range(3)))
+                pooled.append(max(most + float(net.offsets[w][f]), 0.0))
+        return [sum(p * float(net.weights[i, k]) for i, p in enumerate(pooled)) + float(net.bias[k]) for k in range(3)]
+
+    found, shares = net.predict(texts)
+    for text, name, share in zip(texts, found, shares, strict=True):
+        raw = text.encode()
+        cut = [list(raw[a : a + 12]) for a in range(0, len(raw), 12)]
+        every = [logits(c + [language_id.PAD] * (12 - len(c))) for c in cut]
+        mean = [sum(z[k] for z in every) / len(every) for k in range(3)]
+        top = max(range(3), key=mean.__getitem__)
+        assert name == net.languages[top] and share == pytest.approx(math.exp(mean[top]) / sum(map(math.exp, mean)), rel=1e-4)
