@@ -37,8 +37,10 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return rule, verdict
 
 
-def symbols(host: Column, path: Column) -> Column:
-    low = F.translate(F.concat(host, path), UPPER, LOWER)
+def symbols(url: Column) -> Column:
+    """What the models see of a URL: all that follows its first `://`, query and fragment too, or all of it if it has none."""
+    whole, at = F.coalesce(url, F.lit("")), F.instr(url, "://")
+    low = F.translate(F.when(at > 0, F.substr(whole, at + 3)).otherwise(whole), UPPER, LOWER)
     return F.concat(F.lit(START * 2), F.regexp_replace(low, "(?s)[^a-z0-9/._-]", OTHER), F.lit(END))
 
 
@@ -111,13 +113,14 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     `rules` are (allow or block, host and path); a rule fits its host and all subdomains whose path starts with the rule's,
     and the longest wins. URLs that no rule fits are judged by two character models, learned from the URLs that rules allow
     and block: allowed if the mean log ratio over the URL's characters reaches the threshold, which held-out URLs of the
-    same kind set. Null URLs, and those without `://`, have an empty host and path and are judged like others; without
-    blocked examples nothing is blocked but by rules. Equal rows come out as often as they went in; other columns are ignored.
+    same kind set. The models see the whole URL behind its `://`. Null URLs, and those without `://`, have an empty host and
+    path and are judged like others by what they hold; without blocked examples nothing is blocked but by rules. Equal rows
+    come out as often as they went in; URLs may be of any length; an empty table has no rows; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
     named = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
-    named = named.withColumns({"rule": rule, "said": said, "symbols": symbols(F.col("host"), F.col("path"))})
+    named = named.withColumns({"rule": rule, "said": said, "symbols": symbols(F.col("url"))})
     labelled = named.where("said IS NOT NULL").withColumn("accepted", (F.col("said") == "allow").cast("int"))
     held = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(HELD_OUT)) == 0
     ratios = F.broadcast(model(labelled.where(~held)))
