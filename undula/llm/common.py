@@ -110,8 +110,9 @@ def complete_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterato
         yield rest, np.array([0]), np.array([len(rest)])
 
 
-def broadcast_if_small(table: DataFrame, rows: int = 1_000_000, megabytes: int = 256) -> DataFrame:
-    """A written table, marked for broadcasting if its files have no more than so many megabytes and it no more than so many
-    rows; else as it is."""
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(table) if size <= megabytes << 20 and table.limit(rows + 1).count() <= rows else table
+def broadcast_if_small(table: DataFrame, rows: int = 1_000_000, megabytes: int | None = None) -> DataFrame:
+    """A table of a few numbers a row, marked for broadcasting if it has no more than so many rows; else as it is. For a written
+    table of longer rows `megabytes` bounds the size of its files, too."""
+    if megabytes is not None and int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > megabytes << 20:
+        return table
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table

@@ -74,7 +74,7 @@ def occurrences(docs: DataFrame, grams: DataFrame) -> DataFrame:
     found = None
     for n in sizes:
         own = grams.where(F.col("size") == n).select("gram", "list", hash_at("gram", F.lit(0), n).alias("hash"))
-        known = broadcast_if_small(own, MOST_BROADCAST)
+        known = broadcast_if_small(own, MOST_BROADCAST, 256)
         cut = _keyed(docs).select(*KEY, words(F.col("text")).alias("words"))
         # The words are a column of their own, so they are cut once a text and not once a window.
         starts = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n))
@@ -117,7 +117,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Data
     by_doc = hits.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("starts"), F.array_sort(F.collect_set("list")).alias("lists"))
     by_doc = written(by_doc, "hit-documents")
     kinds = by_doc.select("lists").distinct()
-    named = kinds.select("lists", F.explode("lists").alias("list")).join(broadcast_if_small(lists, 100_000), "list").select("lists", F.explode("items").alias("item")).distinct()
+    named = kinds.select("lists", F.explode("lists").alias("list")).join(broadcast_if_small(lists, 100_000, 256), "list").select("lists", F.explode("items").alias("item")).distinct()
     items = named.groupBy("lists").agg(F.array_sort(F.collect_set("item")).alias("items"))
     items = items.select("lists", "items", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
     return by_doc.join(items, "lists").drop("lists")
@@ -162,7 +162,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     a, b, spans, lead = (fresh_name(docs, c) for c in ("key_a", "key_b", "hit_spans", "lead"))
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumns({a: F.xxhash64(text), b: F.xxhash64(text, F.lit(1))}).alias("d")
-    named = broadcast_if_small(found.select(F.col("doc_id").alias("_id"), F.col("key_a").alias("_a"), F.col("key_b").alias("_b"), F.col("spans").alias("_spans")), 100_000).alias("f")
+    named = broadcast_if_small(found.select(F.col("doc_id").alias("_id"), F.col("key_a").alias("_a"), F.col("key_b").alias("_b"), F.col("spans").alias("_spans")), 100_000, 256).alias("f")
     same = F.col("d.doc_id").eqNullSafe(F.col("f._id")) & (F.col(f"d.{a}") == F.col("f._a")) & (F.col(f"d.{b}") == F.col("f._b"))
     both = keyed.join(named, same, "left").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("f._spans").alias(spans))
     places = F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["end"] - 1)))
