@@ -1,123 +1,138 @@
-"""Forecasts by autoregression and moving averages: every candidate model of every recording is fitted in a task of its own."""
+"""Forecasts by seasonal ARIMA models: every candidate of every recording is fitted in a task of its own, see functions/arima.py."""
 
 from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Candidates: lags, differences and past errors, with and without a constant.
-GRID = [(p, d, q, c) for p, d, q, c in itertools.product(range(4), range(2), range(3), (False, True)) if p + q > 0 or d or c]
-
-
-def fitted(x: np.ndarray, p: int, d: int, q: int, constant: bool) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """Coefficients (constant, lags, past errors), the differenced series' errors, and their variance, by two regressions: a long
-    autoregression gives the errors, the series' own lags and those errors the model. None where the series is too short."""
-    y = np.diff(x, n=d) if d else x
-    long = min(max(p, q) + 4, len(y) // 4) if q else 0
-    start = max(p, long + q if q else 0)
-    if len(y) - start < p + q + 3:
-        return None
-    e = np.zeros(len(y))
-    if q:
-        lagged = np.column_stack([np.ones(len(y) - long), *(y[long - k : len(y) - k] for k in range(1, long + 1))])
-        e[long:] = y[long:] - lagged @ np.linalg.lstsq(lagged, y[long:], rcond=None)[0]
-    columns = [np.ones(len(y) - start)] if constant else []
-    columns += [y[start - k : len(y) - k] for k in range(1, p + 1)] + [e[start - k : len(y) - k] for k in range(1, q + 1)]
-    if columns:
-        a = np.column_stack(columns)
-        b = np.linalg.lstsq(a, y[start:], rcond=None)[0]
-        left = y[start:] - a @ b
-    else:
-        b, left = np.empty(0), y[start:]
-    e[:start], e[start:] = 0, left
-    coefficients = np.r_[b if constant else np.r_[0.0, b]]
-    return coefficients, e, float(left @ left / max(1, len(left) - len(b)))
-
-
-def extended(x: np.ndarray, p: int, d: int, q: int, constant: bool, steps: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """The next `steps` values and their standard errors."""
-    model = fitted(x, p, d, q, constant)
-    if model is None:
-        return None
-    b, errors, variance = model
-    ar, ma = b[1 : 1 + p], b[1 + p :]
-    y = list(np.diff(x, n=d) if d else x)
-    e = list(errors)
-    for _ in range(steps):
-        y.append(b[0] + sum(ar[k] * y[-1 - k] for k in range(p)) + sum(ma[k] * e[-1 - k] for k in range(q)))
-        e.append(0.0)
-    ahead = np.array(y[-steps:])
-    weights = np.zeros(steps)
-    for k in range(steps):  # what an error does k steps on
-        weights[k] = 1.0 if k == 0 else (ma[k - 1] if k <= q else 0.0) + sum(ar[j] * weights[k - 1 - j] for j in range(min(p, k)))
-    if d:
-        ahead, weights = x[-1] + np.cumsum(ahead), np.cumsum(weights)
-    return ahead, np.sqrt(variance * np.cumsum(weights**2))
-
-
-def forecast(samples: DataFrame, steps: int, fs: float | None = None, order: tuple[int, int, int] | None = None, select: str = "cv", season: int | None = None, holdout: bool = False, history: int = 2000, level: float = 0.95) -> DataFrame:
+from undula.functions.arima import TRENDS, Shape, ahead, fitted
+
+#: Candidates (lags, differences, past errors) and trend terms: a level or a line, and with differences none or a drift.
+GRID = [((p, d, q), trend) for p, d, q in itertools.product(range(4), range(2), range(3)) if p + d + q > 0 for trend in (("n", "t") if d else ("c", "ct"))]
+FOLDS = 2
+#: A model whose forecast moves by so many ranges of its history has failed.
+DIVERGED = 10
+
+
+def shape_of(order: tuple[int, int, int], trend: str | None, season: int | None, seasonal_order: tuple[int, int, int]) -> Shape:
+    """The model's shape; without a trend given, a constant if nothing is differenced and no term otherwise."""
+    seasonal = seasonal_order if season else (0, 0, 0)
+    differences = order[1] + seasonal[1]
+    trend = trend or ("n" if differences else "c")
+    if trend not in TRENDS:
+        raise ValueError(f"a trend has to be one of {', '.join(TRENDS)}")
+    if differences and "c" in trend or differences > 1 and trend == "t":
+        raise ValueError("differences leave nothing of these trend terms")
+    if min(*order, *seasonal) < 0 or season is not None and season < 2:
+        raise ValueError("orders can't be negative, and a season has two samples or more")
+    return Shape(*order, *seasonal, season or 1, trend)
+
+
+def histories(samples: DataFrame, history: int, held: int = 0) -> DataFrame:
+    """rec, n (samples in all) and x, the last `history` values ahead of the `held` last ones, of recordings without gaps there."""
+    size = samples.groupBy("rec").agg((F.max("idx") + 1).alias("n"))
+    end = F.col("n") - held
+    known = samples.join(size, "rec").where((F.col("idx") < end) & (F.col("idx") >= end - history))
+    pairs = F.array_sort(F.collect_list(F.struct("idx", "value")))
+    return known.groupBy("rec", "n").agg(F.transform(pairs, lambda p: p["value"]).alias("x")).where(F.forall("x", lambda v: v.isNotNull()))
+
+
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """By tasks of a fixed number: the rows are small, but each is much work, which adaptive execution doesn't see."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def arima(samples: DataFrame, order: tuple[int, int, int], trend: str | None = None, season: int | None = None, seasonal_order: tuple[int, int, int] = (1, 0, 1), history: int = 2000) -> DataFrame:
+    """rec, n (samples seen), loglik, aic, variance, ar, ma, seasonal_ar, seasonal_ma and trend: the model of most exact likelihood
+    of each recording's last `history` samples. Parameters are those of forecast(). Recordings with gaps there, or too short for
+    the model, have no rows. A line's slope is told a sample.
+    """
+    shape = shape_of(order, trend, season, seasonal_order)
+    kind = samples.schema["rec"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                x = np.asarray(r.x, float)
+                if (m := fitted(x, shape)) is None:
+                    continue
+                ar, seasonal_ar, ma, seasonal_ma = shape.split(m.u)
+                slopes = [b / float(len(x)) ** k for b, k in zip(m.trend, TRENDS[shape.trend], strict=True)]
+                out.append((r.rec, len(x), m.loglik, m.aic, m.variance, ar, ma, seasonal_ar, seasonal_ma, slopes))
+            yield pd.DataFrame(out, columns=["rec", "n", "loglik", "aic", "variance", "ar", "ma", "seasonal_ar", "seasonal_ma", "trend"])
+
+    lists = ", ".join(f"{c} array<double>" for c in ("ar", "ma", "seasonal_ar", "seasonal_ma", "trend"))
+    return _spread(histories(samples, history), "rec").select("rec", "x").mapInPandas(run, f"rec {kind}, n long, loglik double, aic double, variance double, {lists}")
+
+
+def forecast(
+    samples: DataFrame, steps: int, fs: float | None = None, order: tuple[int, int, int] | None = None, select: str = "cv", season: int | None = None, holdout: bool = False, history: int = 2000, level: float = 0.95,
+    trend: str | None = None, seasonal_order: tuple[int, int, int] = (1, 0, 1),
+) -> DataFrame:
     """rec, step, time, forecast, lower, upper, actual and model of the next `steps` values of each recording, or, with `holdout`,
     of its last ones, which the models don't see.
 
-    Without an `order` (lags, differences, past errors) each of GRID is tried: `cv` takes the one whose forecasts from two
-    earlier points miss by least on average, `aic` the one of least information criterion. A forecast further out than ten
-    times the history's range counts as failed, and the next model takes its place. `season` is taken off as each place's
-    mean and put back. Models see the last `history` samples, which bounds a task's work; recordings with gaps there, or too
-    short for any model, have no rows.
+    A model has an `order` (lags, differences, past errors), for a `season` of so many samples a `seasonal_order` of the same
+    kind, and a `trend`: n, c, t or ct, for no term, a constant, a line through 0 or both, of the series before differences, so that t
+    with one difference is a drift. Without an order each of GRID is tried, with the trend's terms if one is given: `cv` takes the one
+    whose forecasts from two earlier points miss by least on average, `aic` the one of least information criterion. A forecast
+    further away than ten times the history's range counts as failed, and the next model takes its place. Models are fitted to
+    the last `history` samples, which bounds a task's work; recordings with gaps there, or too short for any model, have no rows.
     """
     if select not in ("cv", "aic"):
         raise ValueError("select has to be cv or aic")
+    if steps < 1:
+        raise ValueError("there has to be a step")
     kind = samples.schema["rec"].dataType.simpleString()
-    size = samples.groupBy("rec").agg((F.max("idx") + 1).alias("n"))
-    ahead = F.lit(steps if holdout else 0)
-    known = samples.join(size, "rec").where((F.col("idx") < F.col("n") - ahead) & (F.col("idx") >= F.col("n") - ahead - history))
-    pairs = F.array_sort(F.collect_list(F.struct("idx", "value")))
-    rows = known.groupBy("rec", "n").agg(F.transform(pairs, lambda p: p["value"]).alias("x")).where(F.forall("x", lambda v: v.isNotNull()))
-    models = [(*order, True)] if order else GRID
-    tried = rows.withColumn("model", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(d).alias("d"), F.lit(q).alias("q"), F.lit(c).alias("c")) for p, d, q, c in models))))
-    tried = tried.repartition("rec", "model")
-
-    def seasonless(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not season or len(x) < 2 * season:
-            return x, np.zeros(1)
-        place = np.arange(len(x)) % season
-        means = np.bincount(place, x) / np.bincount(place)
-        return x - (means - means.mean())[place], means - means.mean()
-
-    def judged(batches):
+    if order:
+        shapes = [shape_of(order, trend, season, seasonal_order)]
+    else:
+        seasonal_differences = seasonal_order[1] if season else 0
+        fits = lambda o, t: not (o[1] + seasonal_differences and "c" in t or o[1] + seasonal_differences > 1 and t == "t")
+        shapes = [shape_of(o, t, season, seasonal_order) for o, t in GRID if fits(o, t) and trend in (None, t)]
+        if not shapes:
+            raise ValueError("no candidate has these trend terms")
+    rows = histories(samples, history, steps if holdout else 0)
+    tried = _spread(rows.withColumn("at", F.explode(F.array(*map(F.lit, range(len(shapes)))))), "rec", "at")
+
+    def score(x: np.ndarray, shape: Shape, model) -> float | None:
+        if len(shapes) == 1:
+            return 0.0
+        if select == "aic":
+            return model.aic
+        h, missed = max(1, min(steps, len(x) // (3 * FOLDS))), []
+        for cut in range(len(x) - FOLDS * h, len(x), h):
+            if (own := fitted(x[:cut], shape, model.u)) is None:
+                return None
+            missed.append(np.abs(ahead(x[:cut], own, h)[0] - x[cut : cut + h]).mean())
+        return float(np.mean(missed))
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                x, off = seasonless(np.asarray(r.x, float))
-                m = (r.model["p"], r.model["d"], r.model["q"], r.model["c"])
-                made = extended(x, *m, steps)
-                if made is None or np.abs(made[0] - x.mean()).max() > 10 * (np.ptp(x) or 1.0):
+                x, shape = np.asarray(r.x, float), shapes[r.at]
+                if (model := fitted(x, shape)) is None:
+                    continue
+                made = ahead(x, model, steps)
+                if not np.abs(made[0] - x[-1]).max() <= DIVERGED * (np.ptp(x) or 1.0) or (s := score(x, shape, model)) is None:
                     continue
-                if len(models) == 1:
-                    score = 0.0
-                elif select == "aic":
-                    _, e, variance = fitted(x, *m)
-                    score = len(e) * math.log(max(variance, 1e-300)) + 2 * (m[0] + m[2] + m[3] + 1)
-                else:
-                    h = max(1, min(steps, len(x) // 5))
-                    folds = [extended(x[: len(x) - k * h], *m, h) for k in (1, 2)]
-                    if any(f is None for f in folds):
-                        continue
-                    score = float(np.mean([np.abs(f[0] - x[len(x) - k * h : len(x) - (k - 1) * h or None]).mean() for k, f in zip((1, 2), folds, strict=True)]))
-                back = off[(np.arange(len(x), len(x) + steps)) % len(off)]
-                out.append((r.rec, r.n, score, str(m[:3]), (made[0] + back).tolist(), made[1].tolist()))
-            yield pd.DataFrame(out, columns=["rec", "n", "score", "model", "forecast", "error"])
-
-    found = tried.mapInPandas(judged, f"rec {kind}, n long, score double, model string, forecast array<double>, error array<double>")
-    best = found.groupBy("rec", "n").agg(F.min(F.struct("score", "model", "forecast", "error")).alias("b"))
+                seasonal = f" x ({shape.sp}, {shape.sd}, {shape.sq}, {shape.season})" if season else ""
+                out.append((r.rec, r.n, s, r.at, f"({shape.p}, {shape.d}, {shape.q}){seasonal} {shape.trend}", *made))
+            yield pd.DataFrame(out, columns=["rec", "n", "score", "at", "model", "forecast", "error"])
+
+    found = tried.mapInPandas(judged, f"rec {kind}, n long, score double, at int, model string, forecast array<double>, error array<double>")
+    best = found.groupBy("rec", "n").agg(F.min(F.struct("score", "at", "model", "forecast", "error")).alias("b"))
     each = best.select("rec", "n", "b.model", F.posexplode(F.arrays_zip("b.forecast", "b.error")).alias("at", "f"))
     z = _quantile((1 + level) / 2)
-    idx = F.col("n") - ahead + F.col("at")
+    idx = F.col("n") - (steps if holdout else 0) + F.col("at")
     out = each.select("rec", (F.col("at") + 1).alias("step"), idx.alias("idx"), F.col("f.forecast").alias("forecast"), (F.col("f.forecast") - z * F.col("f.error")).alias("lower"), (F.col("f.forecast") + z * F.col("f.error")).alias("upper"), "model")
     out = out.join(samples.select("rec", "idx", F.col("value").alias("actual")), ["rec", "idx"], "left")
     return out.select("rec", "step", (F.col("idx") / (fs or 1.0)).alias("time"), "forecast", "lower", "upper", "actual", "model")

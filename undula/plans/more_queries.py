@@ -12,7 +12,7 @@ from undula.plans.pipeline import Pipeline, Signals
 from undula.plans.queries import GAPPY, SPIKY, TD, TIME, TYPES, USER, VECTORS, query, rounded
 from undula.plans.queries import _r as r6
 from undula.sources import export
-from undula.sources.tables import gappy, hourly_by_type, spiky, user_series, vectors
+from undula.sources.tables import daily_orders, gappy, hourly_by_type, spiky, user_series, vectors
 
 #: Hourly channels without their gaps, and with gaps of their own.
 HOLES = f"{TYPES}, h2 AS (SELECT rec, idx, CASE WHEN (idx + length(rec)) % 5 <> 0 THEN coalesce(value, 0) END AS value FROM c)"
@@ -351,3 +351,13 @@ def anomaly_windows(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def forecast_holdout(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(forecast.forecast(user_series(spark, folder), 5, order=(1, 0, 1), holdout=True))
+
+
+@query()
+def forecast_seasonal(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(forecast.forecast(daily_orders(spark, folder), 28, order=(1, 0, 1), season=7, holdout=True))
+
+
+@query()
+def arima_models(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(forecast.arima(user_series(spark, folder), (1, 0, 1)).select("rec", "n", "loglik", "aic", "variance", F.col("ar")[0].alias("ar1"), F.col("ma")[0].alias("ma1"), F.col("trend")[0].alias("level")))

@@ -36,6 +36,12 @@ def hourly_by_type(spark: SparkSession, folder: str) -> DataFrame:
     return grid.join(means, ["rec", "hour"], "left").select("rec", (F.col("hour") - F.col("h0")).alias("idx"), "value")
 
 
+def daily_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The mean price of each priority's orders on each day that has some."""
+    days = table(spark, folder, "orders").groupBy(F.col("o_orderpriority").alias("rec"), F.col("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("value"))
+    return from_rows(days, "rec", ["day"], "value", F.col("day"))
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Each embedding as a recording of its components."""
     return from_arrays(table(spark, folder, "embeddings"), "vec_id", "embedding")
