@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.core import to_arrays
+from undula.core import long_recordings, stored, to_arrays
 from undula.functions.signal import MOTHER_POINTS, MOTHERS, WINDOWS, analytic, one_sided
+from undula.operators.fourier import long_fft, long_hilbert
 
 
 def segments(samples: DataFrame, nperseg: int, overlap: float = 0.5) -> DataFrame:
@@ -35,6 +36,17 @@ def whole(samples: DataFrame) -> DataFrame:
     return to_arrays(samples).where(F.forall("values", lambda v: v.isNotNull()))
 
 
+def _by_length(samples: DataFrame, short: Callable[[DataFrame], DataFrame], long: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Recordings of up to core.LONG samples by `short`, those of more without gaps by `long`, which gets their lengths, too."""
+    many = long_recordings(samples)
+    if many is None:
+        return short(samples)
+    samples = stored(samples)
+    own = samples.join(many, "rec", "left_semi")
+    lengths = stored(own.groupBy("rec").agg(F.count("*").alias("n"), F.count("value").alias("present")).where("n = present").drop("present"))
+    return short(samples.join(many, "rec", "left_anti")).unionByName(long(own, lengths))
+
+
 def _by_batch(rows: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """Each row's `values` replaced by arrays that `f` makes of all rows of a batch with the same length."""
     keys = [c for c in rows.columns if c != "values"]
@@ -50,7 +62,11 @@ def _by_batch(rows: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray]],
 
 
 def fft(samples: DataFrame, fs: float = 1.0, window: str = "hann") -> DataFrame:
-    """rec, bin, freq, magnitude (the amplitude of a sine), phase and power of whole recordings."""
+    """rec, bin, freq, magnitude (the amplitude of a sine), phase and power of whole recordings, of any length: see fourier.py."""
+    return _by_length(samples, lambda s: _short_fft(s, fs, window), lambda s, lengths: long_fft(s, lengths, fs, window))
+
+
+def _short_fft(samples: DataFrame, fs: float, window: str) -> DataFrame:
 
     def spectrum(x: np.ndarray) -> dict[str, np.ndarray]:
         w = WINDOWS[window](x.shape[1])
@@ -155,7 +171,11 @@ def spectrogram_db(transform: DataFrame) -> DataFrame:
 
 
 def hilbert(samples: DataFrame, fs: float = 1.0) -> DataFrame:
-    """rec, idx, envelope, phase (unwrapped) and frequency of whole recordings."""
+    """rec, idx, envelope, phase (unwrapped) and frequency of whole recordings, of any length: see fourier.py."""
+    return _by_length(samples, lambda s: _short_hilbert(s, fs), lambda s, lengths: long_hilbert(s, lengths, fs))
+
+
+def _short_hilbert(samples: DataFrame, fs: float) -> DataFrame:
 
     def run(x: np.ndarray) -> dict[str, np.ndarray]:
         z = analytic(x)
