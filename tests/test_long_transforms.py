@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from undula import core
 from undula.core import from_arrays
-from undula.operators import fourier, spectral
+from undula.functions.signal import wavelet_kernel
+from undula.operators import fourier, long_wavelet, spectral
 
 
 def recordings(spark, **values):
@@ -74,3 +75,30 @@ def test_a_long_tone(spark):
     s = spark.range(n).select(F.lit("a").alias("rec"), F.col("id").alias("idx"), F.sin(F.col("id") * (2 * np.pi * 1000 / n)).alias("value"))
     top = spectral.fft(s, 1.0, "boxcar").orderBy(F.desc("magnitude")).limit(2).collect()
     assert top[0].bin == 1000 and top[0].magnitude == pytest.approx(1, abs=1e-9) and top[1].magnitude < 1e-8
+
+
+@pytest.mark.parametrize("name", ["cmor1.5-1.0", "cmor2.5-0.5", "mexh", "gaus1", "morl"])
+def test_wavelets_are_those_of_one_task(spark, monkeypatch, name):
+    monkeypatch.setattr(long_wavelet, "LEAST", 16)
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=230)
+    s = recordings(spark, a=x, b=draw.normal(size=131), c=draw.normal(size=20)).cache()
+    freqs = [0.3, 1.0, 2.5, 7.0]  # from wavelets of several recordings' length to one of a few samples
+    keyed = lambda df: {(r.rec, r.freq, r.idx): (r.re, r.im, r.magnitude) for r in df.collect()}
+    want = keyed(spectral.wavelet(s, freqs, 20.0, name))
+    monkeypatch.setattr(core, "LONG", 64)
+    got = keyed(spectral.wavelet(s, freqs, 20.0, name))
+    assert set(got) == set(want) and len(want) == 4 * 381 and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+    # By plain sums of the integral times the samples' steps.
+    root, kernel = wavelet_kernel(name, 2.5, 20.0)
+    back = (len(kernel) - 2) // 2 + 1
+    step = np.diff(np.r_[0, x, 0])
+    for i in (0, 5, 100, 229):
+        c = -root * sum(kernel[k] * step[i + back - k] for k in range(len(kernel)) if 0 <= i + back - k <= 230)
+        assert got["a", 2.5, i][:2] == pytest.approx((c.real, c.imag), abs=1e-9)
+
+
+def test_unknown_wavelets(spark):
+    for name, freqs in (("haar", [1.0]), ("cmor0-1", [1.0]), ("mexh", []), ("mexh", [0.0])):
+        with pytest.raises(ValueError):
+            spectral.wavelet(recordings(spark, a=[1.0, 2.0]), freqs, 1.0, name)

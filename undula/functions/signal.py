@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 
@@ -22,9 +24,35 @@ WINDOWS = {
 MOTHERS = {
     "cmor1.5-1.0": (lambda t: np.exp(2j * np.pi * t - t * t / 1.5) / np.sqrt(1.5 * np.pi), 8.0, 1.0),
     "mexh": (lambda t: 2 / (np.sqrt(3) * np.pi**0.25) * (1 - t * t) * np.exp(-t * t / 2), 8.0, 0.25),
+    "morl": (lambda t: np.exp(-t * t / 2) * np.cos(5 * t), 8.0, 0.8125),
     "gaus1": (lambda t: -2 * t * np.exp(-t * t) / (np.pi / 2) ** 0.25, 5.0, 0.2),
 }
 MOTHER_POINTS = 1 << 12
+#: Complex Morlet wavelets of any bandwidth and centre frequency.
+MORLET = re.compile(r"cmor(\d+(?:\.\d+)?)-(\d+(?:\.\d+)?)")
+
+
+def mother(name: str):
+    """A mother wavelet by its name, one of MOTHERS or cmor<bandwidth>-<centre>."""
+    if name in MOTHERS:
+        return MOTHERS[name]
+    found = MORLET.fullmatch(name)
+    if not found or not float(found[1]) or not float(found[2]):
+        raise ValueError(f"unknown wavelet {name}: there are {', '.join(MOTHERS)} and cmor<bandwidth>-<centre>")
+    width, centre = float(found[1]), float(found[2])
+    return lambda t: np.exp(2j * np.pi * centre * t - t * t / width) / np.sqrt(width * np.pi), 8.0, centre
+
+
+def wavelet_kernel(name: str, freq: float, fs: float) -> tuple[float, np.ndarray]:
+    """The root of the scale, and the wavelet's integral stretched to it, backwards."""
+    psi, span, centre = mother(name)
+    at = np.linspace(-span, span, MOTHER_POINTS)
+    total = np.cumsum(psi(at)) * (at[1] - at[0])
+    if np.iscomplexobj(total):
+        total = total.conj()
+    scale = centre * fs / freq
+    places = (np.arange(scale * 2 * span + 1) / (scale * (at[1] - at[0]))).astype(int)
+    return float(np.sqrt(scale)), total[places[places < len(total)]][::-1]
 
 
 def one_sided(n: int) -> np.ndarray:

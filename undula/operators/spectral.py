@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.core import long_recordings, stored, to_arrays
-from undula.functions.signal import MOTHER_POINTS, MOTHERS, WINDOWS, analytic, one_sided
+from undula.functions.signal import WINDOWS, analytic, mother, one_sided, wavelet_kernel
 from undula.operators.fourier import long_fft, long_hilbert
+from undula.operators.long_wavelet import long_wavelet
 
 
 def segments(samples: DataFrame, nperseg: int, overlap: float = 0.5) -> DataFrame:
@@ -200,31 +201,31 @@ def scale_frequencies(fs: float, n: int, n_scales: int = 64, low: float | None =
 
 
 def wavelet(samples: DataFrame, freqs: list[float], fs: float = 1.0, name: str = "cmor1.5-1.0") -> DataFrame:
-    """rec, freq, idx, re, im and magnitude of the continuous wavelet transform with cmor1.5-1.0, mexh or gaus1.
+    """rec, freq, idx, re, im and magnitude of the continuous wavelet transform with cmor<bandwidth>-<centre>, morl, mexh or gaus1.
 
     The coefficient at a scale is the difference of the samples' correlation with the wavelet's integral, stretched to the
-    scale, times the root of the scale; the integral is tabulated at MOTHER_POINTS points. Recordings have to fit a task.
+    scale, times the root of the scale; the integral is tabulated at MOTHER_POINTS points. Recordings may have any length: see
+    long_wavelet.py.
     """
-    mother, span, centre = MOTHERS[name]
-    at = np.linspace(-span, span, MOTHER_POINTS)
-    psi = mother(at)
-    total = np.cumsum(psi) * (at[1] - at[0])
-    if np.iscomplexobj(total):
-        total = total.conj()
+    mother(name)
+    if not freqs or min(freqs) <= 0:
+        raise ValueError("there have to be frequencies above 0")
+    return _by_length(samples, lambda s: _short_wavelet(s, freqs, fs, name), lambda s, lengths: long_wavelet(s, lengths, freqs, fs, name))
+
+
+def _short_wavelet(samples: DataFrame, freqs: list[float], fs: float, name: str) -> DataFrame:
+    kernels = [wavelet_kernel(name, f, fs) for f in freqs]
 
     def run(x: np.ndarray) -> dict[str, np.ndarray]:
         n, rows = x.shape[1], []
-        for f in freqs:
-            scale = centre * fs / f
-            places = (np.arange(scale * 2 * span + 1) / (scale * (at[1] - at[0]))).astype(int)
-            kernel = total[places[places < len(total)]][::-1]
+        for root, kernel in kernels:
             size = 1 << int(n + len(kernel) - 1).bit_length()
             both = np.fft.ifft(np.fft.fft(x, size) * np.fft.fft(kernel, size))[:, : n + len(kernel) - 1]
-            coefficients = -np.sqrt(scale) * np.diff(both, axis=1)
+            coefficients = -root * np.diff(both, axis=1)
             spare = (coefficients.shape[1] - n) / 2
             rows.append(coefficients[:, int(np.floor(spare)) : coefficients.shape[1] - int(np.ceil(spare))] if spare > 0 else np.pad(coefficients, ((0, 0), (0, n - coefficients.shape[1]))))
         z = np.stack(rows, 1).reshape(len(x), -1)
-        return {"re": z.real, "im": z.imag if np.iscomplexobj(total) else np.zeros_like(z.real), "n": np.full(len(x), n)}
+        return {"re": z.real, "im": z.imag if np.iscomplexobj(kernels[0][1]) else np.zeros_like(z.real), "n": np.full(len(x), n)}
 
     made = _by_batch(whole(samples), run, "re array<double>, im array<double>, n long")
     each = made.select("rec", "n", F.posexplode(F.arrays_zip("re", "im")).alias("k", "z"))

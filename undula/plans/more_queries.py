@@ -361,3 +361,9 @@ def forecast_seasonal(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def arima_models(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(forecast.arima(user_series(spark, folder), (1, 0, 1)).select("rec", "n", "loglik", "aic", "variance", F.col("ar")[0].alias("ar1"), F.col("ma")[0].alias("ma1"), F.col("trend")[0].alias("level")))
+
+
+@query()
+def wavelet_power(spark: SparkSession, folder: str) -> DataFrame:
+    found = spectral.wavelet(user_series(spark, folder), [2.0, 8.0, 24.0], 64.0)
+    return rounded(found.groupBy("rec", "freq").agg(F.avg(F.col("magnitude") * F.col("magnitude")).alias("power")))
