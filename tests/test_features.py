@@ -1,5 +1,7 @@
 """Features against NumPy."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -56,3 +58,28 @@ def test_sums_over_chunks(spark, monkeypatch):
     x = np.random.default_rng(8).normal(size=40)
     rows = features.summed_up(recordings(spark, a=x, b=2 * x), "value").orderBy("rec", "idx").collect()
     assert [r.value for r in rows] == pytest.approx([*np.cumsum(x), *np.cumsum(2 * x)])
+
+
+@pytest.mark.parametrize(("order", "delay"), [(2, 1), (3, 1), (3, 4), (4, 2), (5, 1)])
+def test_permutation_entropy_of_any_order(spark, order, delay):
+    x = np.random.default_rng(order * 10 + delay).integers(0, 6, 200).astype(float)  # with ties
+    got = features.permutation_entropy(recordings(spark, a=x, short=[1.0]), order, delay).collect()
+    seen = Counter(tuple(np.argsort(x[i : i + (order - 1) * delay + 1 : delay], kind="stable")) for i in range(200 - (order - 1) * delay))
+    p = np.array(list(seen.values())) / sum(seen.values())
+    assert [r.rec for r in got] == ["a"] and got[0].perm_entropy == pytest.approx(-(p @ np.log(p)) / np.log(float(np.prod(range(1, order + 1)))))
+    for bad in ((1, 1), (3, 0)):
+        with pytest.raises(ValueError):
+            features.permutation_entropy(recordings(spark, a=x), *bad)
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 3])
+def test_fluctuations_off_polynomials(spark, order):
+    x = np.random.default_rng(order).normal(size=300)
+    scales = [8, 13, 25, 60]
+    y, logs = np.cumsum(x - x.mean()), []
+    for s in scales:
+        left = [np.mean((seg - np.polyval(np.polyfit(np.arange(s), seg, order), np.arange(s))) ** 2) for seg in y[: 300 // s * s].reshape(-1, s)]
+        logs.append(np.log(np.sqrt(np.mean(left))))
+    assert features.dfa_alpha(recordings(spark, a=x), scales, order=order).first().dfa_alpha == pytest.approx(np.polyfit(np.log(scales), logs, 1)[0], abs=1e-8)
+    with pytest.raises(ValueError):
+        features.dfa_alpha(recordings(spark, a=x), [order + 1, 20], order=order)

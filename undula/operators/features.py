@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -55,13 +57,18 @@ def windowed_time_domain(samples: DataFrame, win: int, hop: int | None = None, f
     return out.select("rec", "w", (start / fs).alias("t_start"), ((start + win) / fs).alias("t_end"), *[c for c in out.columns if c.startswith("td_")])
 
 
-def permutation_entropy(samples: DataFrame) -> DataFrame:
-    """Order 3, delay 1, equal values in their order of time; in units of the largest possible."""
-    s = shifted(samples, b=1, c=2).where("value IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL")
-    pattern = F.concat((F.col("value") <= F.col("b")).cast("int"), (F.col("value") <= F.col("c")).cast("int"), (F.col("b") <= F.col("c")).cast("int"))
-    n = s.groupBy("rec", pattern.alias("pattern")).agg(F.count("*").alias("n"))
+def permutation_entropy(samples: DataFrame, order: int = 3, delay: int = 1) -> DataFrame:
+    """The entropy of the orders of `order` values, `delay` apart, equal values in their order of time; in units of the largest possible."""
+    if order < 2 or delay < 1:
+        raise ValueError("an order has two values or more, and a delay is a sample or more")
+    names = [f"_v{k}" for k in range(1, order)]
+    s = shifted(samples, **{name: k * delay for k, name in enumerate(names, 1)})
+    values = [F.col(c) for c in ("value", *names)]
+    # Which of each pair comes first tells the order.
+    pattern = F.concat(*((values[a] <= values[b]).cast("int") for a in range(order) for b in range(a + 1, order)))
+    n = s.where(reduce(and_, (v.isNotNull() for v in values))).groupBy("rec", pattern.alias("pattern")).agg(F.count("*").alias("n"))
     p = n.join(n.groupBy("rec").agg(F.sum("n").alias("all")), "rec").withColumn("p", F.col("n") / F.col("all"))
-    return p.groupBy("rec").agg((-F.sum(F.col("p") * F.log("p")) / math.log(6) + 0.0).alias("perm_entropy"))
+    return p.groupBy("rec").agg((-F.sum(F.col("p") * F.log("p")) / math.log(math.factorial(order)) + 0.0).alias("perm_entropy"))
 
 
 def higuchi_fd(samples: DataFrame, kmax: int = 10) -> DataFrame:
@@ -87,13 +94,29 @@ def summed_up(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, within).join(base, ["rec", "chunk"]).withColumn(name, F.coalesce(F.col("base") + F.col(name), "base", name)).drop("base", "chunk")
 
 
-def dfa_alpha(samples: DataFrame, scales: list[int] | None = None, steps: int = 12) -> DataFrame:
-    """The slope of log fluctuation on log scale of the summed-up deviations from the mean, lines taken off each segment.
+def _left_of(cut: DataFrame, x: Column, order: int) -> DataFrame:
+    """rec, scale and the mean squares that polynomials of the order leave of each segment: what the orthogonal ones on equal steps
+    account for, each from the two before it, is taken off."""
+    at, size = x - (F.col("scale") - 1) / 2, F.col("scale").cast("double")
+    terms = [F.lit(1.0), at]
+    for k in range(1, order):
+        terms.append(at * terms[k] - k * k * (size * size - k * k) / (4.0 * (4 * k * k - 1)) * terms[k - 1])
+    sums = [F.sum(F.col("y") * t).alias(f"y{k}") for k, t in enumerate(terms[: order + 1])] + [F.sum(t * t).alias(f"q{k}") for k, t in enumerate(terms[: order + 1])]
+    fits = cut.groupBy("rec", "scale", "seg").agg(F.sum(F.col("y") * F.col("y")).alias("yy"), *sums)
+    told = sum(F.col(f"y{k}") * F.col(f"y{k}") / F.col(f"q{k}") for k in range(order + 1))
+    return fits.select("rec", "scale", (F.greatest(F.col("yy") - told, F.lit(0.0)) / F.col("scale")).alias("left"))
+
+
+def dfa_alpha(samples: DataFrame, scales: list[int] | None = None, steps: int = 12, order: int = 1) -> DataFrame:
+    """The slope of log fluctuation on log scale of the summed-up deviations from the mean, lines, or
+    polynomials of another `order`, taken off each segment. Scales of no more than order + 1 samples can't be given.
 
     Each recording has scales of its own, `steps` of them in equal ratios from 8 to a quarter of its length n, rounded down,
     each once; below 32 samples or three scales, or where a fluctuation is 0, it has no exponent. Given `scales` are used
     for all recordings alike, at any length.
     """
+    if order < 0 or min(scales or [8]) <= order + 1:
+        raise ValueError("a scale needs more samples than its polynomial has coefficients")
     means = samples.groupBy("rec").agg(F.avg("value").alias("mean"), (F.max("idx") + 1).alias("n"), (F.min("value") < F.max("value")).alias("varies"))
     if scales is None:
         longest = F.floor(F.col("n") / 4)
@@ -106,9 +129,13 @@ def dfa_alpha(samples: DataFrame, scales: list[int] | None = None, steps: int =
     y = summed_up(samples.join(means.where("scales IS NOT NULL"), "rec").select("rec", "idx", "n", "scales", (F.col("value") - F.col("mean")).alias("y")), "y")
     cut = y.withColumn("scale", F.explode("scales")).drop("scales").withColumn("seg", F.floor(F.col("idx") / F.col("scale"))).where((F.col("seg") + 1) * F.col("scale") <= F.col("n"))
     x = F.col("idx") - F.col("seg") * F.col("scale")
-    fits = cut.groupBy("rec", "scale", "seg").agg(F.regr_sxx("y", x).alias("sxx"), F.regr_syy("y", x).alias("syy"), F.regr_sxy("y", x).alias("sxy"))
-    left = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0)) / F.col("scale")
-    f = fits.groupBy("rec", "scale").agg(F.sqrt(F.avg(left)).alias("f"))
+    if order == 1:
+        lines = cut.groupBy("rec", "scale", "seg").agg(F.regr_sxx("y", x).alias("sxx"), F.regr_syy("y", x).alias("syy"), F.regr_sxy("y", x).alias("sxy"))
+        left = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0)) / F.col("scale")
+        fits = lines.select("rec", "scale", left.alias("left"))
+    else:
+        fits = _left_of(cut, x, order)
+    f = fits.groupBy("rec", "scale").agg(F.sqrt(F.avg("left")).alias("f"))
     slope = F.regr_slope(F.log("f"), F.log("scale"))
     if scales is not None:
         return f.where("f > 0").groupBy("rec").agg(slope.alias("dfa_alpha"))
