@@ -256,6 +256,13 @@ def test_an_odd_window_scores_highest(spark):
     assert len(rows) == 40 and best.t_start == 2000 and best.anomaly and all(0 < r.score < 1 for r in rows)
 
 
+def test_cuts_between_neighbouring_numbers():
+    x = np.array([[1.0], [np.nextafter(1.0, 2.0)]])
+    for seed in range(20):  # a draw between the two is rounded to either
+        nodes = events._tree(x, np.random.default_rng(seed), 8)
+        assert [n[0] for n in nodes] == [0, -1, -1] and nodes[0][1] == 1.0
+
+
 def test_features_of_windows_and_recordings(spark):
     t = np.arange(2000) / 100
     x = np.sin(2 * np.pi * 5 * t)

@@ -112,7 +112,8 @@ def _tree(x: np.ndarray, draw: np.random.Generator, most: int) -> list[tuple[int
             nodes.append((-1, 0.0, -1, -1, float(depth + _average_depth(len(rows)))))
             continue
         c = int(draw.choice(wide))
-        at = float(draw.uniform(low[c], high[c]))
+        # Below the highest value, where the draw may be rounded to, so that both sides have rows.
+        at = min(float(draw.uniform(low[c], high[c])), float(np.nextafter(high[c], low[c])))
         nodes.append((c, at, -1, -1, 0.0))
         left = x[rows, c] <= at
         todo += [(rows[~left], depth + 1, place, 1), (rows[left], depth + 1, place, 0)]
