@@ -1,5 +1,6 @@
 """Features against NumPy."""
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -28,6 +29,12 @@ def test_missed_and_extra_beats_are_left_out(spark, monkeypatch, chunk):
     assert got["few"].hrv_artifact_pct == 0 and got["five"].hrv_artifact_pct == pytest.approx(20)
 
 
+def test_ratio_of_points_on_a_line(spark):
+    """As floating point, and so the SQL, has it: the spread along the line is 0."""
+    got = {r.rec: r.hrv_sd_ratio for r in features.hrv_time(recordings(spark, line=[800, 900, 800], even=[800] * 6, both=[800, 900, 810, 790]), rel=None).collect()}
+    assert got["line"] == math.inf and math.isnan(got["even"]) and 0 < got["both"] < math.inf
+
+
 def fluctuation_exponent(x):
     n, y = len(x), np.cumsum(x - np.mean(x))
     scales = np.unique(np.floor(8 * (n // 4 / 8) ** (np.arange(12) / 11) + 1e-9).astype(int))

@@ -30,8 +30,7 @@ def time_domain(samples: DataFrame) -> DataFrame:
 def _time_domain(s: DataFrame, samples: DataFrame, key: list[str]) -> DataFrame:
     v, d1 = F.col("value"), F.col("value") - F.col("prev")
     d2 = d1 - (F.col("prev") - F.col("prev2"))
-    means = samples.groupBy(*key).agg(F.avg("value").alias("mean"))
-    s = s.join(means, key)
+    s = s.join(samples.groupBy(*key).agg(F.avg("value").alias("mean")), key)
     cross = ((v - F.col("mean") < 0) != (F.col("prev") - F.col("mean") < 0)).cast("int")
     a = s.groupBy(*key).agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.var_samp("value").alias("variance"), F.var_pop("value").alias("v0"),
@@ -234,7 +233,9 @@ def hrv_time(rr: DataFrame, rel: float | None = 0.3, window: int = 11) -> DataFr
     )
     out = beats.join(a, "rec", "left").join(bins, "rec", "left")
     artefact = F.try_divide(100 * (F.col("raw") - F.coalesce("used", F.lit(0))), "raw")
-    return out.withColumns({"hrv_sd_ratio": F.try_divide("hrv_sd1", "hrv_sd2"), "hrv_artifact_pct": artefact}).drop("raw", "used")
+    # By the rules of floating point, as in the SQL: infinite, or no number, where all points lie on a line.
+    ratio = F.when(F.col("hrv_sd2") != 0, F.try_divide("hrv_sd1", "hrv_sd2")).when(F.col("hrv_sd2") == 0, F.when(F.col("hrv_sd1") > 0, math.inf).when(F.col("hrv_sd1") == 0, math.nan))
+    return out.withColumns({"hrv_sd_ratio": ratio, "hrv_artifact_pct": artefact}).drop("raw", "used")
 
 
 #: The sixteen measures of hrv(), in their order.
