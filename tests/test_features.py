@@ -8,7 +8,7 @@ import pytest
 
 from undula import core
 from undula.core import from_arrays
-from undula.operators import features
+from undula.operators import features, statistics
 
 
 def recordings(spark, **values):
@@ -35,6 +35,27 @@ def test_ratio_of_points_on_a_line(spark):
     assert got["line"] == math.inf and math.isnan(got["even"]) and 0 < got["both"] < math.inf
 
 
+@pytest.mark.parametrize("chunk", [16, 1 << 16])
+def test_values_that_equal_the_mean(spark, monkeypatch, chunk):
+    """Which side of the mean they lie on hangs on the order of the sum, which is the values'."""
+    monkeypatch.setattr(core, "CHUNK", chunk)
+    draw = np.random.default_rng(1)
+    series, want = {}, {}
+    while len(series) < 8:
+        x = np.round(draw.exponential(50, 16), 2)
+        x[5] = np.round((x.sum() - x[5]) / 15, 2)
+        forth, back = (np.cumsum(v)[-1] / 16 for v in (x, x[::-1]))
+        low = x < forth
+        if (x[5] < forth) != (x[5] < back):
+            series[str(len(series))] = x
+            want[str(len(want))] = np.count_nonzero(low[1:] != low[:-1]) / 15
+    rows = [(r, i, float(v)) for r, x in series.items() for i, v in reversed(list(enumerate(x)))]
+    s = spark.createDataFrame(rows, "rec string, idx long, value double").coalesce(1)
+    assert {r.rec: r.zero_crossing_rate for r in statistics.simple_measures(s).collect()} == want
+    assert {r.rec: r.td_zero_crossing_rate for r in features.time_domain(s).collect()} == want
+    assert {r.rec: r.td_zero_crossing_rate for r in features.windowed_time_domain(s, 16).collect()} == want
+
+
 def fluctuation_exponent(x):
     n, y = len(x), np.cumsum(x - np.mean(x))
     scales = np.unique(np.floor(8 * (n // 4 / 8) ** (np.arange(12) / 11) + 1e-9).astype(int))

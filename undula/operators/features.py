@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula import core
-from undula.core import chunked, over_chunks, owned, shifted, stored, windows
+from undula.core import chunked, ordered_means, over_chunks, owned, shifted, stored, windows
 
 #: Relative powers of the classic EEG bands, half-open, in Hz.
 BANDS = {"delta": (0.5, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0), "gamma": (30.0, 100.0)}
@@ -27,10 +27,10 @@ def time_domain(samples: DataFrame) -> DataFrame:
     return _time_domain(shifted(samples, prev=-1, prev2=-2), samples, ["rec"])
 
 
-def _time_domain(s: DataFrame, samples: DataFrame, key: list[str]) -> DataFrame:
+def _time_domain(s: DataFrame, samples: DataFrame, key: list[str], at: str = "idx") -> DataFrame:
     v, d1 = F.col("value"), F.col("value") - F.col("prev")
     d2 = d1 - (F.col("prev") - F.col("prev2"))
-    s = s.join(samples.groupBy(*key).agg(F.avg("value").alias("mean")), key)
+    s = s.join(ordered_means(samples, key, at), key)
     cross = ((v - F.col("mean") < 0) != (F.col("prev") - F.col("mean") < 0)).cast("int")
     a = s.groupBy(*key).agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.var_samp("value").alias("variance"), F.var_pop("value").alias("v0"),
@@ -52,7 +52,7 @@ def windowed_time_domain(samples: DataFrame, win: int, hop: int | None = None, f
     each = windows(samples, win, hop)
     s = each.withColumns({"prev": F.lag("value").over(w), "prev2": F.lag("value", 2).over(w)})
     start = F.col("w") * (hop or win)
-    out = _time_domain(s, each, ["rec", "w"])
+    out = _time_domain(s, each, ["rec", "w"], "pos")
     return out.select("rec", "w", (start / fs).alias("t_start"), ((start + win) / fs).alias("t_end"), *[c for c in out.columns if c.startswith("td_")])
 
 

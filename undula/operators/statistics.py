@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.core import CHUNK, chunked, dealt, long_recordings, numbered, quantiles, shifted, stored
+from undula.core import CHUNK, chunked, dealt, long_recordings, numbered, ordered_means, quantiles, shifted, stored
 from undula.functions.special import dickey_fuller, lag_rows, normal_share, p_of_dickey_fuller, p_of_ks, p_of_rank_sum, p_of_t, p_of_z, shapiro_wilk
 
 #: Verbal cuts for Cohen's d and for correlations.
@@ -46,8 +46,7 @@ def describe(samples: DataFrame) -> DataFrame:
 
 def simple_measures(samples: DataFrame) -> DataFrame:
     """peak_to_peak, energy and zero_crossing_rate of each recording (a value equal to the mean counts as above)."""
-    means = samples.groupBy("rec").agg(F.avg("value").alias("mean"))
-    s = shifted(samples, prev=-1).join(means, "rec")
+    s = shifted(samples, prev=-1).join(ordered_means(samples, ["rec"]), "rec")
     cross = ((F.col("value") - F.col("mean") < 0) != (F.col("prev") - F.col("mean") < 0)).cast("int")
     return s.groupBy("rec").agg(
         (F.max("value") - F.min("value")).alias("peak_to_peak"), F.sum(F.col("value") * F.col("value")).alias("energy"), F.try_divide(F.sum(cross), F.count("value") - 1).alias("zero_crossing_rate")
