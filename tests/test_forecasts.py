@@ -48,6 +48,23 @@ def test_likelihood(shape, u, n):
     assert arima.likelihood(columns, shape, np.array(u)).loglik == pytest.approx(dense(columns, *arima.polynomials(shape, np.array(u))), abs=1e-3)
 
 
+@pytest.mark.parametrize("shape", [Shape(1, 0, 1, trend="c"), Shape(2, 1, 1, trend="t"), Shape(1, 0, 0, 1, 0, 1, 7, trend="ct"), Shape(3, 1, 2), Shape(0, 0, 0, trend="c")])
+def test_models_side_by_side(shape):
+    """Short series have the models that each has alone by the plain filter, whatever others there are."""
+    draw = np.random.default_rng(4)
+    xs = [draw.exponential(50, n) for n in (40, 3, 67, 67, 99, 300)]
+    found = arima.fitted_each(xs, shape)
+    assert [m is None for m in found] == [len(x) < 4 for x in xs] and arima.fitted_each([], shape) == []
+    for x, m in zip(xs, found, strict=True):
+        if m is None:
+            continue
+        columns = arima.differenced(np.column_stack([x, shape.regressors(0, len(x), len(x))]), shape.differences())
+        plain = arima.likelihood(columns, shape, m.u)
+        assert m.loglik == pytest.approx(plain.loglik, abs=1e-7) and m.trend == pytest.approx(plain.trend, rel=1e-6)
+    again = arima.fitted_each(xs[2:0:-1] + xs[3:5], shape)
+    assert (again[0].loglik, again[0].u.tolist()) == (found[2].loglik, found[2].u.tolist())
+
+
 def test_processes_are_recovered(spark):
     n = 1500
     s = samples(spark, arma=5 + process(n, (0.6, -0.3), (0.4,), 2), ma=process(n, (), (-0.5,), 3))
