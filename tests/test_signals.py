@@ -52,6 +52,17 @@ def test_beats_are_found(spark, hearts, monkeypatch):
     assert all(r.f1 > 0.99 for r in ecg.match_beats(known.where("rec <> 'h1'"), upright, FS).collect())
 
 
+def test_samples_are_dealt_out_once_for_beats(spark, hearts, monkeypatch):
+    """Only peaks are written, not samples; beats are the same over small chunks and rows in any order."""
+    kept, written = [], ecg.stored
+    monkeypatch.setattr(ecg, "stored", lambda df: kept.append(written(df)) or kept[-1])
+    x = hearts[0]
+    whole = {(r.rec, r.idx) for r in ecg.pan_tompkins(x, FS).collect()}
+    assert whole and sum(k.count() for k in kept) < x.count() / 3
+    monkeypatch.setattr(ecg.core, "CHUNK", 1000)
+    assert {(r.rec, r.idx) for r in ecg.pan_tompkins(x.repartition(5), FS).collect()} == whole
+
+
 def test_beats_are_matched_one_to_one(spark):
     known = spark.createDataFrame([("a", 100), ("a", 120), ("a", 900), ("b", 50)], "rec string, idx long")
     found = spark.createDataFrame([("a", 110), ("a", 905), ("a", 895), ("c", 3)], "rec string, idx long")
