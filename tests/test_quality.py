@@ -46,3 +46,34 @@ def test_spikes_are_gone_before_the_offset_is_measured(spark):
     x[25::50] += 3000
     s = from_arrays(spark.createDataFrame([("x", (x + 9).tolist())], "rec string, values array<double>"), "rec", "values")
     assert quality.diagnose(s).select(F.col("issues")).first()[0] == "spikes:warning,dc_offset:info"
+
+
+def stages_of(spark, work):
+    """How many stages have run for a piece of work, and its result's plan."""
+    spark.sparkContext.setJobGroup(work.__name__, "")
+    made = work()
+    made.collect()
+    tracker = spark.sparkContext.statusTracker()
+    ids = {s for job in tracker.getJobIdsForGroup(work.__name__) for s in tracker.getJobInfo(job).stageIds}
+    ran = [s for s in map(tracker.getStageInfo, ids) if s is not None and s.numCompletedTasks]
+    return len(ran), made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+@pytest.fixture
+def plain_joins(spark):
+    """Joins as of large tables."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.fixture
+def recordings(spark):
+    return from_arrays(spark.createDataFrame([(k, v.tolist()) for k, v in SIGNALS.items()], "rec string, values array<double>"), "rec", "values")
+
+
+def test_diagnosis_deals_samples_out_a_few_times(spark, plain_joins, recordings):
+    def diagnosed():
+        return quality.diagnose(recordings, 64.0)
+
+    assert stages_of(spark, diagnosed)[0] < 45
