@@ -77,3 +77,21 @@ def test_diagnosis_deals_samples_out_a_few_times(spark, plain_joins, recordings)
         return quality.diagnose(recordings, 64.0)
 
     assert stages_of(spark, diagnosed)[0] < 45
+
+
+def test_each_repair_is_made_once(spark, monkeypatch, recordings):
+    from undula.plans import pipeline
+
+    calls = []
+    for name, f in pipeline.STEPS.items():
+        monkeypatch.setitem(pipeline.STEPS, name, lambda s, fs=None, f=f, name=name, **p: (calls.append((name, str(p))), f(s, fs, **p))[1])
+    both = from_arrays(spark.createDataFrame([("both", damaged(100, 101, 40.0).tolist()), ("gap", damaged(20, 40, np.nan).tolist())], "rec string, values array<double>"), "rec", "values")
+    both = both.withColumn("value", F.when(~((F.col("rec") == "both") & F.col("idx").between(200, 204)), F.col("value")))
+    s = recordings.unionByName(both)
+    cleaned, before, after = quality.auto_clean(s)
+    assert len(calls) == len(set(calls)) > 2
+    want = s.where("rec IN ('clean', 'short', 'empty')")
+    assert sorted(map(tuple, cleaned.where("rec IN ('clean', 'short', 'empty')").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert cleaned.count() == s.count()
+    got = {r.rec: r.issues for r in after.collect()}
+    assert got["both"] == got["spikes"] == got["missing"] == ""
