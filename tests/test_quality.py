@@ -95,3 +95,10 @@ def test_each_repair_is_made_once(spark, monkeypatch, recordings):
     assert cleaned.count() == s.count()
     got = {r.rec: r.issues for r in after.collect()}
     assert got["both"] == got["spikes"] == got["missing"] == ""
+
+
+def test_screen_sorts_samples_in_few_plans(spark, plain_joins, recordings):
+    def screened():
+        return quality.screen(recordings)
+
+    assert stages_of(spark, screened)[1].count("Sort [") <= 8
