@@ -111,3 +111,14 @@ def test_fluctuations_off_polynomials(spark, order):
     assert features.dfa_alpha(recordings(spark, a=x), scales, order=order).first().dfa_alpha == pytest.approx(np.polyfit(np.log(scales), logs, 1)[0], abs=1e-8)
     with pytest.raises(ValueError):
         features.dfa_alpha(recordings(spark, a=x), [order + 1, 20], order=order)
+
+
+def test_categories_do_not_meet_in_one_plan(spark):
+    s = core.from_arrays(spark.createDataFrame([("a", np.random.default_rng(4).normal(size=300).tolist())], "rec string, values array<double>"), "rec", "values")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = features.extract(s, 64.0)
+        made.collect()
+        assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Sort [") <= 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -316,7 +316,7 @@ def nonlinear(samples: DataFrame) -> DataFrame:
     """rec and the four nl_ features: sample and permutation entropy, Higuchi's dimension and the fluctuation exponent."""
     out = samples.select("rec").distinct()
     for made, name in ((sample_entropy(samples), "sample_entropy"), (permutation_entropy(samples), "perm_entropy"), (higuchi_fd(samples), "higuchi_fd"), (dfa_alpha(samples), "dfa_alpha")):
-        out = out.join(made.withColumnRenamed(name, {"perm_entropy": "nl_permutation_entropy"}.get(name, f"nl_{name}")), "rec", "left")
+        out = out.join(stored(made).withColumnRenamed(name, {"perm_entropy": "nl_permutation_entropy"}.get(name, f"nl_{name}")), "rec", "left")
     return out
 
 
@@ -328,13 +328,13 @@ def peaks(samples: DataFrame, fs: float | None = None, distance: int | None = No
     Peaks are local maxima, found in chunks, thinned out by height; prominence and width look at no more than PEAK_REACH
     samples to a side, which is as far as they go unless a peak towers over all of that.
     """
-    from undula.operators.ecg import _by_stretch, maxima, thinned
+    from undula.operators.ecg import highest, maxima
 
     rate, kind = fs or 1.0, samples.schema["rec"].dataType.simpleString()
     apart = distance or max(int((fs or 100) * 0.1), 1)
     stats = samples.groupBy("rec").agg((F.max("idx") + 1).alias("n"), (F.avg("value") + 0.5 * F.stddev_pop("value") if height is None else F.lit(float(height))).alias("least"))
     high = maxima(samples).join(stats, "rec").where("value >= least").select("rec", "idx", "value")
-    found = stored(_by_stretch(high, rate, lambda own: own[thinned(own["idx"].to_numpy(), own["value"].to_numpy(), apart)], f"rec {kind}, idx long"))
+    found = stored(highest(high, rate, apart))
     size = core.CHUNK
     pairs = F.array_sort(F.collect_list(F.struct("idx", "value")))
     chunks = chunked(samples, PEAK_REACH, PEAK_REACH, size).groupBy("rec", "chunk").agg(pairs.alias("p"))
@@ -343,11 +343,11 @@ def peaks(samples: DataFrame, fs: float | None = None, distance: int | None = No
 
     def measured(batches):
         for batch in batches:
+            made = []
             for r in batch.itertuples(index=False):
                 x = np.asarray(r.values, float)
-                at = np.asarray(r.at) - r.first
-                made = [_prominence(x, i) for i in at]
-                yield pd.DataFrame({"rec": [r.rec] * len(at), "idx": at + r.first, "height": x[at], "prominence": [m[0] for m in made], "width": [m[1] for m in made]})
+                made += [(r.rec, i + r.first, x[i], *_prominence(x, i)) for i in np.asarray(r.at) - r.first]
+            yield pd.DataFrame(made, columns=["rec", "idx", "height", "prominence", "width"])
 
     each = stored(chunks.join(own, ["rec", "chunk"]).mapInPandas(measured, f"rec {kind}, idx long, height double, prominence double, width double"))
     gaps = shifted(_numbered(each.select("rec", "idx")), prev=-1).withColumn("gap", F.col("value") - F.col("prev")).groupBy("rec")
@@ -408,15 +408,17 @@ def extract(samples: DataFrame, fs: float | None = None, include: tuple[str, ...
         raise ValueError(f"unknown categories {sorted(unknown)}, there are {CATEGORIES}")
     if not fs and {"freq", "hrv"} & set(include):
         raise ValueError("freq and hrv features need a rate")
-    gaps = samples.groupBy("rec").agg(F.count_if(F.col("value").isNull()).alias("gaps"))
-    s = samples.join(gaps.where("gaps = 0").select("rec"), "rec", "left_semi")
+    s = stored(samples.select("rec", "idx", "value"))
+    gaps = stored(s.groupBy("rec").agg(F.count_if(F.col("value").isNull()).alias("gaps")))
+    s = stored(s.join(gaps.where("gaps = 0").select("rec"), "rec", "left_semi"))
     made = {
         "time": lambda: time_domain(s), "freq": lambda: frequency_domain(welch(s, fs)), "nonlinear": lambda: nonlinear(s), "peaks": lambda: peaks(s, fs),
         "hrv": lambda: hrv(intervals(pan_tompkins(s, fs), fs)),
     }
     out = gaps.select("rec")
     for category in include:
-        out = out.join(made[category](), "rec", "left")
+        # Each category is written by itself: in one plan all their sorts would stand in a task's memory together.
+        out = out.join(stored(made[category]()), "rec", "left")
     return out
 
 
