@@ -1,9 +1,11 @@
 """Near-duplicate texts against brute force."""
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +169,42 @@ def test_similar_pairs_equal_sets():
     i, j = minhash.similar_pairs(sets)
     want = {(x, y) for x in range(40) for y in range(x + 1, 40) if len(np.intersect1d(sets[x], sets[y])) >= 0.8 * len(np.union1d(sets[x], sets[y]))}
     assert want and set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def peak_of(run):
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_the_check_of_long_texts_holds_a_part_of_their_shingles_at_once():
+    draw = np.random.default_rng(1)
+    base = draw.integers(0, 1 << 64, 12_000, np.uint64)
+    sets = []
+    for k in range(300):
+        s = base.copy()
+        s[: 4 * k] = draw.integers(0, 1 << 64, 4 * k, np.uint64)
+        sets.append(np.sort(s))
+    (i, j), megabytes = peak_of(lambda: minhash.similar_pairs(sets))
+    # Sets k < l have all numbers but the first 4 l of each in common.
+    same = {(k, m) for m in range(300) for k in range(m) if 12_000 - 4 * m >= 0.8 * (12_000 + 4 * m) - 1e-9}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == same
+    assert megabytes < 100  # 27 MB of shingles
+
+
+def test_a_mixed_block_of_many_texts_is_compared_in_parts():
+    draw = np.random.default_rng(2)
+    n = 1500
+    signs = draw.integers(0, 256, (n, minhash.COORDINATES), np.uint8)
+    signs[1::3] = signs[::3]  # each third text is the copy of another, the last of three has no partner
+    bands = draw.integers(0, 1 << 62, (n, minhash.BANDS))
+    bands[:, 1] = 5
+    rows = {"bucket": 5, "low": 0, "high": 0, "block": 0, "node": np.arange(n), "bands": list(bands), "signature": [s.tobytes() for s in signs]}
+    cross = pd.DataFrame(rows).assign(high=1, block=np.arange(n) % 3 % 2)
+    for frame in (pd.DataFrame(rows), cross):
+        parts, megabytes = peak_of(lambda frame=frame: list(minhash._paired(iter([frame]))))
+        assert sorted(pd.concat(parts)["node"]) == [k for k in range(n) if k % 3 < 2]
+        assert megabytes < 60

@@ -23,6 +23,9 @@ COORDINATES, BANDS = 100, 20
 AGREE = 0.62
 #: Texts of a band's bucket that are compared at once.
 BLOCK = 512
+#: Pairs of signatures, and numbers of shingle sets, that are held against one another at once: memory follows neither a block
+#: of more texts nor the length of its texts.
+PAIRS, NUMBERS = 1 << 16, 1 << 20
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -198,14 +201,14 @@ def _paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             j = np.arange(a, b)[block[a:b] == high[a]] if cross else i
             if not len(i) or not len(j):
                 continue
-            near = (signs[i, None] == signs[None, j]).sum(2) >= AGREE * signs.shape[1]
-            if not cross:
-                near = np.triu(near, 1)
-            x, y = near.nonzero()
-            if len(x):
-                shared = bands[i[x]] == bands[j[y]]
-                here = bands[i[x[0]]].tolist().index(bucket[a])
-                first = shared.argmax(1) == here
+            here, step = bands[i[0]].tolist().index(bucket[a]), max(1, PAIRS // len(j))
+            for k in range(0, len(i), step):
+                near = (signs[i[k : k + step], None] == signs[None, j]).sum(2) >= AGREE * signs.shape[1]
+                if not cross:
+                    near = np.triu(near, k + 1)
+                x, y = near.nonzero()
+                x += k
+                first = (bands[i[x]] == bands[j[y]]).argmax(1) == here
                 kept[i[x[first]]] = kept[j[y[first]]] = True
         yield batch.loc[kept, ["bucket", "low", "high", "node"]]
 
@@ -218,19 +221,25 @@ def similar_pairs(sets: list[np.ndarray], least: float = LEAST) -> tuple[np.ndar
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         hit = both and both >= least * (sizes.sum() - both) - 1e-9
         return (np.array([0]), np.array([1])) if hit else (np.empty(0, np.int64), np.empty(0, np.int64))
-    owners = np.repeat(np.arange(n), sizes.astype(int))
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    owners, column = owners[shared], column[shared]
-    names, column = np.unique(column, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    owners, column = owners[order], column[order]
     common = np.zeros((n, n))
-    for a in range(0, len(names), 4096):
-        lo, hi = np.searchsorted(column, [a, a + 4096])
-        part = np.zeros((n, min(4096, len(names) - a)), np.float32)
-        part[owners[lo:hi], column[lo:hi] - a] = 1
-        common += part @ part.T
+    # The numbers are hashes, so equal spans of them hold about equally many.
+    spans = max(1, -(-int(sizes.sum()) // NUMBERS))
+    edges = np.array([k * (1 << 64) // spans for k in range(1, spans)], np.uint64)
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
+    for k in range(spans):
+        own = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+        owners = np.repeat(np.arange(n), [len(s) for s in own])
+        _, column, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        owners, column = owners[shared], column[shared]
+        names, column = np.unique(column, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        owners, column = owners[order], column[order]
+        for a in range(0, len(names), 4096):
+            lo, hi = np.searchsorted(column, [a, a + 4096])
+            part = np.zeros((n, min(4096, len(names) - a)), np.float32)
+            part[owners[lo:hi], column[lo:hi] - a] = 1
+            common += part @ part.T
     hit = (common > 0) & (common >= least * (sizes[:, None] + sizes[None] - common) - 1e-9)
     return np.triu(hit, 1).nonzero()
 
