@@ -139,6 +139,34 @@ def test_heartbeat_checks(spark, hearts):
     assert "ecg" in got["noisy"] and "ecg" in got["nothing"]
 
 
+def test_heartbeat_checks_write_samples_once(spark, hearts, monkeypatch):
+    """A recording is written as one row, and what a pass over those rows tells is what the plan over chunks does."""
+    s, _, made = hearts
+    x, draw = made["h0"][0][:6000], np.random.default_rng(6)
+    odd = {k: x.copy() for k in ("gaps", "spiky", "clipped", "flat", "level", "drift")}
+    odd["gaps"][[0, 1, *range(700, 760), 2999, 5999]] = np.nan
+    odd["spiky"][100::531] += 50
+    odd["clipped"] = np.clip(odd["clipped"], -0.05, 0.6)
+    odd["flat"][2000:2200] = 0.25
+    odd["level"] += 7
+    odd["drift"] += 5 * np.sin(np.arange(6000) / 900)
+    hum = x + 0.3 * np.sin(2 * np.pi * 50 * np.arange(6000) / FS) + 0.2 * np.sin(2 * np.pi * 100 * np.arange(6000) / FS)
+    more = recordings(spark, **odd, hum=hum, noise=draw.standard_normal(5000), digital=np.sign(x), constant=np.ones(3000), empty=np.full(2000, np.nan), brief=x[:400], briefer=x[:200], few=x[:20], one=[1.0])
+    s = s.unionByName(more)
+    kept, written = [], quality.stored
+    with monkeypatch.context() as m:
+        m.setattr(quality, "stored", lambda df: kept.append(written(df)) or kept[-1])
+        rows = quality.diagnose(s, FS, signal_type="ecg").collect()
+    assert sum(k.count() for k in kept) == len(rows) == 18
+    monkeypatch.setattr(core, "CHUNK", 1500)
+    want = {r.rec: r.asDict() for r in quality.diagnose(s.repartition(3), FS, signal_type="ecg").collect()}
+    for r in rows:
+        assert {k: v if v is None or isinstance(v, str) else pytest.approx(v, rel=1e-6, abs=1e-9) for k, v in want[r.rec].items()} == r.asDict()
+    runs = s.groupBy("rec", F.floor(F.col("idx") / 777).alias("c")).agg(F.min("idx").alias("first"), F.array_sort(F.collect_list(F.struct("idx", F.coalesce("value", F.lit(math.nan)).alias("v")))).alias("p"))
+    runs = runs.select("rec", "first", F.col("p.v").alias("values"))
+    assert sorted(map(str, quality.diagnose(runs, FS, signal_type="ecg").collect())) == sorted(map(str, quality.diagnose(s, FS, signal_type="ecg").collect()))
+
+
 def test_stft_boundaries(spark):
     x = np.random.default_rng(2).normal(size=100)
     rows = spectral.stft(recordings(spark, a=x), 10.0, 32).collect()
