@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -120,13 +122,45 @@ def _tree(x: np.ndarray, draw: np.random.Generator, most: int) -> list[tuple[int
     return nodes
 
 
+def _scores(x: np.ndarray, seed: int) -> np.ndarray:
+    """The scores of up to SEEN windows by a forest whose trees see all of them: those of trees by _tree(), of which only the depths
+    at which windows end up are kept. So small nodes take longer to make in NumPy than in lists."""
+    n, columns, draw = len(x), x.T.tolist(), np.random.default_rng(seed)
+    most, total = int(np.ceil(np.log2(max(n, 2)))), [0.0] * n
+    ends = [[float(d + a) for a in _average_depth(np.arange(n + 1))] for d in range(most + 1)]
+    every = range(len(columns))
+    # The columns in which a window shares its value with another: only they can be level among windows, of which it is one.
+    shared = [[c for c in every if columns[c].count(columns[c][i]) > 1] for i in range(n)]
+    for _ in range(TREES):
+        draw.choice(n, n, replace=False)  # the order in which a tree sees them changes nothing but the draws after it
+        todo = [(list(range(n)), 0)]
+        while todo:
+            rows, depth = todo.pop()
+            wide: list[int] | range = []
+            if depth < most and len(rows) > 1:
+                first, rest = rows[0], rows[1:]
+                level = {c for c in shared[first] if all(v == columns[c][first] for v in map(columns[c].__getitem__, rest))}
+                wide = [c for c in every if c not in level] if level else every
+            if not wide:
+                for i in rows:
+                    total[i] += ends[depth][len(rows)]
+                continue
+            own = columns[wide[int(draw.integers(0, len(wide)))]]
+            values = [own[i] for i in rows]
+            low, high = min(values), max(values)
+            at = min(low + (high - low) * draw.random(), math.nextafter(high, low))  # as draw.uniform(low, high)
+            todo.append(([i for i in rows if own[i] > at], depth + 1))
+            todo.append(([i for i in rows if own[i] <= at], depth + 1))
+    return 2 ** (-np.array(total) / TREES / max(_average_depth(np.array(n)), 1e-12))
+
+
 def anomaly_scores(samples: DataFrame, window: float, step: float | None = None, fs: float | None = None, include: list[str] | None = None, share: float | None = None, seed: int = 0) -> DataFrame:
     """rec, t_start, t_end, score (0 to 1, higher is more unusual) and anomaly of each full window, by an isolation forest over
     its features (by default time, and with a rate freq); recordings of fewer than eight windows have none.
 
     Features are centred at their median and divided by their interquartile range; missing ones are the median. A recording's
     forest has TREES trees that see SEEN windows each, drawn from POOL of the recording's, which bounds what grows it; every
-    window is scored, in any task. Without `share` a window is an anomaly above 0.5, else the `share` with the highest scores.
+    window is scored, in any task; those of recordings of up to SEEN windows by the task that grows their forest. Without `share` a window is an anomaly above 0.5, else the `share` with the highest scores.
     """
     kind = samples.schema["rec"].dataType.simpleString()
     found = stored(windowed_features(samples, window, step, fs, tuple(include or (("time", "freq") if fs else ("time",)))))
@@ -139,6 +173,19 @@ def anomaly_scores(samples: DataFrame, window: float, step: float | None = None,
         filled = F.coalesce(F.when(~F.isnan(c), F.col(c)), middle)
         scaled.append((filled - middle) / F.when(wide > 0, wide).otherwise(1.0))
     rows = stored(found.join(q, "rec").select("rec", "t_start", "t_end", "windows", F.array(*scaled).alias("x")))
+    finite = F.forall("x", lambda v: F.abs(v) < float("inf"))
+    few = rows.where(F.col("windows") <= SEEN).groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("t_start", "t_end", "x"))).alias("p"), F.bool_and(finite).alias("finite"))
+
+    def at_once(batches):
+        for batch in batches:
+            if len(batch):
+                made = [_scores(np.stack([np.asarray(v, float) for v in x]), seed) for x in batch["x"]]
+                ends = {c: np.concatenate(batch[c].to_list()) for c in ("t_start", "t_end")}
+                yield pd.DataFrame({"rec": batch["rec"].repeat([len(m) for m in made]).to_numpy(), **ends, "score": np.concatenate(made)})
+
+    kinds = f"rec {kind}, t_start double, t_end double, score double"
+    small = few.where("finite").select("rec", F.col("p.t_start").alias("t_start"), F.col("p.t_end").alias("t_end"), F.col("p.x").alias("x")).mapInPandas(at_once, kinds)
+    rows = rows.join(few.where("finite").select("rec"), "rec", "left_anti")
     pool = rows.where(F.pmod(F.xxhash64("rec", "t_start", F.lit(seed)), F.lit(1 << 40)) < F.lit(float(1 << 40)) * POOL / F.col("windows")).select("rec", "t_start", "x")
 
     def grown(own: pd.DataFrame) -> pd.DataFrame:
@@ -172,7 +219,7 @@ def anomaly_scores(samples: DataFrame, window: float, step: float | None = None,
                 out[at] = 2 ** (-total / len(starts) / max(_average_depth(np.array(r["seen"])), 1e-12))
             yield batch[["rec", "t_start", "t_end"]].assign(score=out)
 
-    made = rows.drop("windows").join(forest, "rec").mapInPandas(scored, f"rec {kind}, t_start double, t_end double, score double")
+    made = small.unionByName(rows.drop("windows").join(forest, "rec").mapInPandas(scored, kinds))
     if share is None:
         return made.withColumn("anomaly", F.col("score") > 0.5)
     made = stored(made)
