@@ -64,6 +64,30 @@ def test_samples_are_dealt_out_once_for_beats(spark, hearts, monkeypatch):
     assert {(r.rec, r.idx) for r in ecg.pan_tompkins(x.repartition(5), FS).collect()} == whole
 
 
+def test_beats_in_written_rows_need_no_samples_dealt_out(spark, hearts, monkeypatch):
+    """Both ways to find beats read the same rows, and find the same as in samples, in recordings of one chunk and of more."""
+    s, _, made = hearts
+    x, draw = made["h0"][0][:3000], np.random.default_rng(8)
+    stairs, gap = np.repeat(np.round(draw.normal(size=300)), 10), x.copy()
+    gap[100] = np.nan
+    s = s.unionByName(recordings(spark, stairs=stairs, gap=gap, noise=draw.normal(size=1490), brief=x[:300], briefer=x[:2], one=[1.0], late=[0.0, 1.0, 1.0, 1.0])).cache()
+    for chunk in (core.CHUNK, 1500):
+        monkeypatch.setattr(core, "CHUNK", chunk)
+        rows = filtering.written_rows(s.repartition(3))
+        assert rows.selectExpr("sum(size(values))").first()[0] == s.count()
+        for method, more in (("pantompkins", {}), ("simple", {}), ("simple", {"height": 0.1}), ("simple", {"distance": 3})):
+            found, want = (ecg.detect_r_peaks(d, FS, method, **more) for d in (rows, s))
+            assert chunk == 1500 or "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+            assert (got := sorted(map(tuple, found.collect()))) == sorted(map(tuple, want.collect())) and len(got) > 100
+            if method == "simple" and not more:
+                monkeypatch.setattr(ecg, "SEGMENT", 15)
+                monkeypatch.setattr(ecg, "LEAD", 8)
+                found, want = (ecg.detect_r_peaks(d, FS, method) for d in (rows, s))
+                assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+                monkeypatch.undo()
+                monkeypatch.setattr(core, "CHUNK", chunk)
+
+
 def test_beats_are_matched_one_to_one(spark):
     known = spark.createDataFrame([("a", 100), ("a", 120), ("a", 900), ("b", 50)], "rec string, idx long")
     found = spark.createDataFrame([("a", 110), ("a", 905), ("a", 895), ("c", 3)], "rec string, idx long")
@@ -156,7 +180,8 @@ def test_heartbeat_checks_write_samples_once(spark, hearts, monkeypatch):
     s = s.unionByName(more)
     kept, written = [], quality.stored
     with monkeypatch.context() as m:
-        m.setattr(quality, "stored", lambda df: kept.append(written(df)) or kept[-1])
+        for module in (quality, filtering):
+            m.setattr(module, "stored", lambda df: kept.append(written(df)) or kept[-1])
         rows = quality.diagnose(s, FS, signal_type="ecg").collect()
     assert sum(k.count() for k in kept) == len(rows) == 18
     monkeypatch.setattr(core, "CHUNK", 1500)
